@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import simhash
+from evalspark.llm import simhash, substring
 from evalspark.llm.common import load
 
 
@@ -14,5 +14,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op3_simhash": op3_simhash}
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_substring": op2_substring, "op3_simhash": op3_simhash}
 ORACLES: dict[str, str] = {}
