@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import simhash, substring
+from evalspark.llm import chat, simhash, substring, toxicity
 from evalspark.llm.common import load
 
 
@@ -14,9 +14,50 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: A conversation whose texts hold the template's own control strings.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    return chat.digests(chat.format_turns(turns.unionByName(extra)))
+
+
+OP1_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), t AS (
+  SELECT *, CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant'
+    ELSE '@' || regexp_replace(role, '([\\#<:])', '\\\1', 'g') END AS label,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS turn_no,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
+    lead(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS after
+  FROM rows
+), u AS (
+  SELECT *, CASE WHEN turn_no = 0 THEN role IN ('system', 'user') WHEN before = 'system' THEN role = 'user'
+    WHEN before = 'user' THEN role = 'assistant' WHEN before = 'assistant' THEN role = 'user' ELSE false END AS ok
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn_no)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn_no) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('### ' || label || ': ' || regexp_replace(text, '([\\#<:])', '\\\1', 'g') || ' </turn>' || chr(10)))::BIGINT AS formatted_chars,
+  bool_and(ok) AND max(role) FILTER (after IS NULL) = 'assistant' AS valid,
+  min(turn_no) FILTER (NOT ok) AS first_bad_turn
+FROM u GROUP BY conv_id
+"""
+
+
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_substring": op2_substring, "op3_simhash": op3_simhash}
-ORACLES: dict[str, str] = {}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_chat": op1_chat, "op2_substring": op2_substring, "op3_simhash": op3_simhash, "op8_toxicity": op8_toxicity}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}
