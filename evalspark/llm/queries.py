@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import chat, simhash, substring, toxicity
+from evalspark.llm import bpe, chat, packing, simhash, substring, toxicity
 from evalspark.llm.common import load
 
 
@@ -59,5 +60,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_substring": op2_substring, "op3_simhash": op3_simhash, "op8_toxicity": op8_toxicity}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op1_chat": op1_chat, "op2_substring": op2_substring, "op3_simhash": op3_simhash, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe}
 ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}
