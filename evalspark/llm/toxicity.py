@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from evalspark.llm.common import slices, word_bounds, word_hashes
 
 WIDTH, STRIDE, BUCKETS, DIM, HIDDEN = 32, 24, 1 << 14, 6, 8
-POSITIVES, NEGATIVES, MAX_CHARS = 600, 1200, 20_000
+POSITIVES, NEGATIVES, MAX_CHARS = 800, 4000, 20_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -165,7 +165,7 @@ def _log_odds(table: np.ndarray, docs: np.ndarray, toxic: np.ndarray) -> np.ndar
     return np.clip(lo * (t + c) / (t + c + 4), -2, 5).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, rate: float = 0.01) -> dict:
+def train(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 64, rate: float = 0.01) -> dict:
     """Fit the network to whole labelled texts. With one class only, it scores that class's share."""
     rng = np.random.default_rng(7)
     y = np.array(labels, np.float32)
