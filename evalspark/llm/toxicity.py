@@ -13,6 +13,7 @@ parameters are then fitted by back-propagation through time with Adam.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import slices, word_bounds, word_hashes
+from evalspark.llm.common import SLICE_BYTES, slices, word_bounds, word_hashes
 
 WIDTH, STRIDE, BUCKETS, DIM, HIDDEN = 32, 24, 1 << 14, 6, 8
-POSITIVES, NEGATIVES, MAX_CHARS = 800, 4000, 20_000
+POSITIVES, NEGATIVES, MAX_CHARS = 800, 4800, 8_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -38,8 +39,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def vocabulary(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of folded texts: per word its row and its number among the distinct ones; per distinct word its bucket, its n-gram buckets and where these start."""
     data = _FOLD[data]
-    starts, ends, rows = word_bounds(data, offsets)
-    code, distinct = pd.factorize(word_hashes(data, starts, ends))
+    parts, lo, n = [], 0, len(offsets) - 1
+    while lo < n:  # a slice at a time: the arrays of a slice are many times its bytes
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, "right")) - 1)
+        cut = data[offsets[lo] : offsets[hi]]
+        s, e, r = word_bounds(cut, offsets[lo : hi + 1] - offsets[lo])
+        parts.append((s + offsets[lo], e + offsets[lo], r + lo, word_hashes(cut, s, e)))
+        lo = hi
+    starts, ends, rows, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    code, distinct = pd.factorize(hashes)
     first = np.full(len(distinct), len(code), np.int64)
     np.minimum.at(first, code, np.arange(len(code)))
     lens = (ends - starts)[first] + 2  # with a mark on either side
@@ -156,13 +164,23 @@ def gradients(model: dict, x: np.ndarray, index: np.ndarray, y: np.ndarray) -> d
     return g
 
 
-def _log_odds(table: np.ndarray, docs: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """For each bucket, how much likelier a toxic document has it; shrunk where few documents do."""
-    pairs = np.unique(docs.astype(np.int64) * BUCKETS + table)
-    hot = toxic[pairs // BUCKETS] > 0
-    t, c = (np.bincount(pairs[m] % BUCKETS, minlength=BUCKETS).astype(np.float64) for m in (hot, ~hot))
-    lo = np.log((t + 0.5) / (toxic.sum() + 1)) - np.log((c + 0.5) / ((toxic == 0).sum() + 1))
-    return np.clip(lo * (t + c) / (t + c + 4), -2, 5).astype(np.float32)
+def _log_odds(model: dict, rows: np.ndarray, code: np.ndarray, bucket: np.ndarray, gram: np.ndarray, at: np.ndarray, size: np.ndarray, toxic: np.ndarray) -> None:
+    """Start each bucket's first dimension from how much likelier a toxic document has it; shrunk where few documents do."""
+    seen = {k: np.zeros((2, BUCKETS)) for k in ("word", "gram")}
+    cuts = np.searchsorted(rows, np.arange(0, len(toxic) + 100, 100))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):  # a hundred documents at a time
+        pair = np.unique(rows[lo:hi] * len(bucket) + code[lo:hi])
+        row, word = pair // len(bucket), pair % len(bucket)
+        n = size[word]
+        flat = np.repeat(at[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        for k, who, what in (("word", row, bucket[word]), ("gram", np.repeat(row, n), gram[flat])):
+            once = np.unique(who * BUCKETS + what)
+            hot = toxic[once // BUCKETS] > 0
+            for side, m in enumerate((hot, ~hot)):
+                seen[k][side] += np.bincount(once[m] % BUCKETS, minlength=BUCKETS)
+    for k, (t, c) in seen.items():
+        lo = np.log((t + 0.5) / (toxic.sum() + 1)) - np.log((c + 0.5) / ((toxic == 0).sum() + 1))
+        model[k][:, 0] = np.clip(lo * (t + c) / (t + c + 4), -2, 5)
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 64, rate: float = 0.01) -> dict:
@@ -189,9 +207,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 64,
     off = np.cumsum([0, *map(len, raw)])
     rows, code, bucket, gram, at = vocabulary(np.frombuffer(b"".join(raw), np.uint8), off)
     size = np.diff(np.append(at, len(gram)))
-    model["word"][:, 0] = _log_odds(bucket[code], rows, y)
-    flat = np.repeat(at[code] - (np.cumsum(size[code]) - size[code]), size[code]) + np.arange(int(size[code].sum()))
-    model["gram"][:, 0] = _log_odds(gram[flat], np.repeat(rows, size[code]), y)
+    _log_odds(model, rows, code, bucket, gram, at, size, y)
     row, start, n = windows(rows, len(texts))
     index = start[:, None] + np.arange(WIDTH)
     index = np.where(np.arange(WIDTH) < n[:, None], code[np.minimum(index, max(0, len(code) - 1))] if len(code) else -1, -1)
@@ -252,8 +268,17 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
     known = labels.join(short, "doc_id")
     picked = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in ((1, positives), (0, negatives))]
     ids = picked[0].unionByName(picked[1])  # at most positives + negatives rows: small enough to broadcast
-    sample = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return train([r["text"] for r in sample], [r["toxic"] for r in sample])
+    sample = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["doc_id"])
+        held = io.BytesIO()
+        np.savez(held, **train([r["text"] for r in rows], [r["toxic"] for r in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array([held.getvalue()])], names=["model"])
+
+    # one task holds the sample, which is bounded by the three parameters
+    found = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    return dict(np.load(io.BytesIO(found[0]["model"]))) if found else train([], [])
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
