@@ -183,8 +183,8 @@ def _log_odds(model: dict, rows: np.ndarray, code: np.ndarray, bucket: np.ndarra
         model[k][:, 0] = np.clip(lo * (t + c) / (t + c + 4), -2, 5)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 64, rate: float = 0.01) -> dict:
-    """Fit the network to whole labelled texts. With one class only, it scores that class's share."""
+def train(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 64, rate: float = 0.01, steps: int = 250) -> dict:
+    """Fit the network to whole labelled texts: `epochs` passes, more while under `steps` steps. With one class only, it scores that class."""
     rng = np.random.default_rng(7)
     y = np.array(labels, np.float32)
     model = {
@@ -215,10 +215,11 @@ def train(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 64,
     signal = np.append(np.maximum(x[:, 0], 0) + np.maximum(x[:, DIM], 0), 0)
     strength = np.sort(signal[index], 1)[:, -3:].sum(1)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.items()}
-    step = 0
-    for epoch in range(epochs):
+    step = epoch = 0
+    while epoch < epochs or step < steps:
         if epoch >= 2:  # from then on the network itself names each document's leading windows
             strength = np.concatenate([forward(model, project(model, embed(model, bucket, gram, at)), part) for part in np.array_split(index, max(1, len(index) // 20_000))])
+        epoch += 1
         order = np.lexsort((-strength, row))
         rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
         chosen = order[(rank < np.where(y[row[order]] > 0, 1, 3)) | ((y[row[order]] == 0) & (rng.random(len(order)) < 0.1))]
