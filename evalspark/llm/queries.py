@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bpe, chat, neighbours, packing, secrets, simhash, substring, toxicity
+from evalspark.llm import bpe, chat, neighbours, packing, pii, quality, secrets, simhash, substring, toxicity
 from evalspark.llm.common import load
 
 
@@ -60,6 +60,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(load(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with surrogates, the entities' places, and how many there are of each type."""
+    found = pii.pseudonymize(load(spark, sf_dir, "documents"))
+    n = [F.size(F.filter("entities", lambda e, k=k: e.kind == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e.kind, e.start.cast("string"), e.end.cast("string"))), ",")
+    return found.select("doc_id", "text", *n, spans.alias("spans"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(load(spark, sf_dir, "documents")))
 
@@ -78,5 +90,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_substring": op2_substring, "op3_simhash": op3_simhash, "op5_secrets": op5_secrets, "op6_neighbours": op6_neighbours, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe}
+QUERIES = {"op1_chat": op1_chat, "op2_substring": op2_substring, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "op6_neighbours": op6_neighbours, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}

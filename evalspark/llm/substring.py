@@ -15,6 +15,7 @@ as one document; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ from evalspark.llm.common import bounds, grouped, materialize, mix, slices, word
 K, WINDOW = 5, 12
 MIN_WORDS, SIMILARITY = 50, 0.8
 GAP_COST, REACH, JOIN_GAP = 0.1, 16, 6
+SPACE = " \t\n\x0b\f\r"
 
 
 def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
@@ -283,3 +285,38 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     aligned = cut.repartition(*order[:3]).sortWithinPartitions(*order).mapInArrow(_align, "doc long, ref long, lo long, hi long, rlo long, rhi long, matched long")
     schema = "doc_id long, start_word long, end_word long, ref_doc_id long, ref_start_word long, ref_end_word long, ref_doc_ids array<long>, identity double"
     return aligned.repartition("doc").sortWithinPartitions("doc").mapInArrow(_merge(min_words, similarity), schema)
+
+
+def _removed(text: str, spans: list[list[int]]) -> str:
+    """The text without the words of the spans (sorted, disjoint, end exclusive), each with the white space behind it."""
+    words = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
+    out, at = [], 0
+    for lo, hi in spans:
+        out.append(text[at : words[lo].start()])
+        at = words[hi].start() if hi < len(words) else len(text)
+    return "".join([*out, text[at:]])
+
+
+def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents without the passages that an earlier document has; one of which no word is left goes.
+
+    All other rows, those without an id or a text too, stay as they are. Columns stay; n_chars follows the text.
+    """
+    found = repeated_passages(docs, min_words, similarity).groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list(F.array("start_word", "end_word"))).alias("_spans"))
+    found = materialize(found, "passages")  # its size is known then: Spark broadcasts it under its own limit only
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            spans, texts = batch.column(batch.num_columns - 1).to_pylist(), batch.column(at).to_pylist()
+            new = [_removed(t, s) if s and t else t for t, s in zip(texts, spans, strict=True)]
+            keep = [not s or bool(t and t.strip(SPACE)) for t, s in zip(new, spans, strict=True)]
+            cols = [pa.array(new, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns[:-1])]
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                cols[k] = pa.array([len(t) if s and t is not None else n for t, s, n in zip(new, spans, cols[k].to_pylist(), strict=True)], batch.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
+
+    joined = docs.join(found, docs["doc_id"] == found["_doc"], "left").select(*[docs[c] for c in names], "_spans")
+    return joined.mapInArrow(run, docs.schema)

@@ -298,3 +298,16 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document row: doc_id, held_out, score in 0..1, predicted (1 from 0.5 on)."""
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
+    """The rows of docs that score below `at`, with all their columns; rows without a text stay."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, off in slices(batch):
+                yield part.filter(pa.array(score_texts(model.value, data, off) < at))
+
+    has_text = F.length("text") > 0
+    return docs.where(has_text).mapInArrow(run, docs.schema).unionByName(docs.where(~F.coalesce(has_text, F.lit(False))))
