@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 2 << 20  # texts handed to numpy at a time
+SLICE_BYTES = 1 << 19  # texts handed to numpy at a time
 
 _NOT_SPACE = np.ones(256, dtype=bool)
 _NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False

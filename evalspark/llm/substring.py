@@ -269,9 +269,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     (the earlier document that gives most of it), ref_doc_ids (all that give a part), identity.
     """
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = seeds(docs).groupBy("h").agg(F.min("doc").alias("ref"), F.max("doc").alias("last"), F.expr("min_by(pos, CASE WHEN first THEN doc END)").alias("rpos"))
+    every = materialize(seeds(docs), "seeds")
+    first = every.groupBy("h").agg(F.min("doc").alias("ref"), F.max("doc").alias("last"), F.expr("min_by(pos, CASE WHEN first THEN doc END)").alias("rpos"))
     shared = materialize(first.where("ref < last").select("h", "ref", "rpos"), "shared")  # so that a hot value's seeds can be split in the join
-    matches = seeds(docs).join(shared, "h").where("doc <> ref").select("doc", "ref", "pos", "rpos")
+    matches = every.join(shared, "h").where("doc <> ref").select("doc", "ref", "pos", "rpos")
     chains = matches.repartition("doc", "ref").sortWithinPartitions("doc", "ref", "pos", "rpos").mapInArrow(_chains, "doc long, ref long, pos array<int>, rpos array<int>")
     chains = materialize(chains.withColumn("chain", F.xxhash64("doc", "ref", "pos", "rpos")), "chains")
     reach = lambda c: ((F.element_at(c, 1) - REACH).alias("lo"), (F.element_at(c, -1) + K + REACH).alias("hi"))
