@@ -67,7 +67,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with surrogates, the entities' places, and how many there are of each type."""
     found = pii.pseudonymize(load(spark, sf_dir, "documents"))
-    n = [F.size(F.filter("entities", lambda e, k=k: e.kind == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    n = [F.expr(f"CAST(size(filter(entities, e -> e.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in pii.KINDS]
     spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e.kind, e.start.cast("string"), e.end.cast("string"))), ",")
     return found.select("doc_id", "text", *n, spans.alias("spans"))
 
