@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from evalspark.llm.common import bounds, grouped, materialize
 
 LEAF, SPLIT = 256, 1 << 15
-CACHE = 300_000  # words a worker remembers
+CACHE = 300_000  # words, and pieces of words, that a worker remembers
+NONE = 1 << 60  # the rank of a pair that doesn't merge
 
 #: The pieces the word vocabulary allows, its end-of-word mark.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
@@ -57,6 +59,7 @@ class Vocabulary:
         self.pieces = regex.compile(PIECES)
         self.letters = byte_letters()
         self.cache: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def symbols(self, piece: str) -> list[str]:
         out = [self.letters[b] for b in piece.encode("utf-8", "surrogatepass")]
@@ -65,14 +68,17 @@ class Vocabulary:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Merge the pair of least rank, leftmost first, until none is left."""
-        if len(symbols) <= 24:
-            s = list(symbols)
-            rank = self.ranks.get
-            while len(s) > 1:
-                best, at = min(((rank((a, b), 1 << 60), k) for k, (a, b) in enumerate(zip(s, s[1:], strict=False))))
-                if best == 1 << 60:
-                    break
-                s[at : at + 2] = [s[at] + s[at + 1]]
+        if len(symbols) <= 48:
+            s, rank = list(symbols), self.ranks.get
+            ranks = [rank(p, NONE) for p in zip(s, s[1:], strict=False)]
+            while ranks and (best := min(ranks)) < NONE:
+                k = ranks.index(best)
+                s[k] += s.pop(k + 1)
+                ranks.pop(k)
+                if k:
+                    ranks[k - 1] = rank((s[k - 1], s[k]), NONE)
+                if k < len(ranks):
+                    ranks[k] = rank((s[k], s[k + 1]), NONE)
             return s
         s: list[str | None] = list(symbols)
         n = len(s)
@@ -127,11 +133,19 @@ class Vocabulary:
     def encode_piece(self, piece: str, leaf: int = LEAF) -> list[str]:
         return self.tree([self.merge(x) for x in self.leaves(self.symbols(piece), leaf)])
 
+    def piece(self, piece: str) -> bytes:
+        ids = [self.ids[t] for t in (self.encode_piece(piece) if len(piece) > LEAF // 4 else self.merge(self.symbols(piece)))]
+        known = array("I", ids).tobytes()
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        if len(piece) <= LEAF:
+            self.known[piece] = known
+        return known
+
     def chunk(self, chunk: str) -> bytes:
         """The ids of a stretch without white space, as little-endian unsigned 32-bit integers."""
         if (known := self.cache.get(chunk)) is None:
-            tokens = [t for p in self.pieces.findall(fold(chunk)) for t in self.encode_piece(p)]
-            known = np.fromiter((self.ids[t] for t in tokens), "<u4", len(tokens)).tobytes()
+            known = b"".join([self.known.get(p) or self.piece(p) for p in self.pieces.findall(fold(chunk))])
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             self.cache[chunk] = known
