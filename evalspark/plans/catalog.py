@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from evalspark.plans import datasets, reporting
+
+QUERIES: dict = reporting.QUERIES | datasets.QUERIES
+ORACLES: dict[str, str] = reporting.ORACLES | datasets.ORACLES
