@@ -21,7 +21,7 @@ def count_of(c: Column | str, pattern: str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space (any Unicode kind) at both ends."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(col(c), r"(?U)^\s+|(?<!\s)\s+$", "")
 
 
 def norm(c: Column | str) -> Column:
@@ -115,9 +115,15 @@ def bind(value: Column, body) -> Column:
 
 def char_ngrams(c: Column | str, n: int = 5) -> Column:
     """Distinct character n-grams of the lower-case text without white space; a shorter text is its own only one."""
-    grams = lambda ch: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ch) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(ch, i, n), "")))
+    by_character = lambda ch: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ch) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(ch, i, n), ""))
+
+    def grams(s: Column) -> Column:
+        # one regex pass; it steps by UTF-16 units, so texts with characters beyond these go by character
+        plain = F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        return F.when(F.length(s) <= n, F.array(s)).when(s.rlike(r"[\x{10000}-\x{10FFFF}]"), bind(F.split(s, ""), by_character)).otherwise(plain)
+
     none = F.array().cast("array<string>")
-    return bind(question_key(c), lambda s: F.when(s == "", none).when(s.isNotNull(), bind(F.split(s, ""), grams)))
+    return bind(question_key(c), lambda s: F.when(s == "", none).when(s.isNotNull(), F.array_distinct(grams(s))))
 
 
 _VARIABLE = re.compile(r"(?<!\{)\{([A-Za-z_][\w.]*)\}(?!\})")
