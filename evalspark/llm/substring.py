@@ -27,7 +27,7 @@ from evalspark.llm.common import bounds, grouped, materialize, mix, slices, word
 
 K, WINDOW = 5, 12
 MIN_WORDS, SIMILARITY = 50, 0.8
-GAP_COST, REACH, JOIN_GAP = 0.1, 16, 6
+GAP_COST, REACH, JOIN_GAP = 0.1, 32, 6
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -189,11 +189,22 @@ def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return hit
 
 
+def _run_on(a: np.ndarray, b: np.ndarray) -> int:
+    """How far two slices run on from their start: 1 for an equal word, -2 for another, to the (first) highest sum above 0."""
+    n = min(len(a), len(b))
+    if not n:
+        return 0
+    total = np.cumsum(np.where(a[:n] == b[:n], 1, -2))
+    best = int(total.argmax())
+    return best + 1 if total[best] > 0 else 0
+
+
 def align(a: np.ndarray, b: np.ndarray, pos: np.ndarray, rpos: np.ndarray) -> tuple[int, int, int, int, int]:
     """Align two word slices along anchors (offsets into them): a's span, b's span, matched words.
 
     On one diagonal the words are compared in place; where the diagonal changes, the gap between
-    two anchors is aligned by a longest common subsequence. Ends run on while words are equal.
+    two anchors is aligned by a longest common subsequence. Ends run on word by word to where
+    equal words (1) less unequal ones (2) sum up highest.
     """
     hit = np.zeros(len(a), bool)
     cuts = np.flatnonzero(np.diff(pos) != np.diff(rpos)) + 1
@@ -206,13 +217,13 @@ def align(a: np.ndarray, b: np.ndarray, pos: np.ndarray, rpos: np.ndarray) -> tu
         if hi > lo and r1 > r0:
             hit[lo:hi] |= _gap(a[lo:hi], b[r0:r1])
     lo, rlo = int(pos[0]), int(rpos[0])
-    while lo and rlo and a[lo - 1] == b[rlo - 1]:
-        lo, rlo = lo - 1, rlo - 1
-        hit[lo] = True
+    n = _run_on(a[:lo][::-1], b[:rlo][::-1])
+    hit[lo - n : lo] = a[lo - n : lo] == b[rlo - n : rlo]
+    lo, rlo = lo - n, rlo - n
     hi, rhi = int(pos[-1]) + K, int(rpos[-1]) + K
-    while hi < len(a) and rhi < len(b) and a[hi] == b[rhi]:
-        hit[hi] = True
-        hi, rhi = hi + 1, rhi + 1
+    n = _run_on(a[hi:], b[rhi:])
+    hit[hi : hi + n] = a[hi : hi + n] == b[rhi : rhi + n]
+    hi, rhi = hi + n, rhi + n
     return lo, hi, rlo, rhi, int(hit[lo:hi].sum())
 
 
