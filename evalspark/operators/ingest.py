@@ -93,3 +93,38 @@ def tool_calls(messages: Column) -> Column:
     """All tool calls (structs name, args) of a conversation in order; missing arguments are empty."""
     calls = F.flatten(F.transform(messages, lambda m: F.coalesce(m["tool_calls"], F.array().cast("array<struct<name:string,args:map<string,string>>>"))))
     return F.transform(calls, lambda c: F.struct(c["name"].alias("name"), F.coalesce(c["args"], F.create_map().cast("map<string,string>")).alias("args")))
+
+
+def sync_samples(rows: DataFrame, samples: DataFrame, data: str = "data") -> DataFrame:
+    """Generated samples (sample_id, dataset_row_id, data) into dataset rows (row_id, row_index, data): update the row a sample names, append the others in sample order."""
+    linked = samples.where(F.col("dataset_row_id").isNotNull()).groupBy(F.col("dataset_row_id").alias("row_id")).agg(F.max_by(data, "sample_id").alias("_new"))
+    kept = rows.select("row_id", "row_index", data).join(linked, "row_id", "left").select("row_id", "row_index", F.coalesce("_new", data).alias(data))
+    last = rows.agg(F.coalesce(F.max("row_index"), F.lit(-1)).alias("_last"), F.coalesce(F.max("row_id"), F.lit(0)).alias("_id"))
+    fresh = number(samples.where(F.col("dataset_row_id").isNull()).select("sample_id", data), "sample_id", "_k").crossJoin(F.broadcast(last))  # one row
+    return kept.unionByName(fresh.select((F.col("_id") + F.col("_k") + 1).alias("row_id"), (F.col("_last") + F.col("_k") + 1).alias("row_index"), data))
+
+
+def document_chunks(documents: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Chunks with their document's name and digest; those of a job's documents only."""
+    return chunks.join(documents.select(key, "name", "sha256"), key)
+
+
+def chunk_scope(chunks: DataFrame, samples: DataFrame, scope: str = "full", chunk: str = "chunk_id") -> DataFrame:
+    """The chunks to generate for: `full` those without a selected sample, `retry_failed` those that failed or have none; none without an allocation."""
+    n = samples.groupBy(chunk).agg(F.count_if("selected").alias("_n"))
+    rows = chunks.where("allocated > 0").join(n, chunk, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    wanted = (F.col("_n") == 0) if scope == "full" else ((F.col("status") == "failed") | (F.col("_n") == 0))
+    return rows.where(wanted).drop("_n")
+
+
+def compatible(datasets: DataFrame, scenarios: DataFrame, produced: list[str]) -> DataFrame:
+    """Pairs of dataset and scenario of one sample type, with the required fields that neither the dataset nor the endpoint gives."""
+    both = datasets.select("dataset_id", "sample_type", "fields").join(scenarios.select("scenario_id", "sample_type", "required"), "sample_type")
+    given = F.array(*map(F.lit, produced)) if produced else F.array().cast("array<string>")
+    return both.select("dataset_id", "scenario_id", F.array_sort(F.array_except(F.array_except("required", "fields"), given)).alias("lacking"))
+
+
+def merge_reports(first: DataFrame, second: DataFrame, key: str = "metric") -> DataFrame:
+    """Two reports in one, each row with its origin; of a key that both have, the second's row."""
+    tag = lambda df, n: df.withColumn("origin", F.lit(n))
+    return tag(second, "second").unionByName(tag(first, "first").join(second.select(key), key, "left_anti"), allowMissingColumns=True)

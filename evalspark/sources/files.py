@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -83,3 +86,38 @@ def keyed(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     if missing:
         raise KeyError(f"no rows for {missing}")
     return rows.join(keys.select(key).distinct(), key, "left_semi")
+
+
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_text(raw: bytes) -> str | None:
+    """Non-blank paragraphs of a DOCX file, a line each; null if it is none."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            root = ElementTree.fromstring(z.read("word/document.xml"))
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return None
+    lines = ("".join(t.text or "" for t in p.iter(f"{_WORD}t")) for p in root.iter(f"{_WORD}p"))
+    return "\n".join(line for line in lines if line.strip())
+
+
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    """(name: file stem, path, text, sha256) of DOCX files; a file that can't be read has a null text."""
+
+    @F.pandas_udf("string")
+    def text(raw: pd.Series) -> pd.Series:
+        return raw.map(docx_text)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("name"), "path", text("content").alias("text"), F.sha2("content", 256).alias("sha256"))
+
+
+def body_blocks(blocks: DataFrame, text: str = "text") -> DataFrame:
+    """Layout blocks (y0, y1, page_height, width, height, text) that are body text: not in the outer 12 % above or below as a header, nor thin and short."""
+    from evalspark.operators.corpus import is_header
+
+    margin = (F.col("y1") < 0.12 * F.col("page_height")) | (F.col("y0") > 0.88 * F.col("page_height"))
+    density = F.try_divide(F.length(text).cast("double"), F.col("width") * F.col("height"))
+    thin = (density < 0.015) & (F.length(text) < 24)
+    return blocks.where(~(margin & is_header(F.col(text))) & ~F.coalesce(thin, F.lit(False)))

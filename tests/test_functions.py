@@ -284,3 +284,39 @@ def test_compare(spark):
     base = spark.createDataFrame([(1, 1, True, None, 0.5), (2, 2, False, None, 0.4), (3, 3, True, None, 0.8), (3, 2, False, None, 0.0)], "row_id int, result_id int, is_pass boolean, error string, mean double")
     now = spark.createDataFrame([(1, 1, False, None, 0.5), (2, 2, True, None, 0.85), (4, 4, None, "e", None)], "row_id int, result_id int, is_pass boolean, error string, mean double")
     assert {r.row_id: r.bucket for r in report.compare_runs(base, now).collect()} == {1: "new_failures", 2: "fixed", 3: "missing_current", 4: "missing_baseline"}
+
+
+def test_docx(spark, tmp_path):
+    import zipfile
+
+    body = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>one</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>two</w:t></w:r></w:p></w:body></w:document>'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", body)
+    (tmp_path / "b.docx").write_bytes(b"no")
+    assert {r["name"]: r.text for r in files.read_docx(spark, str(tmp_path)).collect()} == {"a": "one\ntwo", "b": None}
+    blocks = spark.createDataFrame([(5.0, 20.0, 1000.0, 100.0, 10.0, "第 1 页"), (500.0, 520.0, 1000.0, 100.0, 10.0, "学生应当准时到校上课，不得迟到"), (500.0, 900.0, 1000.0, 500.0, 400.0, "x")], "y0 double, y1 double, page_height double, width double, height double, text string")
+    assert files.body_blocks(blocks).count() == 1
+
+
+def test_sync(spark):
+    rows = spark.createDataFrame([(10, 0, "a"), (11, 1, "b")], "row_id long, row_index long, data string")
+    samples = spark.createDataFrame([(1, 11, "B"), (3, None, "d"), (2, None, "c")], "sample_id long, dataset_row_id long, data string")
+    assert sorted(map(tuple, ingest.sync_samples(rows, samples).collect())) == [(10, 0, "a"), (11, 1, "B"), (12, 2, "c"), (13, 3, "d")]
+    chunks = spark.createDataFrame([(1, 2, "done"), (2, 1, "failed"), (3, 0, "done"), (4, 1, "done")], "chunk_id long, allocated int, status string")
+    done = spark.createDataFrame([(1, True), (2, True)], "chunk_id long, selected boolean")
+    assert sorted(r.chunk_id for r in ingest.chunk_scope(chunks, done).collect()) == [4]
+    assert sorted(r.chunk_id for r in ingest.chunk_scope(chunks, done, "retry_failed").collect()) == [2, 4]
+    d = spark.createDataFrame([(1, "rag", ["q", "r"])], "dataset_id long, sample_type string, fields array<string>")
+    s = spark.createDataFrame([(7, "rag", ["q", "z", "r", "y"]), (8, "agent", ["q"])], "scenario_id long, sample_type string, required array<string>")
+    assert [(r.scenario_id, r.lacking) for r in ingest.compatible(d, s, ["y"]).collect()] == [(7, ["z"])]
+    a = spark.createDataFrame([("m", 1.0), ("n", 2.0)], "metric string, mean double")
+    b = spark.createDataFrame([("m", 5.0)], "metric string, mean double")
+    assert {r.metric: (r.mean, r.origin) for r in ingest.merge_reports(a, b).collect()} == {"m": (5.0, "second"), "n": (2.0, "first")}
+
+
+def test_write_back(spark):
+    rows = spark.createDataFrame([(1, {"a": "1", "b": "2"}), (2, {"a": "1"})], "id int, data map<string,string>")
+    found = spark.createDataFrame([(1, {"b": "3", "c": "4"})], "id int, data map<string,string>")
+    assert {r.id: r.data for r in ingest.write_back(rows, found, "id").collect()} == {1: {"a": "1", "b": "3", "c": "4"}, 2: {"a": "1"}}
+    sent = rows.select(judge.custom_payload(F.col("data"), ["b"]).alias("p")).first().p
+    assert sent == '{"b":"2","a":"1"}'
