@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm.bpe import byte_letters
-from evalspark.llm.common import materialize
+from evalspark.llm.common import materialize, released
 
 SIZE, END = 1024, 2
 NODES = 400  # alternatives that the search may open after its first descent
 BUCKETS = 64
-CACHE = 400_000  # words a worker remembers
+CACHE = 150_000  # words a worker remembers
 
 # ---------------------------------------------------------------- tokens
 
@@ -105,7 +105,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, keep_id
                 yield pa.RecordBatch.from_arrays(arrays if keep_ids else arrays[:5], names=names if keep_ids else names[:5])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: released(run(b)), schema)
 
 
 # ---------------------------------------------------------------- the search

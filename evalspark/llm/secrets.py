@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import slices, word_bounds, word_hashes
+from evalspark.llm.common import released, slices, word_bounds, word_hashes
 
 #: The rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -328,8 +328,8 @@ def scan(docs: DataFrame, lines: int = LINES, text: bool = False) -> DataFrame:
     kind = "array<struct<kind:string,start:long,end:long>>"
     if text:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        return rows.mapInArrow(run, f"{fields}, _spans {kind}")
-    return rows.mapInArrow(run, f"doc_id long, spans {kind}")
+        return rows.mapInArrow(lambda b: released(run(b)), f"{fields}, _spans {kind}")
+    return rows.mapInArrow(lambda b: released(run(b)), f"doc_id long, spans {kind}")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import bounds, grouped, materialize, mix, slices, word_bounds, word_hashes
+from evalspark.llm.common import bounds, grouped, materialize, mix, released, slices, word_bounds, word_hashes
 
 K, WINDOW = 5, 12
 MIN_WORDS, SIMILARITY = 50, 0.8
@@ -73,7 +73,7 @@ def seeds(docs: DataFrame) -> DataFrame:
                 doc = part.column(0).to_numpy()[rows[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array((at - begin[rows[at]]).astype(np.int32)), pa.array(~same)], names=["h", "doc", "pos", "first"])
 
-    return docs.mapInArrow(run, "h long, doc long, pos int, first boolean")
+    return docs.mapInArrow(lambda b: released(run(b)), "h long, doc long, pos int, first boolean")
 
 
 def chain(pos: np.ndarray, rpos: np.ndarray, k: int = K, gap_cost: float = GAP_COST) -> list[list[int]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import SLICE_BYTES, slices, word_bounds, word_hashes
+from evalspark.llm.common import SLICE_BYTES, released, slices, word_bounds, word_hashes
 
 WIDTH, STRIDE, BUCKETS, DIM, HIDDEN = 32, 24, 1 << 14, 6, 8
 POSITIVES, NEGATIVES, MAX_CHARS = 800, 4800, 8_000
@@ -218,7 +218,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 64,
     step = epoch = 0
     while epoch < epochs or step < steps:
         if epoch >= 2:  # from then on the network itself names each document's leading windows
-            strength = np.concatenate([forward(model, project(model, embed(model, bucket, gram, at)), part) for part in np.array_split(index, max(1, len(index) // 20_000))])
+            strength = np.concatenate([forward(model, project(model, embed(model, bucket, gram, at)), part) for part in np.array_split(index, max(1, len(index) // 4096))])
         epoch += 1
         order = np.lexsort((-strength, row))
         rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
@@ -278,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
         yield pa.RecordBatch.from_arrays([pa.array([held.getvalue()])], names=["model"])
 
     # one task holds the sample, which is bounded by the three parameters
-    found = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    found = sample.coalesce(1).mapInArrow(lambda b: released(run(b)), "model binary").collect()
     return dict(np.load(io.BytesIO(found[0]["model"]))) if found else train([], [])
 
 
@@ -291,7 +291,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             for part, data, off in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score_texts(shared.value, data, off).astype(np.float64))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: released(run(b)), "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -310,4 +310,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame
                 yield part.filter(pa.array(score_texts(model.value, data, off) < at))
 
     has_text = F.length("text") > 0
-    return docs.where(has_text).mapInArrow(run, docs.schema).unionByName(docs.where(~F.coalesce(has_text, F.lit(False))))
+    return docs.where(has_text).mapInArrow(lambda b: released(run(b)), docs.schema).unionByName(docs.where(~F.coalesce(has_text, F.lit(False))))
