@@ -5,7 +5,8 @@
    passage that thousands of documents share thus costs one link an occurrence, never all pairs.
 2. Chains: the matched seeds of a (document, earlier document) pair are chained in order with
    linear gap costs; the best predecessor is a prefix maximum in a Fenwick tree.
-3. Alignment: both sides of a chain are aligned word by word between the anchors and past the ends.
+3. Alignment: both sides of a chain are aligned word by word between the anchors and past the ends,
+   and the alignment is taken apart where it is unlike, however far the chain was linked.
 4. Passages: a document's aligned stretches, to whichever earlier document, are merged; those of
    `min_words` or more with `similarity` or more of their words matched are returned.
 
@@ -164,14 +165,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which words of a are matched in a longest common subsequence of two short gaps."""
-    hit = np.zeros(len(a), bool)
+    """For each word of a its partner in b in a longest common subsequence of two short gaps, -1 without one."""
+    to = np.full(len(a), -1)
     if len(a) == len(b):
         same = a == b
         if same.all() or len(a) < 3:
-            return same
+            return np.where(same, np.arange(len(a)), -1)
     if not len(a) or not len(b) or len(a) * len(b) > 1 << 20:
-        return hit
+        return to
     table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
     equal = a[:, None] == b[None, :]
     for i in range(len(a)):
@@ -180,13 +181,13 @@ def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     i, j = len(a), len(b)
     while i and j:
         if equal[i - 1, j - 1] and table[i, j] == table[i - 1, j - 1] + 1:
-            hit[i - 1] = True
+            to[i - 1] = j - 1
             i, j = i - 1, j - 1
         elif table[i - 1, j] >= table[i, j - 1]:
             i -= 1
         else:
             j -= 1
-    return hit
+    return to
 
 
 def _run_on(a: np.ndarray, b: np.ndarray) -> int:
@@ -199,49 +200,106 @@ def _run_on(a: np.ndarray, b: np.ndarray) -> int:
     return best + 1 if total[best] > 0 else 0
 
 
-def align(a: np.ndarray, b: np.ndarray, pos: np.ndarray, rpos: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Align two word slices along anchors (offsets into them): a's span, b's span, matched words.
+def _best(x: np.ndarray, cost: float, least: int) -> tuple[int, int] | None:
+    """The stretch of `least` words or more, from a matched word to a matched word, whose matches less cost x misses sum up highest; None unless above 0."""
+    n = len(x) - least + 1
+    if n < 1:
+        return None
+    total = np.concatenate([[0.0], np.cumsum(x - cost * (1 - x))])
+    start = np.where(x > 0, total[:-1], np.inf)
+    gain = np.where(x[least - 1 :] > 0, total[least:], -np.inf) - np.minimum.accumulate(start[:n])
+    j = int(gain.argmax())
+    return (int(start[: j + 1].argmin()), j + least) if gain[j] > 0 else None
+
+
+def stretches(x: np.ndarray, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Disjoint stretches with `similarity` or more of their words matched; x: how far each word is matched, 0 to 1.
+
+    So many unmatched words in a row that the words around them hold a passage by themselves part stretches.
+    Between them the best-scoring stretch (a miss costs 2, as in `_run_on`) is taken if it is a passage, else the best
+    of `min_words` or more at the cost at which a sum above 0 means `similarity`, so that a passage is found
+    wherever there is one; then shorter ones, which may be parts of a passage with other documents.
+    """
+    live = np.flatnonzero(x > 0)
+    strict = similarity / max(1 - similarity, 1e-6) * (1 - 1e-9)  # a stretch of just this similarity counts
+    gap = min_words * max(1.0, 2 / strict)
+    out = []
+    todo = [(int(p[0]), int(p[-1]) + 1) for p in np.split(live, np.flatnonzero(np.diff(live) > gap + 1) + 1) if len(p)]
+    while todo:
+        lo, hi = todo.pop()
+        part = x[lo:hi]
+        found = _best(part, min(2.0, strict), min_words)
+        if not found or part[slice(*found)].sum() < similarity * (found[1] - found[0]) - 1e-9:
+            found = _best(part, strict, min_words) or _best(part, strict, K)
+        if found:
+            out.append((lo + found[0], lo + found[1]))
+            todo += [(lo, lo + found[0]), (lo + found[1], hi)]
+    return sorted(out)
+
+
+def align(a: np.ndarray, b: np.ndarray, pos: np.ndarray, rpos: np.ndarray, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, int]]:
+    """Align two word slices along anchors (offsets into them): a's span, b's span, matched words of each stretch that is alike.
 
     On one diagonal the words are compared in place; where the diagonal changes, the gap between
     two anchors is aligned by a longest common subsequence. Ends run on word by word to where
     equal words (1) less unequal ones (2) sum up highest.
     """
-    hit = np.zeros(len(a), bool)
+    to = np.full(len(a), -1)  # the partner of each word in b
+
+    def compare(lo: int, hi: int, r: int) -> None:
+        same = np.flatnonzero(a[lo:hi] == b[r : r + hi - lo])
+        to[lo + same] = r + same
+
     cuts = np.flatnonzero(np.diff(pos) != np.diff(rpos)) + 1
     for run in np.split(np.arange(len(pos)), cuts):
         lo, hi, r = int(pos[run[0]]), int(pos[run[-1]]) + K, int(rpos[run[0]])
-        n = min(hi - lo, len(b) - r)
-        hit[lo : lo + n] |= a[lo : lo + n] == b[r : r + n]
+        compare(lo, lo + min(hi - lo, len(b) - r), r)
     for c in cuts:
         lo, hi, r0, r1 = int(pos[c - 1]) + K, int(pos[c]), int(rpos[c - 1]) + K, int(rpos[c])
         if hi > lo and r1 > r0:
-            hit[lo:hi] |= _gap(a[lo:hi], b[r0:r1])
+            part = _gap(a[lo:hi], b[r0:r1])
+            to[lo:hi] = np.where(part >= 0, r0 + part, to[lo:hi])
     lo, rlo = int(pos[0]), int(rpos[0])
     n = _run_on(a[:lo][::-1], b[:rlo][::-1])
-    hit[lo - n : lo] = a[lo - n : lo] == b[rlo - n : rlo]
-    lo, rlo = lo - n, rlo - n
+    compare(lo - n, lo, rlo - n)
+    lo -= n
     hi, rhi = int(pos[-1]) + K, int(rpos[-1]) + K
     n = _run_on(a[hi:], b[rhi:])
-    hit[hi : hi + n] = a[hi : hi + n] == b[rhi : rhi + n]
-    hi, rhi = hi + n, rhi + n
-    return lo, hi, rlo, rhi, int(hit[lo:hi].sum())
-
-
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a chain: its document's side (0, with the anchors), then the earlier document's (1)."""
-    for rows in grouped(batches, ["doc", "ref", "chain"]):
-        rows = rows.combine_chunks()
-        doc, ref, key, side, lo = (rows.column(c).to_numpy() for c in ("doc", "ref", "chain", "side", "lo"))
-        pos, rpos, words = (rows.column(c).combine_chunks() for c in ("pos", "rpos", "words"))
-        at, out = bounds(doc, ref, key), []
-        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            other = s + int(np.searchsorted(side[s:e], 1))
-            if s < other < e:
-                dlo, rlo = max(0, int(lo[s])), max(0, int(lo[other]))
-                a, b, p, r = (x.values.to_numpy() for x in (words[s], words[other], pos[s], rpos[s]))
-                out.append([doc[s], ref[s], *(np.array(align(a, b, p - dlo, r - rlo)) + [dlo, dlo, rlo, rlo, 0])])
-        x = np.array(out, np.int64).reshape(-1, 7)
-        yield pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(7)], names=["doc", "ref", "lo", "hi", "rlo", "rhi", "matched"])
+    compare(hi, hi + n, rhi)
+    hi += n
+    hit = to[lo:hi] >= 0
+    good = int(hit.sum())
+    if hi - lo - good <= min_words and good >= similarity * (hi - lo):  # alike, and too few misses to part it
+        found = [(0, hi - lo)]
+    else:
+        found = stretches(hit.astype(float), min_words, similarity)
+    out = []
+    for i, j in found:
+        partner = to[lo + i : lo + j]
+        partner = partner[partner >= 0]
+        out.append((lo + i, lo + j, int(partner.min()), int(partner.max()) + 1, len(partner)))
+    return out
+
+
+def _align(min_words: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a chain: its document's side (0, with the anchors), then the earlier document's (1)."""
+        for rows in grouped(batches, ["doc", "ref", "chain"]):
+            rows = rows.combine_chunks()
+            doc, ref, key, side, lo = (rows.column(c).to_numpy() for c in ("doc", "ref", "chain", "side", "lo"))
+            pos, rpos, words = (rows.column(c).combine_chunks() for c in ("pos", "rpos", "words"))
+            at, out = bounds(doc, ref, key), []
+            for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                other = s + int(np.searchsorted(side[s:e], 1))
+                if s < other < e:
+                    dlo, rlo = max(0, int(lo[s])), max(0, int(lo[other]))
+                    a, b, p, r = (x.values.to_numpy() for x in (words[s], words[other], pos[s], rpos[s]))
+                    for x in align(a, b, p - dlo, r - rlo, min_words, similarity):
+                        out.append((doc[s], ref[s], x[0] + dlo, x[1] + dlo, x[2] + rlo, x[3] + rlo, x[4]))
+            x = np.array(out, np.int64).reshape(-1, 7)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(7)], names=["doc", "ref", "lo", "hi", "rlo", "rhi", "matched"])
+
+    return run
 
 
 def _merge(min_words: int, similarity: float):
@@ -253,19 +311,25 @@ def _merge(min_words: int, similarity: float):
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 order = np.lexsort((ref[s:e], -hi[s:e], lo[s:e])) + s
                 parts: list[int] = []
-                start = end = good = 0
+                start = end = 0
                 for i in [*order.tolist(), -1]:
                     if i >= 0 and parts and lo[i] <= end + JOIN_GAP:
-                        if hi[i] > end:
-                            good += matched[i] * (hi[i] - max(end, lo[i])) / (hi[i] - lo[i])
-                            end = hi[i]
+                        end = max(end, hi[i])
                         parts.append(i)
                         continue
-                    if parts and end - start >= min_words and good >= similarity * (end - start):
-                        top = max(parts, key=lambda j: (matched[j], -ref[j]))
-                        out.append((doc[s], start, end, ref[top], rlo[top], rhi[top], sorted({int(ref[j]) for j in parts}), float(good) / (end - start)))
+                    if end - start >= min_words:
+                        x = np.zeros(end - start)  # overlaps: as matched as the better span's words
+                        for j in parts:
+                            span = x[lo[j] - start : hi[j] - start]
+                            np.maximum(span, matched[j] / (hi[j] - lo[j]), out=span)
+                        whole = x.sum() >= similarity * len(x) - 1e-9
+                        for f, t in [(0, len(x))] if whole else stretches(x, min_words, similarity):
+                            if t - f >= min_words:
+                                own = [j for j in parts if lo[j] < start + t and hi[j] > start + f]
+                                top = max(own, key=lambda j: (matched[j], -ref[j]))
+                                out.append((doc[s], start + f, start + t, ref[top], rlo[top], rhi[top], sorted({int(ref[j]) for j in own}), float(x[f:t].mean())))
                     if i >= 0:
-                        parts, start, end, good = [i], lo[i], hi[i], float(matched[i])
+                        parts, start, end = [i], lo[i], hi[i]
             names = ["doc_id", "start_word", "end_word", "ref_doc_id", "ref_start_word", "ref_end_word"]
             cols = [pa.array([int(x[c]) for x in out], pa.int64()) for c in range(6)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([x[6] for x in out], pa.list_(pa.int64())), pa.array([x[7] for x in out], pa.float64())], names=[*names, "ref_doc_ids", "identity"])
@@ -294,7 +358,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     key = "doc long, ref long, chain long, side int, lo int, hi int, pos array<int>, rpos array<int>"
     cut = asked.join(docs, "doc_id").drop("doc_id").mapInArrow(_cut, f"{key}, words array<int>")
     order = ["doc", "ref", "chain", "side"]
-    aligned = cut.repartition(*order[:3]).sortWithinPartitions(*order).mapInArrow(_align, "doc long, ref long, lo long, hi long, rlo long, rhi long, matched long")
+    aligned = cut.repartition(*order[:3]).sortWithinPartitions(*order).mapInArrow(_align(min_words, similarity), "doc long, ref long, lo long, hi long, rlo long, rhi long, matched long")
     schema = "doc_id long, start_word long, end_word long, ref_doc_id long, ref_start_word long, ref_end_word long, ref_doc_ids array<long>, identity double"
     return aligned.repartition("doc").sortWithinPartitions("doc").mapInArrow(_merge(min_words, similarity), schema)
 

@@ -71,6 +71,36 @@ def test_passages(spark):
     assert substring.repeated_passages(df.where("false")).count() == 0
 
 
+def test_passages_with_other_words_between(spark):
+    """Two passages that a document shares in order with the same earlier one, with other words between."""
+    rng = random.Random(21)
+    texts, want = [], {}
+    for n, gaps in ((60, (20, 60, 100, 300)), (600, (100, 300, 1000, 3000))):
+        for gap in gaps:
+            one, two = words(rng, n, 10**6), words(rng, n, 10**6)
+            texts += [f"{one} {words(rng, gap, 10**6)} {two}" for _ in range(2)]
+            want[len(texts) - 1] = (n, gap)
+    cut: dict = {}
+    for r in substring.repeated_passages(docs(spark, texts)).collect():
+        assert r.ref_doc_id == r.doc_id - 1 and r.identity >= 0.8
+        cut.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    for doc, (n, gap) in want.items():
+        assert {*range(n), *range(n + gap, 2 * n + gap)} <= cut.get(doc, set()), (n, gap)
+        assert gap <= n // 2 or len(cut[doc]) <= 2 * n + 4
+
+
+def test_stretches():
+    """Every stretch is alike, and where a long one exists, one is found (against all windows)."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        x = np.repeat(rng.random(12) < 0.6, rng.integers(1, 14, 12)).astype(float)
+        x[rng.random(len(x)) < 0.05] = 0
+        found = substring.stretches(x, 20, 0.8)
+        assert all(x[i:j].mean() >= 0.8 - 1e-6 for i, j in found) and all(a[1] <= b[0] for a, b in itertools.pairwise(found))
+        some = any(x[i] and x[j - 1] and x[i:j].mean() >= 0.8 for i in range(len(x)) for j in range(i + 20, len(x) + 1))
+        assert some == any(j - i >= 20 for i, j in found)
+
+
 def test_chain_is_optimal():
     """The Fenwick chain against the quadratic recurrence."""
     rng = random.Random(4)
