@@ -1,6 +1,6 @@
 """Quality rules: robust multivariate outliers by the minimum covariance determinant.
 
-Per language and source, the statistics of every document are transformed into a vector, and the
+Per language and source (a small group: per language, or over all documents), the statistics of every document are transformed into a vector, and the
 mean and covariance of the tightest three quarters of the vectors are searched for by
 concentration steps from several starts. A document far from them, by Mahalanobis distance, is
 rejected. Only DataFrame functions are used.
@@ -31,7 +31,7 @@ DIM = 5
 KEEP = 0.75
 STARTS, FIRST_STEPS, LAST_STEPS = 4, 2, 4
 BINS, LOWEST = 8, -160  # an octave; the lowest bin
-MIN_GROUP = 60  # a group with fewer vectors has no estimate and rejects nothing
+MIN_GROUP = 60  # a group with fewer vectors takes the estimate of its language, or of all documents
 #: The least standard deviation of each component: one that is nearly always zero mustn't reject what differs a little.
 FLOOR = (0.25, 0.25, 0.1, 0.1, 0.1)
 REWEIGHT, REJECT = 0.975, 1e-9  # share of a Gaussian that the last step keeps, and that is rejected
@@ -130,6 +130,7 @@ def vector() -> list[Column]:
 
 PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
 GROUP = ["lang", "source"]
+KEY = ["level", *GROUP]  # of an estimate: 0: a group, 1: a language, 2: all documents
 _ESTIMATE = [f"m{i}" for i in range(DIM)] + [f"l{i}{j}" for i, j in PAIRS]
 _SUMS = ["n", *[f"s{i}" for i in range(DIM)], *[f"q{i}{j}" for i, j in PAIRS]]
 
@@ -172,46 +173,76 @@ def _distance(rows: DataFrame, name: str = "d2") -> DataFrame:
 
 
 def _step(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """One concentration step of every group and start."""
-    near = _distance(rows.join(estimate.select(*GROUP, "start", *_ESTIMATE), GROUP))
+    """One concentration step of every key and start."""
+    near = _distance(rows.join(estimate.select(*KEY, "start", *_ESTIMATE), KEY))
     bin_ = F.greatest(F.lit(LOWEST), F.floor(F.log2(F.greatest("d2", F.lit(1e-30))) * BINS)).cast("int")
-    binned = near.withColumn("bin", bin_).groupBy(*GROUP, "start", "bin").agg(*_sums())
-    own = Window.partitionBy(*GROUP, "start")
+    binned = near.withColumn("bin", bin_).groupBy(*KEY, "start", "bin").agg(*_sums())
+    own = Window.partitionBy(*KEY, "start")
     run = own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     inner = binned.withColumn("_before", F.coalesce(F.sum("n").over(run), F.lit(0))).withColumn("_all", F.sum("n").over(own)).where(F.col("_before") < F.ceil(F.col("_all") * KEEP))
-    return _estimate(inner.groupBy(*GROUP, "start").agg(*[F.sum(c).alias(c) for c in _SUMS]))
+    return _estimate(inner.groupBy(*KEY, "start").agg(*[F.sum(c).alias(c) for c in _SUMS]))
 
 
 def _starts(rows: DataFrame) -> DataFrame:
-    """Start 0: all rows of a group. The others: DIM + 1 rows each, the least by a keyed hash in as many parts."""
-    all_rows = rows.groupBy(*GROUP).agg(*_sums()).where(F.col("n") >= MIN_GROUP)
+    """Start 0: all rows of a key. The others: DIM + 1 rows each, the least by a keyed hash in as many parts."""
+    all_rows = rows.groupBy(*KEY).agg(*_sums())
     x = [f"x{i}" for i in range(DIM)]
     key = F.xxhash64(F.col("start"), *x)
     few = rows.withColumn("start", F.explode(F.array(*[F.lit(s) for s in range(1, STARTS)]))).withColumn("_k", key)
-    few = few.groupBy(*GROUP, "start", F.pmod("_k", F.lit(DIM + 1)).alias("_p")).agg(F.min(F.struct("_k", *x)).alias("r"))
-    few = few.select(*GROUP, "start", *[F.col(f"r.{c}").alias(c) for c in x]).groupBy(*GROUP, "start").agg(*_sums())
-    few = few.join(all_rows.select(*GROUP), GROUP, "left_semi")
-    return _estimate(all_rows.withColumn("start", F.lit(0)).select(*GROUP, "start", *_SUMS).unionByName(few.select(*GROUP, "start", *_SUMS)))
+    few = few.groupBy(*KEY, "start", F.pmod("_k", F.lit(DIM + 1)).alias("_p")).agg(F.min(F.struct("_k", *x)).alias("r"))
+    few = few.select(*KEY, "start", *[F.col(f"r.{c}").alias(c) for c in x]).groupBy(*KEY, "start").agg(*_sums())
+    return _estimate(all_rows.withColumn("start", F.lit(0)).select(*KEY, "start", *_SUMS).unionByName(few.select(*KEY, "start", *_SUMS)))
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """The reweighted minimum-covariance-determinant estimate of each group of vectors (lang, source, x0..): means and Cholesky factor.
+def _levels(found: DataFrame) -> DataFrame:
+    """(lang, source, level): the narrowest level at which a group has MIN_GROUP vectors; null if all documents have fewer."""
+    groups = materialize(found.groupBy(*GROUP).agg(F.count_if(~F.col("base_failed")).alias("n")), "groups")
+    of_lang = groups.groupBy("lang").agg(F.sum("n").alias("_lang"))
+    of_all = F.broadcast(groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_all")))  # one row
+    level = F.when(F.col("n") >= MIN_GROUP, 0).when(F.col("_lang") >= MIN_GROUP, 1).when(F.col("_all") >= MIN_GROUP, 2)
+    return materialize(groups.join(of_lang, "lang").crossJoin(of_all).select(*GROUP, level.alias("level")), "levels")
 
-    `rows` is a stored table. Groups with fewer than MIN_GROUP vectors are left out. Each estimate
+
+def _keys(level: int) -> list[Column]:
+    """A group's key at a level."""
+    return [F.lit(level).alias("level"), *[(F.col(c) if k + level < 2 else F.lit("")).alias(c) for k, c in enumerate(GROUP)]]
+
+
+def estimates(found: DataFrame) -> DataFrame:
+    """The estimate that each group (lang, source) is held against: means and Cholesky factor.
+
+    `found` is a stored table (lang, source, base_failed, x0..). A group of MIN_GROUP vectors has its own
+    estimate; a smaller one takes that of all vectors of its language, or, if these are too few, of all vectors.
+    """
+    levels = _levels(found)
+    x = [f"x{i}" for i in range(DIM)]
+    good = found.where(~F.col("base_failed"))
+    parts = [good.join(levels.where(F.col("level") == n).select(*on).distinct(), on, "left_semi").select(*_keys(n), *x) for n, on in ((0, GROUP), (1, ["lang"]))]
+    any_ = F.broadcast(levels.where("level = 2").select("level").limit(1))  # one row
+    parts.append(good.crossJoin(any_).select(*_keys(2), *x))
+    fitted = _fit(materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]), "vectors"))
+    own = levels.where("level IS NOT NULL").select(*[F.col(c).alias(f"_{c}") for c in GROUP], "level", *[F.when(F.col("level") + k < 2, F.col(c)).otherwise("").alias(c) for k, c in enumerate(GROUP)])
+    return materialize(own.join(fitted, KEY).select(*[F.col(f"_{c}").alias(c) for c in GROUP], *_ESTIMATE), "estimates")
+
+
+def _fit(rows: DataFrame) -> DataFrame:
+    """The reweighted minimum-covariance-determinant estimate of each key's vectors (level, lang, source, x0..).
+
+    `rows` is a stored table. Each estimate
     table is stored before it is joined, so its size is known when the join is planned: it is
     broadcast only under Spark's own limit, beyond it the join is by group.
     """
     now = materialize(_starts(rows), "mcd")
     for _ in range(FIRST_STEPS):
         now = materialize(_step(rows, now), "mcd")
-    rank = F.row_number().over(Window.partitionBy(*GROUP).orderBy("log_det", "start"))
+    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy("log_det", "start"))
     now = materialize(now.withColumn("_r", rank).where("_r = 1").drop("_r"), "mcd")
     for _ in range(LAST_STEPS):
         now = materialize(_step(rows, now), "mcd")
     # reweighting: all vectors within the scaled estimate's Gaussian cut
     cut = chi2_cut(1 - REWEIGHT) * consistency(KEEP)
-    near = _distance(rows.join(now.select(*GROUP, *_ESTIMATE), GROUP)).where(F.col("d2") <= cut)
-    return materialize(_estimate(near.groupBy(*GROUP).agg(*_sums()), consistency(REWEIGHT)), "mcd")
+    near = _distance(rows.join(now.select(*KEY, *_ESTIMATE), KEY)).where(F.col("d2") <= cut)
+    return materialize(_estimate(near.groupBy(*KEY).agg(*_sums()), consistency(REWEIGHT)), "mcd")
 
 
 def quality(docs: DataFrame, reject: float = REJECT) -> DataFrame:
@@ -219,8 +250,8 @@ def quality(docs: DataFrame, reject: float = REJECT) -> DataFrame:
 
     Null texts count as empty, null languages and sources as ''. Base rules: under 50 words, or
     over half of the words in repeated three-word windows. Rows that fail them are no part of the
-    estimates and not kept. `distance` is the squared Mahalanobis distance (null without an
-    estimate: such a row is kept); kept means at most the cut that a Gaussian exceeds with
+    estimates and not kept. `distance` is the squared Mahalanobis distance (null if the
+    whole table has under MIN_GROUP vectors: such rows are kept); kept means at most the cut that a Gaussian exceeds with
     probability `reject`. Repeated rows and null doc_ids stay; extra columns are ignored.
     """
     key = [F.coalesce(c, F.lit("")).alias(c) for c in GROUP]
@@ -228,7 +259,7 @@ def quality(docs: DataFrame, reject: float = REJECT) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     found = found.withColumn("base_failed", failed).select("*", *[v.alias(f"x{i}") for i, v in enumerate(vector())])
     found = materialize(found, "statistics")
-    fitted = estimates(found.where(~F.col("base_failed")).select(*GROUP, *[f"x{i}" for i in range(DIM)]))
+    fitted = estimates(found)
     out = _distance(found.join(fitted.select(*GROUP, *_ESTIMATE), GROUP, "left"), "distance")
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi2_cut(reject))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))

@@ -196,6 +196,19 @@ def test_outliers(spark):
     assert quality.quality(df.where("false")).count() == 0
 
 
+def test_outliers_of_small_groups(spark):
+    """A rare source, and a rare language, are held against their language's, or all documents', estimate."""
+    rng = random.Random(16)
+    plain = [words(rng, rng.randint(80, 300), 10**6) for _ in range(110)]
+    junk = [" ".join("#&%" + w for w in words(rng, 200, 10**6).split()) for _ in range(3)]
+    df = docs(spark, [*plain, *junk, "short"])
+    df = df.withColumn("source", F.when(F.col("doc_id") < 90, "big").when(F.col("doc_id") % 2 == 0, "rare"))
+    df = df.withColumn("lang", F.when(F.col("doc_id").isin(100, 101, 112, 113), "xx").otherwise(F.col("lang")))
+    rows = {r.doc_id: r for r in quality.quality(df).collect()}
+    assert len(rows) == 114 and all(r.distance is not None for r in rows.values())
+    assert sorted(i for i, r in rows.items() if not r.kept) == [110, 111, 112, 113]
+
+
 def test_chi2():
     assert quality.chi2_cut(0.25) == pytest.approx(6.6257, abs=1e-3)
     assert quality.chi2_cut(0.05) == pytest.approx(11.0705, abs=1e-3)
