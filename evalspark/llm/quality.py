@@ -34,7 +34,7 @@ BINS, LOWEST = 8, -160  # an octave; the lowest bin
 MIN_GROUP = 60  # a group with fewer vectors takes the estimate of its language, or of all documents
 #: The least standard deviation of each component: one that is nearly always zero mustn't reject what differs a little.
 FLOOR = (0.25, 0.25, 0.1, 0.1, 0.1)
-REWEIGHT, REJECT = 0.975, 1e-9  # share of a Gaussian that the last step keeps, and that is rejected
+REWEIGHT, REJECT = 0.975, 1e-3  # share of a Gaussian that the last step keeps, and that is rejected
 
 
 def gamma_p(a: float, x: float) -> float:

@@ -209,6 +209,16 @@ def test_outliers_of_small_groups(spark):
     assert sorted(i for i, r in rows.items() if not r.kept) == [110, 111, 112, 113]
 
 
+def test_one_statistic_is_enough(spark):
+    """Documents that differ from their group in repeated lines alone, a quarter of them."""
+    rng = random.Random(17)
+    line = lambda: words(rng, rng.randint(8, 12), 10**6)
+    plain = ["\n".join(line() for _ in range(rng.randint(15, 30))) for _ in range(80)]
+    junk = ["\n".join(f"{line()}\nread more" if k < 11 else line() for k in range(29)) for _ in range(3)]
+    rows = {r.doc_id: r for r in quality.quality(docs(spark, [*plain, *junk])).collect()}
+    assert not any(r.base_failed for r in rows.values()) and sorted(i for i, r in rows.items() if not r.kept) == [80, 81, 82]
+
+
 def test_chi2():
     assert quality.chi2_cut(0.25) == pytest.approx(6.6257, abs=1e-3)
     assert quality.chi2_cut(0.05) == pytest.approx(11.0705, abs=1e-3)
