@@ -279,8 +279,21 @@ def _occurrences(needle: bytes, text: bytes) -> Iterator[int]:
         at = text.find(needle, at + 1)
 
 
+def _outside(text: str, lo: int, hi: int, known: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a span that no known span (by start) covers, without white space around; one that only quotes or signs are left of isn't a part."""
+    near = [(s, t) for s, t, _ in known if s < hi and lo < t]
+    if not near:
+        yield lo, hi
+        return
+    for s, t in [*near, (hi, hi)]:
+        part = text[lo : max(lo, s)]
+        if re.search(r"[^\W_]", part):
+            yield lo + len(part) - len(part.lstrip()), lo + len(part.rstrip())
+        lo = max(lo, t)
+
+
 def scan_slice(data: np.ndarray, offsets: np.ndarray, texts: list[str], w: np.ndarray, tr: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """All spans of each text: the rules', then the field's where no rule has found the place."""
+    """All spans of each text: the rules', then the field's, as far as no rule has found the place."""
     starts, ends, rows, x = features(data, offsets)
     tags = tag(x, rows, w, tr)
     low = _LOWER[data].tobytes()
@@ -296,8 +309,7 @@ def scan_slice(data: np.ndarray, offsets: np.ndarray, texts: list[str], w: np.nd
             e += 1
         raw = data[offsets[k] : offsets[k + 1]].tobytes()
         lo, hi = (len(raw[: p - offsets[k]].decode("utf-8", "replace")) for p in (starts[b], ends[e - 1]))
-        if not any(s < hi and lo < t for s, t, _ in found[k]):
-            found[k] = sorted([*found[k], (lo, hi, 3)], key=lambda s: (s[0], s[2]))
+        found[k] = sorted([*found[k], *[(s, t, 3) for s, t in _outside(texts[k], lo, hi, found[k])]], key=lambda s: (s[0], s[2]))
     return found
 
 

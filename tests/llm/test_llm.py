@@ -239,6 +239,14 @@ def test_secrets(spark):
     assert key not in clean[1] + clean[4] and "abcdefgh12" not in clean[0] and [clean[5 + i] for i in range(4)] == ODD[:4]
 
 
+def test_secret_of_several_tokens(spark):
+    """The rule takes the first token behind a cue, the field the others."""
+    text = "see the note secret: abCd12efGh34 ijKl56mnOp78 for it"
+    clean = secrets.redact(docs(spark, [text])).first().text
+    assert "abCd12efGh34" not in clean and "ijKl56mnOp78" not in clean and clean.startswith("see the note ") and clean.endswith(" for it")
+    assert list(secrets._outside("a 'bcd efg'", 2, 11, [(3, 6, 0)])) == [(7, 11)] and not list(secrets._outside("a 'bcd'", 2, 7, [(3, 6, 0)]))
+
+
 def test_crf():
     """Viterbi against all paths, and the field on generated lines it wasn't trained on."""
     rng = np.random.default_rng(1)
