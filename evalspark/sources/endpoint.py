@@ -32,7 +32,7 @@ class Endpoint:
             try:
                 request = urllib.request.Request(self.url, body.encode(), {"Content-Type": "application/json", **self.headers})
                 with urllib.request.urlopen(request, timeout=self.timeout) as response:
-                    return response.read().decode("utf-8", "replace")[:RAW_LIMIT]
+                    return response.read().decode("utf-8", "replace")
             except ValueError as e:
                 return json.dumps({"error": str(e)})
             except OSError as e:
@@ -42,6 +42,11 @@ class Endpoint:
         raise AssertionError("unreachable")
 
 
+def raw(payload: Column) -> Column:
+    """The copy of an answer that is kept beside its fields, cut to RAW_LIMIT characters; fields are read from the whole."""
+    return F.substring(payload, 1, RAW_LIMIT)
+
+
 def fields(payload: Column, paths: dict[str, str]) -> list[Column]:
     """Mapped fields of an answer's JSON; `response` falls back to `data.answer`, `answer`, then the raw text."""
     out = [T.path_get(payload, p).alias(name) for name, p in paths.items() if name != "response"]

@@ -1,5 +1,7 @@
 """Column functions and operators on small inputs with known results."""
 
+import io
+import json
 import random
 
 import pytest
@@ -274,6 +276,15 @@ def test_endpoint(spark):
     assert (r.response, r.docs, r.bad) == ("yes", '["1"]', ["z"])
 
 
+def test_endpoint_long_answer(spark, monkeypatch):
+    """Fields are read from the whole of a long answer; only the raw copy is cut."""
+    body = json.dumps({"data": {"answer": "é" * 30_000, "docs": ["1"]}}, ensure_ascii=False)
+    monkeypatch.setattr(endpoint.urllib.request, "urlopen", lambda *a, **k: io.BytesIO(body.encode()))
+    df = spark.createDataFrame([(endpoint.Endpoint("http://x").answer("", ["{}"])[0],)], "p string")
+    r = df.select(*endpoint.fields(F.col("p"), {"docs": "data.docs"}), endpoint.raw(F.col("p")).alias("raw")).first()
+    assert (r.response, r.docs, r.raw) == ("é" * 30_000, '["1"]', body[:20_000])
+
+
 def test_stale(spark):
     runs = spark.sql("SELECT * FROM VALUES (1, 'running', timestamp'2024-01-01 00:00:00'), (2, 'running', timestamp'2024-01-01 00:00:00'), (3, 'completed', timestamp'2024-01-01 00:00:00') t(run, status, started_at)")
     beats = spark.sql("SELECT 2 AS run, timestamp'2024-01-01 01:50:00' AS ts")
