@@ -19,6 +19,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -117,49 +118,44 @@ def _at_most(counts: np.ndarray) -> np.ndarray:
 
 
 def fillings(counts: np.ndarray, room: int, most: int = 4) -> list[tuple[int, ...]]:
-    """Undominated ways to fill `room` from the counts, least waste first, larger items first on ties.
+    """Ways to fill `room` from the counts, with any number of items: least waste first, larger items first on ties.
 
-    One item as large as fits dominates every filling that a single item could take the place
-    of; pairs and triples are kept where they leave less room than the best with fewer items.
+    Sums are reached by a bounded knapsack over the lengths, the set of sums as the bits of a
+    number; the fillings of the highest sums are read off it, so none of more sum is left out.
     """
     if room <= 0:
         return [()]
-    fits = _at_most(counts[: room + 1])
-    one = int(fits[room])
-    found: list[tuple[int, ...]] = [(one,)] if one else [()]
-    if not one or one == room:
-        return found
-    left = np.flatnonzero(counts[: room + 1] > 0)
-
-    def second(a: np.ndarray, r: np.ndarray, used: np.ndarray) -> np.ndarray:
-        """The largest partner of each a (at most a) within r; a itself only if two are left beyond `used`."""
-        want = np.minimum(a, r)
-        b = fits[np.maximum(want, 0)]
-        own = (b == a) & (counts[a] < 2 + used)
-        return np.where(own, fits[np.maximum(np.minimum(a - 1, want), 0)], b)
-
-    none = np.zeros(len(left), np.int64)
-    b = second(left, room - left, none)
-    total = np.where(b > 0, left + b, 0)
-    order = np.lexsort((-left, -total))
-    found += [(int(left[k]), int(b[k])) for k in order[:most] if total[k] > one]
-    best = max(sum(f) for f in found)
-    if best < room:
-        for a in left[::-1]:
-            rest = room - int(a)
-            x = left[(left <= a) & (left < rest)]
-            x = x[(x != a) | (counts[a] > 1)]
-            if not len(x):
-                continue
-            y = second(x, rest - x, (x == a).astype(np.int64))
-            s = np.where(y > 0, x + y, 0)
-            k = int(s.argmax())
-            if a + s[k] > best:
-                found.append((int(a), int(x[k]), int(y[k])))
-                best = int(a + s[k])
-                if best == room:
-                    break
-    return sorted(found, key=lambda f: (room - sum(f), len(f), tuple(-v for v in f)))[:most]
+    left = np.flatnonzero(counts[: room + 1] > 0).tolist()
+    mask = (1 << room + 1) - 1
+    reach = [1]  # sums of the k shortest lengths
+    for v in left:
+        now, n, step = reach[-1], min(int(counts[v]), room // v), 1
+        while n > 0:  # counts by doubling
+            step = min(step, n)
+            now |= now << v * step & mask
+            n -= step
+            step *= 2
+        reach.append(now)
+
+    def ways(total: int, k: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
+            return
+        for at in range(k, 0, -1):  # the largest item
+            v = left[at - 1]
+            for n in range(min(int(counts[v]), total // v), 0, -1):
+                if reach[at - 1] >> (total - n * v) & 1:
+                    for rest in ways(total - n * v, at - 1):
+                        yield (v,) * n + rest
+
+    out: list[tuple[int, ...]] = []
+    sums = reach[-1]
+    while sums and len(out) < most:
+        total = sums.bit_length() - 1
+        sums ^= 1 << total
+        if total or not out:
+            out += islice(ways(total, len(left)), most - len(out))
+    return out
 
 
 def _times(counts: np.ndarray, bin_: tuple[int, ...]) -> int:

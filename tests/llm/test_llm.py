@@ -344,6 +344,19 @@ def test_bin_completion():
         assert sum(n for _, n in bins) == least(items)
 
 
+def test_fillings_of_many_items():
+    """Bins of five pieces, and the best sums against all subsets."""
+    bins = packing.plan({206: 3072, 203: 2048})
+    assert sum(n for _, n in bins) == 1024
+    rng = random.Random(19)
+    for _ in range(40):
+        items, room = [rng.randint(2, 9) for _ in range(8)], rng.randint(5, 40)
+        fits = {tuple(sorted(c, reverse=True)) for n in range(9) for c in itertools.combinations(items, n) if sum(c) <= room}
+        got = packing.fillings(np.bincount(items, minlength=41), room)
+        assert len(set(got)) == len(got) and set(got) <= fits
+        assert [sum(f) for f in got] == sorted((sum(f) for f in fits if f), reverse=True)[:4]
+
+
 # ---------------------------------------------------------------- 8
 
 
