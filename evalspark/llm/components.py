@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import materialize
+from evalspark.llm.common import materialize, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,8 +36,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = materialize(edges, "edges")
     mark = None
     while True:
-        edges = materialize(_star(_star(edges, True), False), "edges")
-        n, total, check = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum("b")).first()
+        edges, before = materialize(_star(_star(edges, True), False), "edges"), edges
+        release(before)
+        n, total, check = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if (n, total, check) == mark or not n:
             break
         mark = (n, total, check)
