@@ -1,7 +1,7 @@
 """Quality rules: robust multivariate outliers by the minimum covariance determinant.
 
-Per language and source (a small group: per language, or over all documents), the statistics of every document are transformed into a vector, and the
-mean and covariance of the tightest three quarters of the vectors are searched for by
+Per language and source (a small group: per language, or over all documents), the statistics of
+every document are transformed into a vector, and the mean and covariance of the tightest three quarters of the vectors are searched for by
 concentration steps from several starts. A document far from them, by Mahalanobis distance, is
 rejected. Only DataFrame functions are used.
 
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import materialize
+from evalspark.llm.common import materialize, release
 
 #: Fixed values of the contract.
 SPACE = " \t\n\x0b\f\r"
@@ -31,7 +31,7 @@ DIM = 5
 KEEP = 0.75
 STARTS, FIRST_STEPS, LAST_STEPS = 4, 2, 4
 BINS, LOWEST = 8, -160  # an octave; the lowest bin
-MIN_GROUP = 60  # a group with fewer vectors takes the estimate of its language, or of all documents
+MIN_GROUP = 60  # a group with fewer vectors takes the estimate of its language, or, if that has fewer too, of all documents
 #: The least standard deviation of each component: one that is nearly always zero mustn't reject what differs a little.
 FLOOR = (0.25, 0.25, 0.1, 0.1, 0.1)
 REWEIGHT, REJECT = 0.975, 1e-3  # share of a Gaussian that the last step keeps, and that is rejected
@@ -195,12 +195,13 @@ def _starts(rows: DataFrame) -> DataFrame:
 
 
 def _levels(found: DataFrame) -> DataFrame:
-    """(lang, source, level): the narrowest level at which a group has MIN_GROUP vectors; null if all documents have fewer."""
+    """(lang, source, level): the narrowest level at which a group has MIN_GROUP vectors, else that of all documents, however few."""
     groups = materialize(found.groupBy(*GROUP).agg(F.count_if(~F.col("base_failed")).alias("n")), "groups")
     of_lang = groups.groupBy("lang").agg(F.sum("n").alias("_lang"))
-    of_all = F.broadcast(groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_all")))  # one row
-    level = F.when(F.col("n") >= MIN_GROUP, 0).when(F.col("_lang") >= MIN_GROUP, 1).when(F.col("_all") >= MIN_GROUP, 2)
-    return materialize(groups.join(of_lang, "lang").crossJoin(of_all).select(*GROUP, level.alias("level")), "levels")
+    level = F.when(F.col("n") >= MIN_GROUP, 0).when(F.col("_lang") >= MIN_GROUP, 1).otherwise(2)
+    out = materialize(groups.join(of_lang, "lang").select(*GROUP, level.alias("level")), "levels")
+    release(groups)
+    return out
 
 
 def _keys(level: int) -> list[Column]:
@@ -212,7 +213,8 @@ def estimates(found: DataFrame) -> DataFrame:
     """The estimate that each group (lang, source) is held against: means and Cholesky factor.
 
     `found` is a stored table (lang, source, base_failed, x0..). A group of MIN_GROUP vectors has its own
-    estimate; a smaller one takes that of all vectors of its language, or, if these are too few, of all vectors.
+    estimate; a smaller one takes that of all vectors of its language, or, if these are too few, of all vectors,
+    however few there are: the floors keep the covariance of any number of vectors regular.
     """
     levels = _levels(found)
     x = [f"x{i}" for i in range(DIM)]
@@ -220,29 +222,40 @@ def estimates(found: DataFrame) -> DataFrame:
     parts = [good.join(levels.where(F.col("level") == n).select(*on).distinct(), on, "left_semi").select(*_keys(n), *x) for n, on in ((0, GROUP), (1, ["lang"]))]
     any_ = F.broadcast(levels.where("level = 2").select("level").limit(1))  # one row
     parts.append(good.crossJoin(any_).select(*_keys(2), *x))
-    fitted = _fit(materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]), "vectors"))
-    own = levels.where("level IS NOT NULL").select(*[F.col(c).alias(f"_{c}") for c in GROUP], "level", *[F.when(F.col("level") + k < 2, F.col(c)).otherwise("").alias(c) for k, c in enumerate(GROUP)])
-    return materialize(own.join(fitted, KEY).select(*[F.col(f"_{c}").alias(c) for c in GROUP], *_ESTIMATE), "estimates")
+    vectors = materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]), "vectors")
+    fitted = _fit(vectors)
+    own = levels.select(*[F.col(c).alias(f"_{c}") for c in GROUP], "level", *[F.when(F.col("level") + k < 2, F.col(c)).otherwise("").alias(c) for k, c in enumerate(GROUP)])
+    out = materialize(own.join(fitted, KEY).select(*[F.col(f"_{c}").alias(c) for c in GROUP], *_ESTIMATE), "estimates")
+    release(levels, vectors, fitted)
+    return out
 
 
 def _fit(rows: DataFrame) -> DataFrame:
     """The reweighted minimum-covariance-determinant estimate of each key's vectors (level, lang, source, x0..).
 
-    `rows` is a stored table. Each estimate
-    table is stored before it is joined, so its size is known when the join is planned: it is
-    broadcast only under Spark's own limit, beyond it the join is by group.
+    `rows` is a stored table. Of the starts the one of the least determinant after the first steps
+    goes on, the first of equal ones. Each estimate table is stored before it is joined, so its size
+    is known when the join is planned: it is broadcast only under Spark's own limit, beyond it the
+    join is by group.
     """
-    now = materialize(_starts(rows), "mcd")
+
+    def stored(new: DataFrame, old: DataFrame | None = None) -> DataFrame:
+        out = materialize(new, "mcd")
+        if old is not None:
+            release(old)
+        return out
+
+    now = stored(_starts(rows))
     for _ in range(FIRST_STEPS):
-        now = materialize(_step(rows, now), "mcd")
+        now = stored(_step(rows, now), now)
     rank = F.row_number().over(Window.partitionBy(*KEY).orderBy("log_det", "start"))
-    now = materialize(now.withColumn("_r", rank).where("_r = 1").drop("_r"), "mcd")
+    now = stored(now.withColumn("_r", rank).where("_r = 1").drop("_r"), now)
     for _ in range(LAST_STEPS):
-        now = materialize(_step(rows, now), "mcd")
+        now = stored(_step(rows, now), now)
     # reweighting: all vectors within the scaled estimate's Gaussian cut
     cut = chi2_cut(1 - REWEIGHT) * consistency(KEEP)
     near = _distance(rows.join(now.select(*KEY, *_ESTIMATE), KEY)).where(F.col("d2") <= cut)
-    return materialize(_estimate(near.groupBy(*KEY).agg(*_sums()), consistency(REWEIGHT)), "mcd")
+    return stored(_estimate(near.groupBy(*KEY).agg(*_sums()), consistency(REWEIGHT)), now)
 
 
 def quality(docs: DataFrame, reject: float = REJECT) -> DataFrame:
@@ -250,9 +263,10 @@ def quality(docs: DataFrame, reject: float = REJECT) -> DataFrame:
 
     Null texts count as empty, null languages and sources as ''. Base rules: under 50 words, or
     over half of the words in repeated three-word windows. Rows that fail them are no part of the
-    estimates and not kept. `distance` is the squared Mahalanobis distance (null if the
-    whole table has under MIN_GROUP vectors: such rows are kept); kept means at most the cut that a Gaussian exceeds with
-    probability `reject`. Repeated rows and null doc_ids stay; extra columns are ignored.
+    estimates and not kept. `distance` is the squared Mahalanobis distance (null only where no row
+    of the table passes the base rules); kept means at most the cut that a Gaussian exceeds with
+    probability `reject`. Texts of any length count whole; repeated rows and null doc_ids stay;
+    extra columns are ignored; an empty table gives none.
     """
     key = [F.coalesce(c, F.lit("")).alias(c) for c in GROUP]
     found = statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, "text"), *GROUP)
