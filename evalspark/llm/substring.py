@@ -1,17 +1,20 @@
 """Substring dedup: fuzzy passages that a document shares with an earlier one, by collinear chaining.
 
-1. Seeds: of every 12 neighbouring five-word shingles the one with the least hash (minimizers), so
-   any run of 16 equal words shares a seed. Each seed value points at its earliest document; a
+1. Seeds: of every 6 neighbouring five-word shingles the one with the least hash (minimizers), so
+   any run of 10 equal words shares a seed. Each seed value points at its earliest document; a
    passage that thousands of documents share thus costs one link an occurrence, never all pairs.
 2. Chains: the matched seeds of a (document, earlier document) pair are chained in order with
    linear gap costs; the best predecessor is a prefix maximum in a Fenwick tree.
 3. Alignment: both sides of a chain are aligned word by word between the anchors and past the ends,
-   and the alignment is taken apart where it is unlike, however far the chain was linked.
+   and the alignment is taken apart where it is unlike, however far the chain was linked. Gaps of any
+   size are aligned in linear space. An end runs on until it is unlike; where the words at hand
+   don't show that, the chain is aligned again with more of them.
 4. Passages: a document's aligned stretches, to whichever earlier document, are merged; those of
    `min_words` or more with `similarity` or more of their words matched are returned.
 
-Null and empty texts and texts under five words have no passage; repeated rows of one doc_id count
-as one document; extra columns are ignored.
+Documents are rows: rows that share a doc_id but not their text are different documents, ordered by
+a hash of the text, and rows that share both are one. Null ids, null and empty texts and texts under
+five words have no passage; texts of any length count whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import bounds, grouped, materialize, mix, released, slices, word_bounds, word_hashes
+from evalspark.llm.common import bounds, free, grouped, materialize, mix, release, released, slices, word_bounds, word_hashes
 
-K, WINDOW = 5, 12
+K, WINDOW = 5, 6
 MIN_WORDS, SIMILARITY = 50, 0.8
-GAP_COST, REACH, JOIN_GAP = 0.1, 32, 6
+GAP_COST, JOIN_GAP = 0.1, 6
+REACH = 32  # words past a chain's ends that an alignment sees at first; eight times as many in each further round
+DROP = 24  # an end is unlike where its sum has fallen so far below its best
+TABLE = 1 << 16  # cells of a gap that is aligned by a table; a larger one is halved
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -60,21 +66,19 @@ def minimizers(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """(h, doc, pos, first): first marks a document's first seed of that value."""
+    """(h, doc, part, pos) of documents (doc, part, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, off in slices(batch):
+            for rows_, data, off in slices(batch):
                 starts, ends, rows = word_bounds(data, off)
                 at, h = minimizers(word_hashes(data, starts, ends), rows)
-                begin = np.searchsorted(rows, np.arange(part.num_rows))
-                order = np.lexsort((at, h, rows[at]))
-                same = np.zeros(len(at), bool)
-                same[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (rows[at[order[1:]]] == rows[at[order[:-1]]])
-                doc = part.column(0).to_numpy()[rows[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array((at - begin[rows[at]]).astype(np.int32)), pa.array(~same)], names=["h", "doc", "pos", "first"])
+                begin = np.searchsorted(rows, np.arange(rows_.num_rows))
+                own = rows[at]
+                doc, part = (rows_.column(k).to_numpy()[own] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(part), pa.array((at - begin[own]).astype(np.int32))], names=["h", "doc", "part", "pos"])
 
-    return docs.mapInArrow(lambda b: released(run(b)), "h long, doc long, pos int, first boolean")
+    return docs.mapInArrow(lambda b: released(run(b)), "h long, doc long, part int, pos int")
 
 
 def chain(pos: np.ndarray, rpos: np.ndarray, k: int = K, gap_cost: float = GAP_COST) -> list[list[int]]:
@@ -126,10 +130,15 @@ def chain(pos: np.ndarray, rpos: np.ndarray, k: int = K, gap_cost: float = GAP_C
     return out
 
 
+PAIR = ["doc", "part", "ref", "rpart"]
+
+
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in grouped(batches, ["doc", "ref"]):
-        doc, ref, pos, rpos = (rows.column(c).to_numpy() for c in ("doc", "ref", "pos", "rpos"))
-        at = bounds(doc, ref)
+    for rows in grouped(batches, PAIR):
+        *pair, pos, rpos = (rows.column(c).to_numpy() for c in (*PAIR, "pos", "rpos"))
+        first = bounds(*pair, pos, rpos)[:-1]  # rows of one document that repeat have the same matches
+        pair, pos, rpos = [c[first] for c in pair], pos[first], rpos[first]
+        at = bounds(*pair)
         out: list[tuple] = []
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if hi - lo < 2:
@@ -141,11 +150,9 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = chain(p, r)
             for path in found:
                 if len(path) > 1:
-                    out.append((doc[lo], ref[lo], p[list(path)], r[list(path)]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32())), pa.array([x[3] for x in out], pa.list_(pa.int32()))],
-            names=["doc", "ref", "pos", "rpos"],
-        )
+                    out.append((*(c[lo] for c in pair), p[list(path)], r[list(path)]))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=[*PAIR, "pos", "rpos"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,15 +171,50 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "words"])
 
 
+def _lengths(a: np.ndarray, b: np.ndarray, block: int = 4096) -> np.ndarray:
+    """The length of a longest common subsequence of a and every prefix of b (0 to all of it).
+
+    A row of the table is held as bits (0 where it grows), in blocks of b's words; what one block's
+    rows carry goes on to the next.
+    """
+    carry, words, rest = [0] * len(a), a.tolist(), []
+    for at in range(0, len(b), block):
+        part = b[at : at + block].tolist()
+        where: dict[int, int] = {}
+        for k, x in enumerate(part):
+            where[x] = where.get(x, 0) | 1 << k
+        n = len(part)
+        v = full = (1 << n) - 1
+        for i, x in enumerate(words):
+            m = where.get(x)
+            if m or carry[i]:
+                u = v & m if m else 0
+                total = v + u + carry[i]
+                carry[i] = total >> n
+                v = total & full | v - u
+        rest.append(np.unpackbits(np.frombuffer(v.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n])
+    return np.concatenate([[0], np.cumsum(1 - np.concatenate(rest).astype(np.int64))])
+
+
 def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each word of a its partner in b in a longest common subsequence of two short gaps, -1 without one."""
+    """For each word of a its partner in b in a longest common subsequence, -1 without one; space is linear in both."""
     to = np.full(len(a), -1)
+    if not len(a) or not len(b):
+        return to
     if len(a) == len(b):
         same = a == b
-        if same.all() or len(a) < 3:
+        if same.all() or len(a) == 1:
             return np.where(same, np.arange(len(a)), -1)
-    if not len(a) or not len(b) or len(a) * len(b) > 1 << 20:
-        return to
+    if len(a) == 1 or len(b) == 1 or len(a) * len(b) <= TABLE:
+        return _table(a, b, to)
+    half = len(a) // 2
+    m = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+    for lo, part, by in ((0, _gap(a[:half], b[:m]), 0), (half, _gap(a[half:], b[m:]), m)):
+        to[lo : lo + len(part)] = np.where(part >= 0, part + by, -1)
+    return to
+
+
+def _table(a: np.ndarray, b: np.ndarray, to: np.ndarray) -> np.ndarray:
     table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
     equal = a[:, None] == b[None, :]
     for i in range(len(a)):
@@ -190,14 +232,20 @@ def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return to
 
 
-def _run_on(a: np.ndarray, b: np.ndarray) -> int:
-    """How far two slices run on from their start: 1 for an equal word, -2 for another, to the (first) highest sum above 0."""
+def _run_on(a: np.ndarray, b: np.ndarray) -> tuple[int, bool]:
+    """How far two slices run on from their start, and whether they might beyond their end.
+
+    An equal word counts 1, another -2; the end is the (first) highest sum above 0 before the sum
+    falls DROP below it.
+    """
     n = min(len(a), len(b))
     if not n:
-        return 0
+        return 0, True
     total = np.cumsum(np.where(a[:n] == b[:n], 1, -2))
-    best = int(total.argmax())
-    return best + 1 if total[best] > 0 else 0
+    low = np.flatnonzero(np.maximum(np.maximum.accumulate(total), 0) - total >= DROP)
+    seen = total[: low[0]] if len(low) else total
+    best = int(seen.argmax())
+    return (best + 1 if seen[best] > 0 else 0), not len(low)
 
 
 def _best(x: np.ndarray, cost: float, least: int) -> tuple[int, int] | None:
@@ -237,12 +285,15 @@ def stretches(x: np.ndarray, min_words: int = MIN_WORDS, similarity: float = SIM
     return sorted(out)
 
 
-def align(a: np.ndarray, b: np.ndarray, pos: np.ndarray, rpos: np.ndarray, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, int]]:
-    """Align two word slices along anchors (offsets into them): a's span, b's span, matched words of each stretch that is alike.
+def align(
+    a: np.ndarray, b: np.ndarray, pos: np.ndarray, rpos: np.ndarray, min_words: int = MIN_WORDS, similarity: float = SIMILARITY
+) -> tuple[list[tuple[int, int, int, int, int]], bool, bool]:
+    """Align two word slices along anchors (offsets into them).
 
-    On one diagonal the words are compared in place; where the diagonal changes, the gap between
-    two anchors is aligned by a longest common subsequence. Ends run on word by word to where
-    equal words (1) less unequal ones (2) sum up highest.
+    Returns a's span, b's span and matched words of each stretch that is alike, and whether the
+    alignment might run on before and behind the slices. On one diagonal the words are compared in
+    place; where the diagonal changes, the gap between two anchors is aligned by a longest common
+    subsequence. Ends run on word by word.
     """
     to = np.full(len(a), -1)  # the partner of each word in b
 
@@ -260,11 +311,11 @@ def align(a: np.ndarray, b: np.ndarray, pos: np.ndarray, rpos: np.ndarray, min_w
             part = _gap(a[lo:hi], b[r0:r1])
             to[lo:hi] = np.where(part >= 0, r0 + part, to[lo:hi])
     lo, rlo = int(pos[0]), int(rpos[0])
-    n = _run_on(a[:lo][::-1], b[:rlo][::-1])
+    n, before = _run_on(a[:lo][::-1], b[:rlo][::-1])
     compare(lo - n, lo, rlo - n)
     lo -= n
     hi, rhi = int(pos[-1]) + K, int(rpos[-1]) + K
-    n = _run_on(a[hi:], b[rhi:])
+    n, behind = _run_on(a[hi:], b[rhi:])
     compare(hi, hi + n, rhi)
     hi += n
     hit = to[lo:hi] >= 0
@@ -278,36 +329,46 @@ def align(a: np.ndarray, b: np.ndarray, pos: np.ndarray, rpos: np.ndarray, min_w
         partner = to[lo + i : lo + j]
         partner = partner[partner >= 0]
         out.append((lo + i, lo + j, int(partner.min()), int(partner.max()) + 1, len(partner)))
-    return out
+    return out, before, behind
+
+
+CHAIN = [*PAIR, "chain"]
+ALIGNED = "doc long, part int, ref long, rpart int, chain long, lo long, hi long, rlo long, rhi long, matched long"
 
 
 def _align(min_words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a chain: its document's side (0, with the anchors), then the earlier document's (1)."""
-        for rows in grouped(batches, ["doc", "ref", "chain"]):
+        """Rows of a chain: its document's side (0, with the anchors), then the earlier document's (1). One that needs more words comes back with matched null."""
+        for rows in grouped(batches, CHAIN):
             rows = rows.combine_chunks()
-            doc, ref, key, side, lo = (rows.column(c).to_numpy() for c in ("doc", "ref", "chain", "side", "lo"))
+            *keys, side, lo, hi = (rows.column(c).to_numpy() for c in (*CHAIN, "side", "lo", "hi"))
             pos, rpos, words = (rows.column(c).combine_chunks() for c in ("pos", "rpos", "words"))
-            at, out = bounds(doc, ref, key), []
+            at, out = bounds(*keys), []
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 other = s + int(np.searchsorted(side[s:e], 1))
                 if s < other < e:
                     dlo, rlo = max(0, int(lo[s])), max(0, int(lo[other]))
                     a, b, p, r = (x.values.to_numpy() for x in (words[s], words[other], pos[s], rpos[s]))
-                    for x in align(a, b, p - dlo, r - rlo, min_words, similarity):
-                        out.append((doc[s], ref[s], x[0] + dlo, x[1] + dlo, x[2] + rlo, x[3] + rlo, x[4]))
-            x = np.array(out, np.int64).reshape(-1, 7)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(7)], names=["doc", "ref", "lo", "hi", "rlo", "rhi", "matched"])
+                    found, before, behind = align(a, b, p - dlo, r - rlo, min_words, similarity)
+                    before &= lo[s] > 0 and lo[other] > 0
+                    behind &= len(a) == hi[s] - dlo and len(b) == hi[other] - rlo  # neither text has ended
+                    key = tuple(int(c[s]) for c in keys)
+                    if before or behind:
+                        out.append((*key, 0, 0, 0, 0, None))
+                    else:
+                        out += [(*key, x[0] + dlo, x[1] + dlo, x[2] + rlo, x[3] + rlo, x[4]) for x in found]
+            names = [f.split(" ") for f in ALIGNED.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int32() if t == "int" else pa.int64()) for i, (_, t) in enumerate(names)], names=[n for n, _ in names])
 
     return run
 
 
 def _merge(min_words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, ["doc"]):
-            doc, ref, lo, hi, rlo, rhi, matched = (c.to_numpy() for c in rows.columns)
+        for rows in grouped(batches, ["doc", "part"]):
+            doc, part, ref, lo, hi, rlo, rhi, matched = (rows.column(c).to_numpy() for c in ("doc", "part", "ref", "lo", "hi", "rlo", "rhi", "matched"))
             out = []
-            at = bounds(doc)
+            at = bounds(doc, part)
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 order = np.lexsort((ref[s:e], -hi[s:e], lo[s:e])) + s
                 parts: list[int] = []
@@ -327,40 +388,61 @@ def _merge(min_words: int, similarity: float):
                             if t - f >= min_words:
                                 own = [j for j in parts if lo[j] < start + t and hi[j] > start + f]
                                 top = max(own, key=lambda j: (matched[j], -ref[j]))
-                                out.append((doc[s], start + f, start + t, ref[top], rlo[top], rhi[top], sorted({int(ref[j]) for j in own}), float(x[f:t].mean())))
+                                out.append((doc[s], part[s], start + f, start + t, ref[top], rlo[top], rhi[top], sorted({int(ref[j]) for j in own}), float(x[f:t].mean())))
                     if i >= 0:
                         parts, start, end = [i], lo[i], hi[i]
-            names = ["doc_id", "start_word", "end_word", "ref_doc_id", "ref_start_word", "ref_end_word"]
-            cols = [pa.array([int(x[c]) for x in out], pa.int64()) for c in range(6)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([x[6] for x in out], pa.list_(pa.int64())), pa.array([x[7] for x in out], pa.float64())], names=[*names, "ref_doc_ids", "identity"])
+            names = ["doc_id", "text_hash", "start_word", "end_word", "ref_doc_id", "ref_start_word", "ref_end_word"]
+            cols = [pa.array([int(x[c]) for x in out], pa.int32() if c == 1 else pa.int64()) for c in range(7)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([x[7] for x in out], pa.list_(pa.int64())), pa.array([x[8] for x in out], pa.float64())], names=[*names, "ref_doc_ids", "identity"])
 
     return run
 
 
+def _aligned(chains: DataFrame, docs: DataFrame, reach: int, min_words: int, similarity: float) -> DataFrame:
+    """Chains with the words between `reach` before and behind them, aligned."""
+    lo, hi = (lambda c: (F.element_at(c, 1) - reach).alias("lo")), (lambda c: (F.element_at(c, -1) + K + reach).alias("hi"))
+    none = F.lit(None).cast("array<int>")
+    asked = chains.select(*CHAIN, F.col("doc").alias("_doc"), F.col("part").alias("_part"), F.lit(0).alias("side"), lo("pos"), hi("pos"), "pos", "rpos").unionByName(
+        chains.select(*CHAIN, F.col("ref").alias("_doc"), F.col("rpart").alias("_part"), F.lit(1).alias("side"), lo("rpos"), hi("rpos"), none.alias("pos"), none.alias("rpos"))
+    )
+    texts = docs.select(F.col("doc").alias("_doc"), F.col("part").alias("_part"), "text")
+    key = "doc long, part int, ref long, rpart int, chain long, side int, lo int, hi int, pos array<int>, rpos array<int>"
+    cut = asked.join(texts, ["_doc", "_part"]).drop("_doc", "_part").mapInArrow(_cut, f"{key}, words array<int>")
+    return cut.repartition(*CHAIN).sortWithinPartitions(*CHAIN, "side").mapInArrow(_align(min_words, similarity), ALIGNED)
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row per passage that an earlier document (smaller doc_id) has too.
 
-    doc_id, start_word, end_word (words of the whole text, end exclusive), ref_doc_id with its span
-    (the earlier document that gives most of it), ref_doc_ids (all that give a part), identity.
+    doc_id, text_hash (hash(text)), start_word, end_word (words of the whole text, end exclusive),
+    ref_doc_id with its span (the earlier document that gives most of it), ref_doc_ids (all that
+    give a part), identity.
     """
-    docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.hash("text").alias("part"), "text")
     every = materialize(seeds(docs), "seeds")
-    first = every.groupBy("h").agg(F.min("doc").alias("ref"), F.max("doc").alias("last"), F.expr("min_by(pos, CASE WHEN first THEN doc END)").alias("rpos"))
-    shared = materialize(first.where("ref < last").select("h", "ref", "rpos"), "shared")  # so that a hot value's seeds can be split in the join
-    matches = every.join(shared, "h").where("doc <> ref").select("doc", "ref", "pos", "rpos")
-    chains = matches.repartition("doc", "ref").sortWithinPartitions("doc", "ref", "pos", "rpos").mapInArrow(_chains, "doc long, ref long, pos array<int>, rpos array<int>")
-    chains = materialize(chains.withColumn("chain", F.xxhash64("doc", "ref", "pos", "rpos")), "chains")
-    reach = lambda c: ((F.element_at(c, 1) - REACH).alias("lo"), (F.element_at(c, -1) + K + REACH).alias("hi"))
-    none = F.lit(None).cast("array<int>")
-    asked = chains.select("doc", "ref", "chain", F.col("doc").alias("doc_id"), F.lit(0).alias("side"), *reach("pos"), "pos", "rpos").unionByName(
-        chains.select("doc", "ref", "chain", F.col("ref").alias("doc_id"), F.lit(1).alias("side"), *reach("rpos"), none.alias("pos"), none.alias("rpos"))
-    )
-    key = "doc long, ref long, chain long, side int, lo int, hi int, pos array<int>, rpos array<int>"
-    cut = asked.join(docs, "doc_id").drop("doc_id").mapInArrow(_cut, f"{key}, words array<int>")
-    order = ["doc", "ref", "chain", "side"]
-    aligned = cut.repartition(*order[:3]).sortWithinPartitions(*order).mapInArrow(_align(min_words, similarity), "doc long, ref long, lo long, hi long, rlo long, rhi long, matched long")
-    schema = "doc_id long, start_word long, end_word long, ref_doc_id long, ref_start_word long, ref_end_word long, ref_doc_ids array<long>, identity double"
-    return aligned.repartition("doc").sortWithinPartitions("doc").mapInArrow(_merge(min_words, similarity), schema)
+    first = every.groupBy("h").agg(F.min(F.struct("doc", "part", "pos")).alias("r"), F.max("doc").alias("last"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    first = first.where("r.doc < last OR lo < hi").select("h", F.col("r.doc").alias("ref"), F.col("r.part").alias("rpart"), F.col("r.pos").alias("rpos"))
+    shared = materialize(first, "shared")  # so that a hot value's seeds can be split in the join
+    matches = every.join(shared, "h").where("doc <> ref OR part <> rpart").select(*PAIR, "pos", "rpos")
+    chains = matches.repartition(*PAIR).sortWithinPartitions(*PAIR, "pos", "rpos").mapInArrow(_chains, "doc long, part int, ref long, rpart int, pos array<int>, rpos array<int>")
+    chains = materialize(chains.withColumn("chain", F.xxhash64(*PAIR, "pos", "rpos")), "chains")
+    release(every, shared)
+    found, reach = [], REACH
+    while True:
+        aligned = materialize(_aligned(chains, docs, reach, min_words, similarity), "aligned")
+        found.append(aligned.where("matched IS NOT NULL"))
+        open_ = aligned.where("matched IS NULL").select(*CHAIN)
+        if open_.isEmpty():
+            break
+        chains, before = materialize(chains.join(open_, CHAIN, "left_semi"), "chains"), chains
+        release(before)
+        reach *= 8
+    release(chains)
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    schema = "doc_id long, text_hash int, start_word long, end_word long, ref_doc_id long, ref_start_word long, ref_end_word long, ref_doc_ids array<long>, identity double"
+    return rows.repartition("doc", "part").sortWithinPartitions("doc", "part").mapInArrow(_merge(min_words, similarity), schema)
 
 
 def _removed(text: str, spans: list[list[int]]) -> str:
@@ -376,9 +458,12 @@ def _removed(text: str, spans: list[list[int]]) -> str:
 def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without the passages that an earlier document has; one of which no word is left goes.
 
-    All other rows, those without an id or a text too, stay as they are. Columns stay; n_chars follows the text.
+    Every row loses its own text's passages only. All other rows, those without an id or a text too,
+    stay as they are. Columns stay; n_chars follows the text.
     """
-    found = repeated_passages(docs, min_words, similarity).groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list(F.array("start_word", "end_word"))).alias("_spans"))
+    doc, own, cut = free(docs.columns, "_doc", "_hash", "_spans")
+    spans = F.sort_array(F.collect_list(F.array("start_word", "end_word"))).alias(cut)
+    found = repeated_passages(docs, min_words, similarity).groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(own)).agg(spans)
     found = materialize(found, "passages")  # its size is known then: Spark broadcasts it under its own limit only
     names = docs.columns
 
@@ -394,5 +479,5 @@ def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
                 cols[k] = pa.array([len(t) if s and t is not None else n for t, s, n in zip(new, spans, cols[k].to_pylist(), strict=True)], batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
-    joined = docs.join(found, docs["doc_id"] == found["_doc"], "left").select(*[docs[c] for c in names], "_spans")
-    return joined.mapInArrow(run, docs.schema)
+    keyed = docs.withColumn(own, F.hash("text")).withColumn(doc, F.col("doc_id").cast("long"))
+    return keyed.join(found, [doc, own], "left").select(*names, cut).mapInArrow(run, docs.schema)
