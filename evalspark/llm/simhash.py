@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import bounds, grouped, materialize
+from evalspark.llm.common import bounds, free, grouped, materialize
 from evalspark.llm.components import components
 
 SEED = 42
@@ -52,14 +52,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp long): fp is the unsigned 64-bit fingerprint held in a signed long."""
+    """(doc_id, text_hash, fp long): fp is the unsigned 64-bit fingerprint held in a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def trie_links(values: list[int], bits: int = BITS) -> list[tuple[int, int]]:
@@ -143,7 +144,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """distinct: (fp, rep), one row a fingerprint. Returns links (a, b) between reps that span every component."""
+    """distinct: (fp, rep), one row a fingerprint and its name. Returns links (a, b) between names that span every component."""
     mask = [F.lit((1 << (hi - lo)) - 1) for lo, hi in zip(BLOCKS, BLOCKS[1:], strict=False)]
     part = [F.shiftrightunsigned("fp", lo).bitwiseAND(m) for lo, m in zip(BLOCKS, mask, strict=False)]
     keys = [F.struct(F.lit(k).alias("deal"), (F.shiftleft(part[i], 11) + part[j]).cast("int").alias("key")) for k, (i, j) in enumerate(combinations(range(6), 2))]
@@ -157,19 +158,27 @@ def link(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (smallest doc_id reachable, itself included).
+    """One row per document row: doc_id, text_hash, fp, component_id (smallest doc_id reachable, itself included).
 
-    Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows of a
-    doc_id each get a row; rows with a null doc_id are left out. Extra columns are ignored.
+    Null and empty texts have fingerprint 0 and are linked like any other. Every row is linked by its
+    own text, so rows that share a doc_id but not their text may lie in different components. Rows
+    with a null doc_id are left out. Extra columns are ignored; an empty table gives none.
     """
     fps = materialize(fingerprints(docs.where(F.col("doc_id").isNotNull())), "fingerprints")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    comp = components(link(distinct))
-    labels = distinct.join(comp, distinct.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    comp = materialize(components(link(distinct.select("fp", F.col("fp").alias("rep")))), "components")
+    named = distinct.join(comp, distinct.fp == comp.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    labels = named.select("fp", "component").join(ids, "component").select("fp", "component_id")
+    return fps.join(labels, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without the near copies: of each component the smallest doc_id stays."""
-    found = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without the near copies: of each component the smallest doc_id stays, with all of its rows in it.
+
+    Rows that share a doc_id are judged by their own texts; rows with a null doc_id stay. Columns stay.
+    """
+    doc, own = free(docs.columns, "_doc", "_hash")
+    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(own)).distinct()
+    keyed = docs.withColumn(own, F.xxhash64("text")).withColumn(doc, F.col("doc_id").cast("long"))
+    return keyed.join(gone, [doc, own], "left_anti").select(*docs.columns)
