@@ -2,8 +2,8 @@
 
 Tokens are the words of a text (runs outside ``\\x20\\x09-\\x0D``), tagged O, B (a secret begins)
 or I (inside). Features: the token's shape (length class, which kinds of characters, how often
-the kind changes, whether it has an assignment sign), whether the one or two words before it name a secret or end
-in an assignment, and file features (share of digits and of assignment signs in the text). The
+the kind changes, whether it has an assignment sign, or the sign of an address), whether the one or two words before
+it name a secret or end in an assignment, and file features (share of digits and of assignment signs in the text). The
 model is trained here, by the exact log likelihood (forward-backward in numpy), on generated
 lines, of which the number is a parameter; no corpus row is needed.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import released, slices, word_bounds, word_hashes
+from evalspark.llm.common import bounds, free, released, slices, word_bounds, word_hashes
 
 #: The rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -88,14 +88,23 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     lens = ends - starts
     kind = _KIND[data]
     packed = _PACK[1][data]
-    packed[1:] += (kind[1:] != kind[:-1]).astype(np.int64) << 2 * _FIELD
+    plain = data < 128  # a letter outside ASCII is no change of kind
+    packed[1:] += ((kind[1:] != kind[:-1]) & plain[1:] & plain[:-1]).astype(np.int64) << 2 * _FIELD
     counts = np.empty((6, n), np.float32)  # lower, upper, digit, sign, assignment, changes of kind
-    for at, sums in ((0, np.cumsum(_PACK[0][data])), (3, np.cumsum(packed))):
-        both = sums[ends - 1] - sums[starts]
-        own = _PACK[0][data[starts]] if at == 0 else _PACK[1][data[starts]]  # the first byte, without a change of kind
-        both += own
-        for k in range(3):
-            counts[at + k] = (both >> k * _FIELD) & ((1 << _FIELD) - 1)
+    if lens.max() < 1 << _FIELD:
+        for at, each in ((0, _PACK[0][data]), (3, packed)):
+            sums = np.cumsum(each)
+            both = sums[ends - 1] - sums[starts] + _PACK[at // 3][data[starts]]  # the first byte, without a change of kind
+            for k in range(3):
+                counts[at + k] = (both >> k * _FIELD) & ((1 << _FIELD) - 1)
+    else:  # a token's counts might not fit in their bits
+        for k in range(6):
+            each = _CLASS[data, k] if k < 5 else packed >> 2 * _FIELD
+            sums = np.cumsum(each)
+            counts[k] = sums[ends - 1] - sums[starts] + (each[starts] if k < 5 else 0)
+    address = data == 64  # an @, or the second of two slashes
+    address[1:] |= (data[1:] == 47) & (data[:-1] == 47)
+    marks = np.cumsum(address)
     change = counts[5]
     share = counts[:5] / lens
     low = _LOWER[data]
@@ -114,6 +123,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     for k, edge in enumerate((4, 8, 12, 16, 20, 32, 48)):
         x[1 + k] = lens >= edge
     x[8:13] = share
+    x[13] = marks[ends - 1] - marks[starts] + address[starts] > 0
     x[14] = (share[2] > 0) & (share[0] + share[1] > 0)
     x[15] = (share[1] > 0) & (share[0] > 0) & (share[2] > 0)
     x[16] = np.minimum(change / 8, 2)
@@ -189,11 +199,17 @@ def generated(lines: int = LINES, seed: int = 5) -> list[tuple[str, list[int]]]:
                     w = chars(lower, int(rng.integers(1, 13)))
                     say(pick([w, w, w, w.capitalize(), w + ".", w + ",", w + "é" + w, w + pick(["***", "$$$", "%%%", "###"]), w.upper()]))
                 elif u < 0.9:
-                    say(chars(digits, int(rng.integers(1, 17))))
+                    say(chars(digits, int(rng.integers(1, 17))) + pick(["", "", "", "***", "###", "."]))
                 elif u < 0.93:
-                    say(pick([f"{rng.integers(256)}.{rng.integers(256)}.{rng.integers(256)}.{rng.integers(256)}", f"v{rng.integers(9)}.{rng.integers(20)}.{rng.integers(9)}", f"20{rng.integers(10, 30)}-0{rng.integers(1, 9)}-1{rng.integers(9)}", f"+{rng.integers(9)}", f"({rng.integers(999)})", f"{rng.integers(999)}-{rng.integers(9999)}"]))
-                elif u < 0.96:
-                    say(pick([chars(lower, 5) + f".{rng.integers(99)}@mail{rng.integers(9)}.example.com", "https://" + chars(lower, 9) + ".example.org/" + chars(lower, 6), chars(lower, 6) + "_" + chars(lower, 7) + str(rng.integers(9)), chars(lower, 4).capitalize() + chars(lower, 6).capitalize() + "()"]))
+                    say(pick(["", "", "", "###", "$$$", ","]).join([pick([f"{rng.integers(256)}.{rng.integers(256)}.{rng.integers(256)}.{rng.integers(256)}", f"v{rng.integers(9)}.{rng.integers(20)}.{rng.integers(9)}", f"20{rng.integers(10, 30)}-0{rng.integers(1, 9)}-1{rng.integers(9)}", f"+{rng.integers(9)}", f"({rng.integers(999)})", f"{rng.integers(999)}-{rng.integers(9999)}"]), ""]))
+                elif u < 0.945:
+                    n = int(rng.integers(2, 12))
+                    name = pick([chars(lower, n) + pick([".", "_", "-", "+"]) + str(rng.integers(9999)), chars(lower, n).capitalize() + str(rng.integers(99)), chars(lower, n) + "." + chars(lower, n)])
+                    say(name + "@" + pick(["", chars(lower, 4) + "."]) + f"mail{rng.integers(99)}." + pick(["example.com", "example.org", "co.uk", "net"]) + pick(["", "", ".", ","]))
+                elif u < 0.955:
+                    say(pick(["https://", "http://", "ftp://"]) + chars(lower, 9) + pick([".example.org/", ".net/", ".com/"]) + pick([chars(lower, 6), chars(lower, 5) + "/" + chars(lower + digits, 14), chars(lower, 4) + "?id=" + chars(digits, 9), chars(lower, 3) + "/" + chars(lower + upper + digits, 22)]))
+                elif u < 0.965:
+                    say(pick([chars(lower, 6) + "_" + chars(lower, 7) + str(rng.integers(9)), chars(lower, 4).capitalize() + chars(lower, 6).capitalize() + "()", "/" + chars(lower, 4) + "/" + chars(lower, 8) + "-" + chars(digits, 3) + ".txt"]))
                 elif u < 0.98:
                     say(pick(["password", "token", "secret", "key", "the", "is"]))
                 else:
@@ -279,21 +295,38 @@ def _occurrences(needle: bytes, text: bytes) -> Iterator[int]:
         at = text.find(needle, at + 1)
 
 
-def _outside(text: str, lo: int, hi: int, known: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """The parts of a span that no known span (by start) covers, without white space around; one that only quotes or signs are left of isn't a part."""
-    near = [(s, t) for s, t, _ in known if s < hi and lo < t]
-    if not near:
-        yield lo, hi
-        return
-    for s, t in [*near, (hi, hi)]:
-        part = text[lo : max(lo, s)]
-        if re.search(r"[^\W_]", part):
-            yield lo + len(part) - len(part.lstrip()), lo + len(part.rstrip())
-        lo = max(lo, t)
+def _outside(text: str, spans: list[tuple[int, int]], known: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of spans that no known span covers (both by start; one pass over both), without white space around; one that only quotes or signs are left of isn't a part."""
+    i = 0
+    for lo, hi in spans:
+        while i < len(known) and known[i][1] <= lo:
+            i += 1
+        k = i
+        if k == len(known) or known[k][0] >= hi:
+            yield lo, hi
+            continue
+        while lo < hi:
+            s, t = known[k][:2] if k < len(known) and known[k][0] < hi else (hi, hi)
+            part = text[lo : max(lo, s)]
+            if re.search(r"[^\W_]", part):
+                yield lo + len(part) - len(part.lstrip()), lo + len(part.rstrip())
+            lo = max(lo, t)
+            k += 1
+
+
+def _union(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Overlapping spans (by start) in one."""
+    out: list[tuple[int, int, int]] = []
+    for s, t, k in spans:
+        if out and s < out[-1][1]:
+            out[-1] = out[-1][0], max(t, out[-1][1]), k
+        else:
+            out.append((s, t, k))
+    return out
 
 
 def scan_slice(data: np.ndarray, offsets: np.ndarray, texts: list[str], w: np.ndarray, tr: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """All spans of each text: the rules', then the field's, as far as no rule has found the place."""
+    """All spans of each text: the rules', then the field's, as far as no rule has found the place. Linear in the text."""
     starts, ends, rows, x = features(data, offsets)
     tags = tag(x, rows, w, tr)
     low = _LOWER[data].tobytes()
@@ -303,25 +336,32 @@ def scan_slice(data: np.ndarray, offsets: np.ndarray, texts: list[str], w: np.nd
     long = set(rows[ends - starts >= 32].tolist())
     found = [rule_spans(t, k in named, k in keyed, k in long) for k, t in enumerate(texts)]
     begin = np.flatnonzero(tags == 1)
-    for b in begin.tolist():
-        k, e = int(rows[b]), b + 1
-        while e < len(tags) and tags[e] == 2 and rows[e] == k:
-            e += 1
-        raw = data[offsets[k] : offsets[k + 1]].tobytes()
-        lo, hi = (len(raw[: p - offsets[k]].decode("utf-8", "replace")) for p in (starts[b], ends[e - 1]))
-        found[k] = sorted([*found[k], *[(s, t, 3) for s, t in _outside(texts[k], lo, hi, found[k])]], key=lambda s: (s[0], s[2]))
+    if len(begin):
+        # a span ends before the next token that isn't inside, or of another text
+        stop = np.append(np.flatnonzero((tags != 2) | np.append(True, rows[1:] != rows[:-1])), len(tags))
+        last = stop[np.searchsorted(stop, begin, "right")] - 1
+        points = np.append(0, np.cumsum((data & 0xC0) != 0x80))  # code points before each byte
+        base = points[offsets[rows[begin]]]
+        lo, hi = points[starts[begin]] - base, points[ends[last]] - base
+        cut = bounds(rows[begin])
+        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            k = int(rows[begin[s]])
+            new = [(a, b, 3) for a, b in _outside(texts[k], list(zip(lo[s:e].tolist(), hi[s:e].tolist(), strict=True)), _union(found[k]))]
+            found[k] = sorted([*found[k], *new], key=lambda s: (s[0], s[2]))
     return found
 
 
 def scan(docs: DataFrame, lines: int = LINES, text: bool = False) -> DataFrame:
     """(doc_id, spans array<struct<kind,start,end>>) of every row, by start, then kind; code points, end exclusive.
 
-    Null texts count as empty. Repeated rows and null doc_ids stay. With `text`, the whole row comes
-    back with `spans` added.
+    Null texts count as empty; texts of any length are read whole, in time linear in them. Repeated
+    rows and null doc_ids stay; extra columns are ignored; an empty table gives none. With `text`, the
+    whole row comes back with the spans added, under a name that no column has: the last one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model(lines))
     kept = docs.columns if text else ["doc_id", "text"]
     kinds = np.array(KINDS)
+    (name,) = free(kept, "_spans")
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +372,7 @@ def scan(docs: DataFrame, lines: int = LINES, text: bool = False) -> DataFrame:
                 found = scan_slice(data, off, texts, w, tr)
                 spans = pa.array([[{"kind": kinds[k], "start": s, "end": e} for s, e, k in x] for x in found], span)
                 if text:
-                    yield pa.RecordBatch.from_arrays([*part.columns, spans], names=[*part.schema.names, "_spans"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, spans], names=[*part.schema.names, name])
                 else:
                     yield pa.RecordBatch.from_arrays([part.column(0), spans], names=["doc_id", "spans"])
 
@@ -340,7 +380,7 @@ def scan(docs: DataFrame, lines: int = LINES, text: bool = False) -> DataFrame:
     kind = "array<struct<kind:string,start:long,end:long>>"
     if text:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        return rows.mapInArrow(lambda b: released(run(b)), f"{fields}, _spans {kind}")
+        return rows.mapInArrow(lambda b: released(run(b)), f"{fields}, `{name}` {kind}")
     return rows.mapInArrow(lambda b: released(run(b)), f"doc_id long, spans {kind}")
 
 
@@ -353,17 +393,18 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """The documents with every span replaced by `<secret>`; n_chars follows. No document goes."""
+    """The documents with every span replaced by `<secret>`; n_chars follows. No document goes, and no other column changes."""
     found = scan(docs, lines, text=True)
+    spans = found.columns[-1]
     # overlapping spans count as one; what lies between the spans is kept
     pieces = F.expr(
-        """aggregate(_spans, named_struct('out', cast('' as string), 'at', 0L),
+        f"""aggregate(`{spans}`, named_struct('out', cast('' as string), 'at', 0L),
         (a, s) -> CASE WHEN s.end <= a.at THEN a WHEN s.start < a.at THEN named_struct('out', a.out, 'at', s.end)
         ELSE named_struct('out', concat(a.out, substring(text, cast(a.at + 1 as int), cast(s.start - a.at as int)), '<secret>'), 'at', s.end) END,
         a -> concat(a.out, substring(text, cast(a.at + 1 as int), 2147483647)))"""
     )
-    clean = F.when(F.size("_spans") > 0, pieces).otherwise(F.col("text"))
+    clean = F.when(F.size(spans) > 0, pieces).otherwise(F.col("text"))
     out = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
