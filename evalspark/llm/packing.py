@@ -4,11 +4,10 @@ A document is its token ids and an end id; one longer than a sequence is cut int
 first of which may be shorter. What has to be packed is then a multiset of lengths from 1 to
 `size`, so its histogram (at most `size` counts, whatever the corpus) is all that the search sees:
 bin completion takes the largest length left, enumerates undominated fillings around it, and
-applies a filling as often as the counts allow. The branch and bound starts from best-fit
-decreasing as incumbent, orders branches by waste, and prunes with the bound
-bins + ceil(length left / size). Pieces then look up their place by their rank within their
-length; ranks are numbered in hashed buckets, so a length that a third of all pieces share is
-split over tasks.
+applies a filling as often as the counts allow. Best-fit decreasing completes every node and gives
+the incumbents; branches are cut by waste bounds. Pieces then look up their place by their rank
+within their length; ranks are numbered in hashed buckets of a bounded number of pieces, so a
+length that a third of all pieces share is split over tasks.
 """
 
 from __future__ import annotations
@@ -17,9 +16,10 @@ import os
 import re
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ from evalspark.llm.bpe import byte_letters
 from evalspark.llm.common import materialize, released
 
 SIZE, END = 1024, 2
-NODES = 400  # alternatives that the search may open after its first descent
-BUCKETS = 64
+NODES, WIDTH, BRANCHES = 20_000, 4, 12  # that the search may open in all, and of a level and a node at a time
+BUCKET = 20_000  # pieces of one length that are ranked together, on average
 CACHE = 150_000  # words a worker remembers
 
 # ---------------------------------------------------------------- tokens
@@ -112,19 +112,16 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, keep_id
 # ---------------------------------------------------------------- the search
 
 
-def _at_most(counts: np.ndarray) -> np.ndarray:
-    """For each x the largest length up to x that is left, 0 if none."""
-    return np.maximum.accumulate(np.where(counts > 0, np.arange(len(counts)), 0))
-
-
-def fillings(counts: np.ndarray, room: int, most: int = 4) -> list[tuple[int, ...]]:
-    """Ways to fill `room` from the counts, with any number of items: least waste first, larger items first on ties.
+def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...]]:
+    """All undominated ways to fill `room` from the counts, with any number of items: least waste first, larger items first on ties.
 
     Sums are reached by a bounded knapsack over the lengths, the set of sums as the bits of a
-    number; the fillings of the highest sums are read off it, so none of more sum is left out.
+    number; the fillings of the highest sums are read off it. A filling is dominated if an item that
+    is left could be added, or put in the place of a smaller one of it.
     """
     if room <= 0:
-        return [()]
+        yield ()
+        return
     left = np.flatnonzero(counts[: room + 1] > 0).tolist()
     mask = (1 << room + 1) - 1
     reach = [1]  # sums of the k shortest lengths
@@ -148,14 +145,20 @@ def fillings(counts: np.ndarray, room: int, most: int = 4) -> list[tuple[int, ..
                     for rest in ways(total - n * v, at - 1):
                         yield (v,) * n + rest
 
-    out: list[tuple[int, ...]] = []
+    def dominated(way: tuple[int, ...], waste: int) -> bool:
+        for x in {0, *way}:
+            for v in range(x + 1, x + waste + 1):
+                if v <= room and counts[v] > way.count(v):
+                    return True
+        return False
+
     sums = reach[-1]
-    while sums and len(out) < most:
+    while sums:
         total = sums.bit_length() - 1
         sums ^= 1 << total
-        if total or not out:
-            out += islice(ways(total, len(left)), most - len(out))
-    return out
+        for way in ways(total, len(left)):
+            if total == room or not dominated(way, room - total):
+                yield way
 
 
 def _times(counts: np.ndarray, bin_: tuple[int, ...]) -> int:
@@ -163,69 +166,134 @@ def _times(counts: np.ndarray, bin_: tuple[int, ...]) -> int:
 
 
 def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Best-fit decreasing on a histogram: the incumbent. Each bin takes the largest item that fits, again and again."""
-    counts, size, out = counts.copy(), len(counts) - 1, []
-    while counts.any():
-        bin_: list[int] = []
-        room = size
-        while True:
-            for v in bin_:
-                counts[v] -= 1
-            x = int(_at_most(counts[: room + 1])[room])
-            for v in bin_:
-                counts[v] += 1
-            if not x:
-                break
-            bin_.append(x)
-            room -= x
-        n = _times(counts, tuple(bin_))
-        for v in bin_:
-            counts[v] -= n
-        out.append((tuple(bin_), n))
+    """Best-fit decreasing on a histogram: each bin takes the largest item that fits, again and again, and is used as often as the counts allow."""
+    lengths, size, out = np.flatnonzero(counts).tolist(), len(counts) - 1, []
+    left = {v: int(counts[v]) for v in lengths}
+    while lengths:
+        room, used = size, {}
+        at = len(lengths) - 1
+        while at >= 0:
+            v = lengths[at]
+            n = min(left[v], room // v)
+            if n:
+                used[v] = n
+                room -= n * v
+            at = min(at, bisect_right(lengths, room)) - 1
+        n = min(left[v] // k for v, k in used.items())
+        for v, k in used.items():
+            left[v] -= n * k
+            if not left[v]:
+                lengths.pop(bisect_left(lengths, v))
+        out.append((tuple(v for v, k in used.items() for _ in range(k)), n))
     return out
 
 
+def least_bins(counts: np.ndarray) -> int:
+    """A bound from below: the best over all splits into items that need a bin of their own (over size - a, over half) and items of at least a that fill them."""
+    size = len(counts) - 1
+    lengths = np.arange(size + 1)
+    n, total = np.cumsum(counts), np.cumsum(counts * lengths)
+    best = -(-int(total[-1]) // size)
+    for a in range(size // 2 + 1):
+        large = int(n[-1] - n[size - a])
+        half, half_sum = int(n[size - a] - n[size // 2]), int(total[size - a] - total[size // 2])
+        small = int(total[size // 2] - (total[a - 1] if a else 0))
+        best = max(best, large + half + max(0, -(-(small - (size * half - half_sum)) // size)))
+    return best
+
+
+class _Node:
+    """A choice of bins, how well best fit completes it, and how many of the ways on have been taken. What is left to pack is kept as the choices only."""
+
+    def __init__(self, counts: np.ndarray, used: int, path: tuple):
+        rest, size = best_fit(counts), len(counts) - 1
+        self.used, self.path, self.taken = used, path, 0
+        self.first = rest[0][0] if rest else ()
+        self.bins = used + sum(n for _, n in rest)
+        # of equal numbers of bins the one whose waste lies in few bins: these can be filled yet
+        self.rank = (self.bins, -sum(n * (size - sum(b)) ** 2 for b, n in rest))
+
+    def chosen(self) -> list[tuple[tuple[int, ...], int]]:
+        out, path = [], self.path
+        while path:
+            out.append(path[0])
+            path = path[1]
+        return out[::-1]
+
+    def left(self, start: np.ndarray) -> np.ndarray:
+        counts = start.copy()
+        for way, n in self.chosen():
+            for v in way:
+                counts[v] -= n
+        return counts
+
+    def below(self, start: np.ndarray, bins: int) -> list[tuple[bytes, _Node]]:
+        """The nodes of the next BRANCHES ways that may still need fewer than `bins` bins."""
+        counts = self.left(start)
+        inner, top, size = counts.copy(), self.first[0], len(counts) - 1
+        inner[top] -= 1
+        total = int((counts * np.arange(size + 1)).sum())
+        ways = chain([self.first], (w for f in fillings(inner, size - top) if (w := (top, *f)) != self.first))
+        out: list[tuple[bytes, _Node]] = []
+        for way in islice(ways, self.taken, None):
+            self.taken += 1
+            n = _times(counts, way)
+            if self.used + n - (n * sum(way) - total) // size < bins:
+                other = counts.copy()
+                for v in set(way):
+                    other[v] -= n * way.count(v)
+                out.append((other.tobytes(), _Node(other, self.used + n, ((way, n), self.path))))
+                if len(out) == BRANCHES:
+                    break
+        return out
+
+
 def plan(histogram: dict[int, int], size: int = SIZE, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Bins (lengths, largest first) with how often each is used; all counts are used up."""
+    """Bins (lengths, largest first) with how often each is used; all counts are used up.
+
+    Branch and bound: a node's branches are the fillings around its largest length, each as often as
+    the counts allow; best fit completes every node, and the best completion is the incumbent. The
+    `WIDTH` best nodes of the deepest level are opened next, `BRANCHES` branches of each at a time;
+    what is left of them, and of their level, is returned to later. A branch whose waste leaves no
+    room for a better result is cut. The search ends when the incumbent meets the bound from below,
+    when all is searched, or after `nodes` nodes (the documented allowance of an NP-hard problem).
+    """
     start = np.zeros(size + 1, np.int64)
     for v, n in histogram.items():
         start[v] = n
-    lengths = np.arange(size + 1)
-    bound = lambda c: -(-int((c * lengths).sum()) // size)
-    best = best_fit(start)
-    bins = sum(n for _, n in best)
-    stack: list[tuple[np.ndarray, int, tuple]] = [(start, 0, ())]  # counts left, bins used, choices as a linked list
-    least, opened = bound(start), 0
-    while stack and bins > least and opened <= nodes:
-        counts, used, path = stack.pop()
-        while True:
-            if used + bound(counts) >= bins:
-                break
-            top = int(np.flatnonzero(counts)[-1]) if counts.any() else 0
-            if not top:
-                best, bins = [], used
-                while path:
-                    best.append(path[0])
-                    path = path[1]
-                best.reverse()
-                break
-            counts[top] -= 1
-            ways = [(top, *f) for f in fillings(counts, size - top)]
-            counts[top] += 1
-            for way in ways[:0:-1]:
-                n = _times(counts, way)
-                other = counts.copy()
-                for v in way:
-                    other[v] -= n
-                stack.append((other, used + n, ((way, n), path)))
-            n = _times(counts, ways[0])
-            counts = counts.copy()
-            for v in ways[0]:
-                counts[v] -= n
-            used, path = used + n, ((ways[0], n), path)
-        opened += 1
-        del stack[:-nodes]  # the oldest alternatives are opened last: those beyond the allowance never are
-    return best
+    best, least = _Node(start, 0, ()), least_bins(start)
+    # first straight down by least waste: with many lengths that meets the bound at once
+    used, path, counts = 0, (), start.copy()
+    while counts.any() and best.bins > least:
+        top = int(np.flatnonzero(counts)[-1])
+        counts[top] -= 1
+        way = (top, *next(fillings(counts, size - top)))
+        counts[top] += 1
+        n = _times(counts, way)
+        for v in way:
+            counts[v] -= n
+        used, path = used + n, ((way, n), path)
+    if best.bins > least and used < best.bins:
+        best = _Node(counts, used, path)
+    levels, opened = [[_Node(start, 0, ())]] if best.bins > least else [], 1
+    while levels and best.bins > least and opened <= nodes:
+        level = levels[-1]
+        now, level[:] = level[:WIDTH], level[WIDTH:]
+        found: dict[bytes, _Node] = {}
+        for node in now:
+            some = node.below(start, best.bins)
+            opened += len(some)
+            if len(some) == BRANCHES:
+                level.append(node)
+            for key, x in some:
+                if key not in found or x.rank < found[key].rank:
+                    found[key] = x
+        best = min([best, *found.values()], key=lambda x: x.bins)
+        if not level:
+            levels.pop()
+        if further := [x for x in found.values() if x.first]:
+            levels.append(sorted(further, key=lambda x: x.rank))
+    return best.chosen() + best_fit(best.left(start))
 
 
 # ---------------------------------------------------------------- places
@@ -251,23 +319,24 @@ def place(cut: DataFrame, size: int = SIZE) -> DataFrame:
     """Add sequence_id and offset to pieces (a stored table). The plan is one row a length: at most `size` rows are broadcast."""
     spark = cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    schema = "length long, runs array<struct<lo:long,hi:long,first:long,offset:long>>"
-    runs = spark.createDataFrame(_slots(plan(histogram, size)), schema)
-    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(BUCKETS)))
+    schema = "length long, parts long, runs array<struct<lo:long,hi:long,first:long,offset:long>>"
+    runs = spark.createDataFrame([(v, max(1, histogram[v] // BUCKET), r) for v, r in _slots(plan(histogram, size))], schema)
+    keyed = cut.join(F.broadcast(runs.select("length", "parts")), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), "parts"))
     counts = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = keyed.withColumn("own", F.row_number().over(own) - 1).join(firsts, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("own"))
-    placed = ranked.join(F.broadcast(runs), "length").withColumn("run", F.expr("filter(runs, r -> rank >= r.lo AND rank < r.hi)[0]"))
+    placed = ranked.join(F.broadcast(runs.select("length", "runs")), "length").withColumn("run", F.expr("filter(runs, r -> rank >= r.lo AND rank < r.hi)[0]"))
     return placed.select(*cut.columns, (F.col("run.first") + F.col("rank") - F.col("run.lo")).alias("sequence_id"), F.col("run.offset").alias("offset"))
 
 
 def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, keep_ids: bool = False) -> DataFrame:
     """Pack all documents: one row per piece with its sequence_id and offset.
 
-    Null and empty texts are a piece of the end id alone; repeated rows and null doc_ids are
-    packed like any other; extra columns are ignored.
+    Null and empty texts are a piece of the end id alone; texts of any length are encoded whole;
+    repeated rows and null doc_ids are packed like any other; extra columns are ignored; an empty
+    table gives none.
     """
     return place(materialize(pieces(docs, path, size, end, keep_ids), "pieces"), size)
 
