@@ -1,14 +1,19 @@
 """BPE encoding and decoding by tree concatenation.
 
-A word (a piece that the vocabulary never splits before merging) is encoded by merging its
-symbols. A long one is halved until pieces are at most `LEAF` symbols, the leaves are encoded on
-their own, and neighbours are joined bottom-up: a window of tokens around the join is encoded
-again and doubled until its first token is the left side's and its last the right side's. Every
-adjacent pair of tokens is then one that the merges themselves produce, so the join is exact.
-
-In Spark, documents with a word over `SPLIT` symbols take a branch of their own: their leaves are
-rows that are dealt over the cluster and encoded in parallel, then gathered and joined. All other
-documents are encoded where they are read. The vocabulary is a parameter (a tokenizer file).
+A long text is halved, wherever that falls, until leaves have at most `TEXT_LEAF` characters. The
+leaves are encoded in parallel, and neighbours are joined bottom-up: the window around a join, from
+the last white space before it to the first one behind, is encoded again; it grows over whole
+leaves until both of its ends are at white space, where the two sides agree with the text exactly.
+
+A run without white space of `RUN` characters or more would make one window of itself. It is cut
+into the pieces that the vocabulary never merges across; a long one is halved until parts have at
+most `LEAF` symbols, and at each join a window of tokens is encoded again and doubled until its
+first token is the left side's and its last the right side's. Every adjacent pair of tokens is then
+one that the merges themselves produce, so the join is exact.
+
+In Spark, texts of over `SPLIT` characters take a branch of their own: their leaves are rows that
+are dealt over the cluster, then gathered by text and joined. All other texts are encoded where they
+are read (long words in them by the same halving). The vocabulary is a parameter (a tokenizer file).
 """
 
 from __future__ import annotations
@@ -26,9 +31,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import bounds, grouped, materialize
+from evalspark.llm.common import bounds, grouped, materialize, released
 
-LEAF, SPLIT = 256, 1 << 15
+SPLIT, TEXT_LEAF, RUN, LEAF = 1 << 14, 1 << 12, 1 << 14, 256
 CACHE = 300_000  # words, and pieces of words, that a worker remembers
 NONE = 1 << 60  # the rank of a pair that doesn't merge
 
@@ -163,6 +168,29 @@ class Vocabulary:
                 out += [get(c) or self.chunk(c) for c in chunks]
         return b"".join(out)
 
+    def part(self, leaf: str) -> tuple[str, bytes, str | None]:
+        """A leaf as (its first stretch, the ids between, its last stretch): the stretches go on beyond the leaf. One without white space: (itself, none, None)."""
+        first, *inner = _SPACE.split(leaf)
+        if not inner:
+            return first, b"", None
+        get = self.cache.get
+        return first, b"".join([get(c) or self.chunk(c) for c in inner[:-1]]), inner[-1]
+
+    def concatenate(self, parts: list[tuple[str, bytes, str | None]]) -> bytes:
+        """The ids of neighbouring leaves, joined pairwise, level by level."""
+
+        def join(a: tuple[str, bytes, str | None], b: tuple[str, bytes, str | None]) -> tuple[str, bytes, str | None]:
+            if a[2] is None:  # the window goes on to the left
+                return a[0] + b[0], b[1], b[2]
+            if b[2] is None:  # and to the right
+                return a[0], a[1], a[2] + b[0]
+            return a[0], a[1] + self.chunk(a[2] + b[0]) + b[1], b[2]
+
+        while len(parts) > 1:
+            parts = [join(parts[k], parts[k + 1]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+        first, ids, last = parts[0]
+        return self.chunk(first) + ids + self.chunk(last or "")
+
     def decode(self, ids: np.ndarray) -> str:
         """Tokens with a space between, special ones too; unknown ids are skipped."""
         return " ".join([t for t in map(self.tokens.get, ids.tolist()) if t is not None])
@@ -200,29 +228,47 @@ def _whole(path: str):
     return run
 
 
-def _leaves(path: str):
-    """A text in rows: ids of stretches without a long word, and the leaves of long words."""
+def halves(text: str, leaf: int) -> list[str]:
+    """Halved until no part has over `leaf` characters."""
+    if len(text) <= leaf:
+        return [text] if text else []
+    m = len(text) // 2
+    return halves(text[:m], leaf) + halves(text[m:], leaf)
+
+
+ROW = "uid long, doc_id long, part long, kind string, word long, ids binary, head string, tail string"
+_ROW = (("uid", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int64()), ("kind", pa.string()), ("word", pa.int64()), ("ids", pa.binary()), ("head", pa.string()), ("tail", pa.string()))
+
+
+def _leaves(path: str, leaf: int, run_: int):
+    """A text in rows (kind, word, ids, head): special tokens' ids, leaves of text, and leaves of long words; those of one word (a number) are joined."""
+    long_run = regex.compile(rf"\P{{White_Space}}{{{run_},}}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
             for uid, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows: list[tuple] = []
+
+                def stretch(part: str, rows=rows) -> None:
+                    word = len(rows) + 1
+                    rows.extend(("text", word, None, x) for x in halves(part, leaf))
+
                 for k, part in enumerate(v.stops.split(text) if v.stops else [text]):
                     if k % 2:
-                        rows.append((0, np.array([v.special[part]], "<u4").tobytes(), None))
+                        rows.append(("ids", 0, np.array([v.special[part]], "<u4").tobytes(), None))
                         continue
-                    for c in _SPACE.split(part):
-                        if len(c) < LEAF:
-                            rows.append((0, v.chunk(c), None))
-                            continue
-                        for p in v.pieces.findall(fold(c)):
-                            cut = v.leaves(v.symbols(p))
-                            rows += [(len(rows) + 1, None, "".join(x)) for x in cut] if len(cut) > 1 else [(0, np.array([v.ids[t] for t in v.merge(cut[0])], "<u4").tobytes(), None)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([uid] * len(rows), pa.int64()), pa.array([doc] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.string())],
-                    names=["uid", "doc_id", "part", "word", "ids", "leaf"],
-                )
+                    at = 0
+                    for m in long_run.finditer(part):
+                        stretch(part[at : m.start()])
+                        at = m.end()
+                        for p in v.pieces.findall(fold(m[0])):
+                            word = len(rows) + 1
+                            rows.extend(("word", word, None, "".join(x)) for x in v.leaves(v.symbols(p)))
+                    stretch(part[at:])
+                n = len(rows)
+                cols = [[uid] * n, [doc] * n, range(n), *([r[i] for r in rows] for i in range(4)), [None] * n]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _ROW, strict=True)], names=[k for k, _ in _ROW])
 
     return run
 
@@ -231,8 +277,16 @@ def _encode_leaves(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            found = [x if leaf is None else np.array([v.ids[t] for t in v.merge(v.split(leaf))], "<u4").tobytes() for x, leaf in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.binary())], names=batch.schema.names[:5])
+            out = []
+            for kind, ids, leaf in zip(*(batch.column(k).to_pylist() for k in (3, 5, 6)), strict=True):
+                if kind == "ids":
+                    out.append((None, ids, None))
+                elif kind == "word":
+                    out.append((None, np.array([v.ids[t] for t in v.merge(v.split(leaf))], "<u4").tobytes(), None))
+                else:
+                    out.append(v.part(leaf))
+            cols = [pa.array([x[i] for x in out], t) for i, t in ((1, pa.binary()), (0, pa.string()), (2, pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *cols], names=batch.schema.names)
 
     return run
 
@@ -241,31 +295,37 @@ def _gather(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for rows in grouped(batches, ["uid"]):
-            uid, word, ids, doc = rows.column("uid").to_numpy(), rows.column("word").to_numpy(), rows.column("ids").to_pylist(), rows.column("doc_id")
+            uid, word = rows.column("uid").to_numpy(), rows.column("word").to_numpy()
+            kind, ids, head, tail, doc = (rows.column(c) for c in ("kind", "ids", "head", "tail", "doc_id"))
             at = bounds(uid)
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 cut, out = bounds(word[lo:hi]) + lo, []
                 for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    if not word[s]:
-                        out += ids[s:e]
-                        continue
-                    tokens = v.tree([[v.tokens[i] for i in np.frombuffer(x, "<u4").tolist()] for x in ids[s:e]])
-                    out.append(np.array([v.ids[t] for t in tokens], "<u4").tobytes())
+                    own = ids.slice(s, e - s).to_pylist()
+                    what = kind[s].as_py()
+                    if what == "ids":
+                        out += own
+                    elif what == "text":
+                        out.append(v.concatenate(list(zip(head.slice(s, e - s).to_pylist(), own, tail.slice(s, e - s).to_pylist(), strict=True))))
+                    else:
+                        tokens = v.tree([[v.tokens[i] for i in np.frombuffer(x, "<u4").tolist()] for x in own])
+                        out.append(np.array([v.ids[t] for t in tokens], "<u4").tobytes())
                 whole = b"".join(out)
                 yield pa.RecordBatch.from_arrays([pa.array([doc[lo].as_py()], pa.int64()), pa.array([whole], pa.binary()), pa.array([v.decode(np.frombuffer(whole, "<u4"))], pa.string())], names=["doc_id", "ids", "decoded"])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, split: int = SPLIT) -> DataFrame:
+def encode(docs: DataFrame, path: str, split: int = SPLIT, leaf: int = TEXT_LEAF, run: int = RUN) -> DataFrame:
     """(doc_id, ids binary: little-endian unsigned 32-bit, decoded string) of every row's whole text.
 
-    Null texts count as empty (no ids). Repeated rows and null doc_ids stay; extra columns are ignored.
+    Null texts count as empty (no ids). Repeated rows and null doc_ids stay; extra columns are
+    ignored; an empty table gives none. Texts and words of any length are encoded whole.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    long_word = F.col("text").rlike(rf"(?<!\S)\S{{{split},}}")
-    plain = rows.where(~long_word).mapInArrow(_whole(path), "doc_id long, ids binary, decoded string")
-    leaves = rows.where(long_word).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(_leaves(path), "uid long, doc_id long, part long, word long, ids binary, leaf string")
-    encoded = materialize(leaves, "leaves").repartition("uid", "part").mapInArrow(_encode_leaves(path), "uid long, doc_id long, part long, word long, ids binary")
+    long = F.length("text") > split
+    plain = rows.where(~long).mapInArrow(_whole(path), "doc_id long, ids binary, decoded string")
+    leaves = rows.where(long).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(_leaves(path, leaf, run), ROW)
+    encoded = materialize(leaves, "leaves").repartition("uid", "part").mapInArrow(lambda b: released(_encode_leaves(path)(b)), ROW)
     joined = encoded.repartition("uid").sortWithinPartitions("uid", "part").mapInArrow(_gather(path), "doc_id long, ids binary, decoded string")
     return plain.unionByName(joined)
