@@ -263,13 +263,13 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, max_chars: int = MAX_CHARS) -> dict:
-    """Train on the bounded sample of labelled rows that are not held out (ids null or without a text: left out)."""
+    """Train on the bounded sample of labelled rows that are not held out (ids null or without a text: left out; of an id's texts the least, of its labels the highest)."""
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     short = docs.select("doc_id", F.length("text").alias("chars")).where(F.col("chars") <= max_chars).select("doc_id").distinct()
     known = labels.join(short, "doc_id")
     picked = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in ((1, positives), (0, negatives))]
     ids = picked[0].unionByName(picked[1])  # at most positives + negatives rows: small enough to broadcast
-    sample = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    sample = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["doc_id"])
@@ -295,13 +295,18 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document row: doc_id, held_out, score in 0..1, predicted (1 from 0.5 on)."""
+    """One row per document row: doc_id, held_out, score in 0..1, predicted (1 from 0.5 on).
+
+    Null ids (not held out), null and empty texts, and repeated rows are scored like any other, each
+    by its own whole text; extra columns are ignored; an empty table gives none. Without a label the
+    model is the untrained one, which calls nothing toxic.
+    """
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
-    """The rows of docs that score below `at`, with all their columns; rows without a text stay."""
+    """The rows of docs that score below `at`, with all their columns as they are; rows without a text stay, repeated rows and null ids are judged by their text."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
