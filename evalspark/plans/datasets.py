@@ -77,7 +77,7 @@ def export_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT c_custkey, CASE WHEN length(c_name) > 16 THEN left(c_name, 4) || '****' || right(c_name, 4) ELSE '****' END AS name_masked, CASE WHEN length(c_mktsegment) > 8 THEN left(c_mktsegment, 3) || '****' || right(c_mktsegment, 4) ELSE '****' END AS key_masked FROM customer"""
+    """SELECT c_custkey, CASE WHEN length(c_name) > 16 THEN left(c_name, 8) || '****' || right(c_name, 4) ELSE '****' END AS name_masked, CASE WHEN length(c_mktsegment) > 8 THEN left(c_mktsegment, 3) || '****' || right(c_mktsegment, 4) ELSE '****' END AS key_masked FROM customer"""
 )
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select("c_custkey", T.mask_secret("c_name").alias("name_masked"), T.mask_key("c_mktsegment").alias("key_masked"))
@@ -211,7 +211,7 @@ def _quality_sql(latin_ok: bool) -> str:
     cjk = n("c", corpus.T.CJK)
     dated = r"regexp_matches(n, '\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日')"
     revision = " + ".join(f"contains(n, '{w}')::INT" for w in corpus.REVISION)
-    garbled = "false" if latin_ok else f"""(c = '' OR ({n('c', '[A-Za-z]')} >= 6 AND {cjk} <= 4 AND {n('c', '[0-9]')} <= 2) OR (regexp_matches(text, '[A-Za-z]{{2,}}\\s*[A-Za-z]{{2,}}') AND {cjk} <= 6) OR ({n('c', corpus.PUNCTUATION)} >= greatest(4, length(c) * 0.25::DOUBLE) AND {cjk} <= 6))"""
+    garbled = "false" if latin_ok else f"""(c = '' OR ({n('c', '[A-Za-z]')} >= 6 AND {cjk} <= 4 AND {n('c', '[0-9]')} <= 2) OR (regexp_matches(text, '[A-Za-z]{{2,}}\\s*[A-Za-z]{{2,}}') AND {cjk} <= 6) OR ({n('c', corpus.SIGNS)} >= greatest(4, length(c) * 0.25::DOUBLE) AND {cjk} <= 6))"""
     return f"""q0 AS (SELECT doc_id, source, n_chars, text, regexp_replace(text, '\\s+', '', 'g') AS c, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS n FROM documents),
 q1 AS (SELECT *, {n('text', corpus.MARKS)} AS m,
   (n = '' OR regexp_matches(n, '^\\s*第?\\s*\\d+\\s*页(?:\\s*/\\s*共?\\s*\\d+\\s*页)?\\s*$') OR (contains(n, '第') AND contains(n, '页') AND {dated}) OR regexp_matches(c, '^\\d+(?:\\.\\d+){{1,4}}$') OR ({dated} AND length(n) <= 40) OR (length(c) <= 12 AND NOT regexp_matches(c, '{corpus.WORDS4}'))) AS head,
