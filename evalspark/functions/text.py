@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
 CJK = r"[\x{4e00}-\x{9fff}]"
+#: White space of any kind, as one character class: much cheaper than the Unicode mode of \\s.
+SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def col(c: Column | str) -> Column:
@@ -19,19 +25,24 @@ def count_of(c: Column | str, pattern: str) -> Column:
     return F.regexp_count(col(c), F.lit(pattern)).cast("long")
 
 
+def chars_of(c: Column | str, kept: str) -> Column:
+    """How many characters a class (its inside) holds: what is left when the runs of others go. One match a run, not one a character."""
+    return F.length(F.regexp_replace(col(c), f"[^{kept}]+", "")).cast("long")
+
+
 def strip(c: Column | str) -> Column:
     """Without white space (any Unicode kind) at both ends."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|(?<!\s)\s+$", "")
+    return F.regexp_replace(col(c), f"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
 
 
 def norm(c: Column | str) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(col(c), f"{SPACE}+", " "))
 
 
 def compact(c: Column | str) -> Column:
     """Without any white space."""
-    return F.regexp_replace(col(c), r"(?U)\s+", "")
+    return F.regexp_replace(col(c), f"{SPACE}+", "")
 
 
 def question_key(c: Column | str) -> Column:
@@ -67,8 +78,33 @@ def clean_reason(c: Column | str, most: int = 800) -> Column:
     return F.substring(strip(c), 1, most)
 
 
-def limit_text(c: Column | str, most: int) -> Column:
-    return F.when(F.length(col(c)) > most, F.concat(F.substring(col(c), 1, most), F.lit("...[truncated]"))).otherwise(col(c))
+def limit_text(c: Column | str, most: int | Column) -> Column:
+    """At most so many characters, and a mark where some are cut off."""
+    most = F.lit(most) if isinstance(most, int) else most
+    return F.when(F.length(col(c)) > most, F.concat(F.substring(col(c), F.lit(1), most), F.lit("...[truncated]"))).otherwise(col(c))
+
+
+#: Fixed values of the judge's size budget: characters of a text, least of a list's item, of a map's value; items of a list, entries of a map.
+BUDGET, ITEM_LEAST, VALUE_BUDGET, MOST_ITEMS, MOST_ENTRIES = 2400, 300, 700, 12, 20
+
+
+def budgeted(c: Column | str, kind: ty.DataType, most: int | Column = BUDGET) -> Column:
+    """A value within the size budget, whatever its type: texts are cut, lists and maps shortened, all the way down.
+
+    A list shares its budget among all of its items, the dropped ones too.
+    """
+    c = col(c)
+    most = F.lit(most) if isinstance(most, int) else most
+    if isinstance(kind, ty.StringType):
+        return limit_text(c, most)
+    if isinstance(kind, ty.ArrayType):
+        each = F.greatest(F.lit(ITEM_LEAST), F.floor(most / F.greatest(F.size(c), F.lit(1))).cast("int"))
+        return bind(F.struct(c.alias("v"), each.alias("m")), lambda x: F.transform(F.slice(x["v"], 1, MOST_ITEMS), lambda v: budgeted(v, kind.elementType, x["m"])))
+    if isinstance(kind, ty.MapType):
+        return F.when(c.isNotNull(), F.map_from_entries(F.transform(F.slice(F.map_entries(c), 1, MOST_ENTRIES), lambda e: F.struct(e["key"], budgeted(e["value"], kind.valueType, VALUE_BUDGET)))))
+    if isinstance(kind, ty.StructType):
+        return F.when(c.isNotNull(), F.struct(*[budgeted(c[f.name], f.dataType, VALUE_BUDGET).alias(f.name) for f in kind.fields[:MOST_ENTRIES]]))
+    return c
 
 
 def clamp(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
@@ -77,9 +113,40 @@ def clamp(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
 
 
 def mask_secret(c: Column | str) -> Column:
-    """Both ends of a long value, stars between; short ones all stars."""
+    """The first eight and last four characters of a long value, stars between; short ones all stars; an empty or null one is empty."""
     c = col(c)
-    return F.when(F.length(c) > 16, F.concat(F.substring(c, 1, 4), F.lit("****"), F.substring(c, -4, 4))).when(c.isNotNull(), F.lit("****"))
+    return F.when(F.length(c) > 16, F.concat(F.substring(c, 1, 8), F.lit("****"), F.substring(c, -4, 4))).when(F.length(c) > 0, F.lit("****")).otherwise(F.lit(""))
+
+
+#: Names of fields that hold secrets.
+SENSITIVE = ("authorization", "api_key", "apikey", "access_token", "refresh_token", "secret", "password")
+
+
+def redacted(c: Column | str, kind: ty.DataType) -> Column:
+    """A value without its secrets, all the way down: a field or key of a secret's name is null, and <name>_masked stands beside it if there was one.
+
+    A map without texts as values can't hold the mask: there the key's value is null only.
+    """
+    c = col(c)
+    known = lambda k: F.replace(F.lower(k), F.lit("-"), F.lit("_")).isin(*SENSITIVE)
+    if isinstance(kind, ty.ArrayType):
+        return F.transform(c, lambda v: redacted(v, kind.elementType))
+    if isinstance(kind, ty.StructType):
+        out = []
+        for f in kind.fields:
+            if f.name.lower().replace("-", "_") not in SENSITIVE:
+                out.append(redacted(c[f.name], f.dataType).alias(f.name))
+                continue
+            masked = mask_secret(c[f.name].cast("string"))
+            out += [F.lit(None).cast(f.dataType).alias(f.name), F.nullif(masked, F.lit("")).alias(f"{f.name}_masked")]
+        return F.when(c.isNotNull(), F.struct(*out))
+    if isinstance(kind, ty.MapType):
+        value = kind.valueType
+        if not isinstance(value, ty.StringType):
+            return F.transform_values(c, lambda k, v: F.when(~known(k), redacted(v, value)))
+        one = lambda e: F.when(known(e["key"]), F.array_compact(F.array(F.struct(e["key"].alias("key"), F.lit(None).cast("string").alias("value")), F.when(mask_secret(e["value"]) != "", F.struct(F.concat(e["key"], F.lit("_masked")).alias("key"), mask_secret(e["value"]).alias("value")))))).otherwise(F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+        return F.when(c.isNotNull(), F.map_from_entries(F.flatten(F.transform(F.map_entries(c), one))))
+    return c
 
 
 def mask_key(c: Column | str) -> Column:
@@ -99,13 +166,58 @@ def list_text(c: Column | str) -> Column:
     return F.coalesce(F.when(F.trim(col(c)).startswith("["), F.from_json(col(c), "array<string>")), F.when(F.size(lines) > 0, lines))
 
 
+def json_type(c: Column | str) -> Column:
+    """What a JSON value is stored as: array, json (an object), number (booleans too), else text."""
+    kind = F.schema_of_variant(F.try_parse_json(col(c)))
+    number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)")
+    return F.when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "json").when(number, "number").otherwise("text")
+
+
+def path_set(c: Column | str, path: str, value: Column) -> Column:
+    """A map of JSON texts with the value (JSON text) at a dotted path; what stands in the way and is no object is replaced. An empty path changes nothing."""
+    steps = [p for p in path.split(".") if p]
+    if not steps:
+        return col(c)
+    inner = value
+    if len(steps) > 1:
+        there = F.try_element_at(col(c), F.lit(steps[0]))
+        below = F.coalesce(F.when(json_type(there) == "json", json_map(there)), F.create_map().cast("map<string,string>"))
+        inner = json_text(path_set(below, ".".join(steps[1:]), value))
+    kept = F.map_filter(col(c), lambda k, v: k != steps[0])
+    return F.map_concat(kept, F.create_map(F.lit(steps[0]), inner))
+
+
+def json_map(c: Column | str) -> Column:
+    """A JSON object's keys, each with the JSON text of its value."""
+    return F.transform_values(F.from_json(col(c), "map<string,variant>"), lambda k, v: F.to_json(v))
+
+
+def quoted(c: Column) -> Column:
+    """A text as JSON text."""
+    listed = F.to_json(F.array(c))
+    return listed.substr(F.lit(2), F.length(listed) - 2)
+
+
+def json_text(c: Column) -> Column:
+    """A map of JSON texts as one JSON object, its keys in order."""
+    fields = F.transform(F.array_sort(F.map_keys(c)), lambda k: F.concat(quoted(k), F.lit(":"), F.coalesce(F.try_element_at(c, k), F.lit("null"))))
+    return F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}"))
+
+
 def bigram_tokens(c: Column | str) -> Column:
     """Lower-case ASCII words first, then bigrams of CJK runs (a single character stays)."""
     low = F.lower(col(c))
     words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
     runs = F.regexp_extract_all(low, F.lit(CJK + "+"), F.lit(0))  # short: a substring starts at its own first character
     pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))))
-    return F.concat(words, pairs)
+    return F.when(low.rlike(CJK), F.concat(words, pairs)).otherwise(words)
+
+
+def token_count(c: Column | str) -> Column:
+    """The number of bigram_tokens, without making them."""
+    low = F.lower(col(c))
+    pairs = F.aggregate(F.regexp_extract_all(low, F.lit(CJK + "+"), F.lit(0)), F.lit(0), lambda n, r: n + F.greatest(F.lit(1), F.length(r) - 1))
+    return F.regexp_count(low, F.lit("[a-z0-9]+")) + F.when(low.rlike(CJK), pairs).otherwise(0)
 
 
 def bind(value: Column, body) -> Column:
@@ -126,6 +238,33 @@ def char_ngrams(c: Column | str, n: int = 5) -> Column:
     return bind(question_key(c), lambda s: F.when(s == "", none).when(s.isNotNull(), F.array_distinct(grams(s))))
 
 
+def gram_hashes(texts: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
+    """(key, gram): 64-bit hashes of a text's distinct character n-grams, of the lower-case text without white space; a shorter text is its own only one.
+
+    Hashed by a rolling sum over code points in Arrow batches: no string is made for a gram. Blank and null texts have none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd = np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            keys, ids = [], []
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                x = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                m = min(n, len(x))
+                h = np.full(len(x) - m + 1, m, np.uint64)
+                for j in range(m):
+                    h = (h ^ x[j : j + len(h)]) * odd
+                    h ^= h >> np.uint64(29)
+                ids.append(np.unique(h))
+                keys.append(np.full(len(ids[-1]), k))
+            for lo in range(0, len(ids), 64):  # bounded batches out
+                at = np.concatenate(keys[lo : lo + 64])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate(ids[lo : lo + 64]).view(np.int64))], names=[key, "gram"])
+
+    rows = texts.select(key, question_key(text).alias("_t")).where("_t <> ''")
+    return rows.mapInArrow(run, ty.StructType([rows.schema[0], ty.StructField("gram", ty.LongType())]))
+
+
 _VARIABLE = re.compile(r"(?<!\{)\{([A-Za-z_][\w.]*)\}(?!\})")
 
 

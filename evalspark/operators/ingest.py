@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
 from evalspark.functions import text as T
+from evalspark.operators.report import with_range
 
 
 def validate(rows: DataFrame, fields: list[dict]) -> DataFrame:
-    """Add `errors` (array of texts) by declared fields: {name, type: text | number | json | text_list, required}."""
+    """Add `errors` (array of texts) by declared fields: {name, type: text | number | json | text_list | conversation | tool_call_list, required}."""
     tests: list[Column] = []
     for f in fields:
         name, c = f["name"], F.col(f["name"]) if f["name"] in rows.columns else F.lit(None).cast("string")
@@ -23,6 +24,8 @@ def validate(rows: DataFrame, fields: list[dict]) -> DataFrame:
             tests.append(F.when(~blank & F.try_parse_json(c.cast("string")).isNull(), F.lit(f"{name}: not JSON")))
         if f.get("type") == "text_list":
             tests.append(F.when(~blank & T.list_text(c).isNull(), F.lit(f"{name}: not a list")))
+        if f.get("type") in ("conversation", "tool_call_list"):
+            tests.append(F.when(~blank & (T.json_type(c) != "array"), F.lit(f"{name}: not a JSON list")))
     return rows.withColumn("errors", F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>"))
 
 
@@ -50,11 +53,9 @@ def import_new(existing: DataFrame, batch: DataFrame, columns: list[str], order:
     return number(new, order, "row_index").crossJoin(F.broadcast(last)).withColumn("row_index", F.col("row_index") + F.col("_last") + 1).drop("_last")  # one row
 
 
-def number(rows: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame:
-    """Consecutive numbers from 0 in the order of a column of distinct numbers: within ranges at approximate quantiles, plus the counts of earlier ranges."""
-    at = sorted(set(rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.5 / parts)))
-    bucket = F.size(F.filter(F.array(*[F.lit(x) for x in at]).cast("array<double>"), lambda b: b <= F.col(order))) if at else F.lit(0)
-    ranged = rows.withColumn("_p", bucket)
+def number(rows: DataFrame, order: str, name: str, parts: int = 256) -> DataFrame:
+    """Consecutive numbers from 0 in the order of a column of distinct numbers: within ranges at approximate percentiles, plus the counts of earlier ranges."""
+    ranged = with_range(rows, rows, order, parts)
     totals = ranged.groupBy("_p").agg(F.count("*").alias("_t"))
     before = totals.withColumn("_b", F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).select("_p", "_b")  # at most `parts` rows
     return ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order))).join(F.broadcast(before), "_p").withColumn(name, (F.col("_i") + F.col("_b") - 1).cast("long")).drop("_p", "_i", "_b")
@@ -122,9 +123,3 @@ def compatible(datasets: DataFrame, scenarios: DataFrame, produced: list[str]) -
     both = datasets.select("dataset_id", "sample_type", "fields").join(scenarios.select("scenario_id", "sample_type", "required"), "sample_type")
     given = F.array(*map(F.lit, produced)) if produced else F.array().cast("array<string>")
     return both.select("dataset_id", "scenario_id", F.array_sort(F.array_except(F.array_except("required", "fields"), given)).alias("lacking"))
-
-
-def merge_reports(first: DataFrame, second: DataFrame, key: str = "metric") -> DataFrame:
-    """Two reports in one, each row with its origin; of a key that both have, the second's row."""
-    tag = lambda df, n: df.withColumn("origin", F.lit(n))
-    return tag(second, "second").unionByName(tag(first, "first").join(second.select(key), key, "left_anti"), allowMissingColumns=True)

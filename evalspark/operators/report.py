@@ -137,17 +137,15 @@ def page(rows: DataFrame, order: list[Column], size: int, offset: int = 0) -> Da
     return cut.withColumn("position", (F.row_number().over(Window.orderBy(*order)) + offset).cast("long"))
 
 
-def ranks(df: DataFrame, value: str, name: str, parts: int = 64) -> DataFrame:
+def ranks(df: DataFrame, value: str, name: str, parts: int = 256) -> DataFrame:
     """Add average ranks (ties share their mean rank) without sorting in one task.
 
-    Distinct values are counted first and dealt into `parts` ranges at approximate quantiles (the
-    only thing the driver sees); a value's rank is the count in earlier ranges, plus the running
-    count in its own.
+    Distinct values are counted first and dealt into ranges at approximate percentiles (one row,
+    part of the same plan); a value's rank is the count in earlier ranges, plus the running count in
+    its own.
     """
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    at = sorted(set(counts.approxQuantile(value, [i / parts for i in range(1, parts)], 0.5 / parts)))
-    bucket = F.size(F.filter(F.array(*[F.lit(x) for x in at]).cast("array<double>"), lambda b: b <= F.col(value))) if at else F.lit(0)
-    ranged = counts.withColumn("_p", bucket)
+    ranged = with_range(counts, df, value, parts)
     totals = ranged.groupBy("_p").agg(F.sum("_n").alias("_t"))
     before = totals.withColumn("_before", F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).select("_p", "_before")  # at most `parts` rows
     inner = F.sum("_n").over(Window.partitionBy("_p").orderBy(value))
@@ -155,6 +153,13 @@ def ranks(df: DataFrame, value: str, name: str, parts: int = 64) -> DataFrame:
     return df.join(placed, value)
 
 
+def with_range(rows: DataFrame, whole: DataFrame, value: str, parts: int) -> DataFrame:
+    """Add `_p`: how many of the percentiles of `whole` are no larger than a row's value."""
+    at = F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(20 * parts))
+    splits = F.broadcast(whole.agg(F.array_distinct(at).alias("_q")))  # one row
+    return rows.crossJoin(splits).withColumn("_p", F.coalesce(F.size(F.filter("_q", lambda q: q <= F.col(value))), F.lit(0))).drop("_q")
+
+
 def correlation(pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Pearson and Spearman of complete pairs; null with under three pairs or without variance."""
     own = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)

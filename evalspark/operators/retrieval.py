@@ -16,10 +16,13 @@ K1, B = 1.5, 0.75
 NGRAM_LIMIT, COSINE_LIMIT = 0.8, 0.92
 
 
-def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, term, tf, len): one row per document and term, counted before the shuffle."""
+def postings(docs: DataFrame, doc: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc, term, tf, len): one row per document and term (with `wanted`: of its terms only), counted before the shuffle."""
     tokens = docs.select(doc, T.bigram_tokens(text).alias("_t"))
-    return tokens.select(doc, F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy(doc, "len", "term").agg(F.count("*").alias("tf"))
+    each = tokens.select(doc, F.size("_t").alias("len"), F.explode("_t").alias("term"))
+    if wanted is not None:
+        each = each.join(wanted, "term", "left_semi")
+    return each.groupBy(doc, "len", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", query: str = "query_id", text: str = "text") -> DataFrame:
@@ -27,10 +30,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", q
 
     Only postings of terms that a query has are scored. The average length counts empty documents too.
     """
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(T.bigram_tokens(text))).alias("avg_len"))
+    stats = docs.agg(F.count("*").alias("n"), F.avg(T.token_count(text)).alias("avg_len"))
     asked = queries.select(query, F.explode(F.array_distinct(T.bigram_tokens(text))).alias("term"))
     wanted = asked.select("term").distinct()
-    hits = postings(docs, doc, text).join(wanted, "term", "left_semi")
+    hits = postings(docs, doc, text, wanted)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")  # stats is one row
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
@@ -51,17 +54,25 @@ def retrieval_means(hits: DataFrame, queries: DataFrame, k: int = 5, query: str
 def ngram_overlap(texts: DataFrame, corpus: DataFrame, text_id: str = "item_id", doc_id: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
     """Highest share of a text's n-grams that one corpus row has: text_id, overlap, doc_id (smallest on ties), contaminated. Texts that share nothing: 0.
 
-    n-grams meet by a join on their value; corpus rows only send those that some text has.
+    n-grams meet by a join on their hash; corpus rows only send those that some text has, which
+    are broadcast under Spark's own size check.
     """
-    grams = texts.select(text_id, T.char_ngrams(text, n).alias("_g"))
-    asked = grams.select(text_id, F.size("_g").alias("_n"), F.explode("_g").alias("gram"))
-    there = corpus.select(doc_id, F.explode(T.char_ngrams(text, n)).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
-    shared = asked.join(there, "gram").groupBy(text_id, doc_id).agg(F.round(F.count("*") / F.first("_n"), 4).alias("overlap"))
-    best = shared.groupBy(text_id).agg(F.max(F.struct("overlap", (-F.col(doc_id)).alias("_d"))).alias("_b"))
+    asked = T.gram_hashes(texts, text_id, text, n)
+    size = asked.groupBy(text_id).agg(F.count("*").alias("_n"))
+    there = T.gram_hashes(corpus, doc_id, text, n).join(asked.select("gram").distinct(), "gram", "left_semi")
+    shared = asked.join(there, "gram").groupBy(text_id, doc_id).agg(F.count("*").alias("_c"))
+    rated = shared.join(size, text_id).select(text_id, doc_id, F.round(F.col("_c") / F.col("_n"), 4).alias("overlap"))
+    best = rated.groupBy(text_id).agg(F.max(F.struct("overlap", (-F.col(doc_id)).alias("_d"))).alias("_b"))
     out = texts.select(text_id).join(best, text_id, "left").select(text_id, F.coalesce("_b.overlap", F.lit(0.0)).alias("overlap"), (-F.col("_b._d")).alias(doc_id))
     return out.withColumn("contaminated", F.col("overlap") >= NGRAM_LIMIT)
 
 
+def contamination_tally(found: DataFrame, *by: str) -> DataFrame:
+    """How many texts were held against the corpus, how many are contaminated, their share, and the highest overlap."""
+    hit = F.count_if("contaminated")
+    return found.groupBy(*by).agg(F.count("*").alias("n"), hit.alias("contaminated"), F.round(F.try_divide(hit, F.count("*")), 4).alias("share"), F.max("overlap").alias("highest"))
+
+
 def cosine_max(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", block: int = 1024, shard: int = 8192) -> DataFrame:
     """The nearest other vector of each query by cosine (0 to 1): query_id, vec_id (smallest on ties), cosine.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions import scores as S
 from evalspark.operators import blind, report
-from evalspark.plans.common import GRID_SQL, grid, load
+from evalspark.plans.common import GRID_SQL, grid, load, shared_dir
 from evalspark.streaming import progress
 
 QUERIES, ORACLES = {}, {}
@@ -266,25 +268,19 @@ SELECT user_id, status, started_at, last_beat FROM r, n WHERE status IN ('pendin
 def stale_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs are users: begun with their first event, alive at each event but errors; now is the last event."""
     e = load(spark, sf_dir, "events")
-    now = e.agg(F.max("ts")).first()[0]
     status = F.get(F.array(F.lit("pending"), F.lit("running"), F.lit("completed")), (F.col("user_id") % 3).cast("int")).alias("status")
     runs = e.groupBy("user_id").agg(F.min("ts").alias("started_at")).select("user_id", status, "started_at")
-    return progress.stale(runs, e.where("event_type <> 'error'"), F.lit(now), "user_id", "12 hours", "6 hours").select("user_id", "status", "started_at", "last_beat")
+    runs = runs.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))  # one row
+    return progress.stale(runs, e.where("event_type <> 'error'"), F.col("now"), "user_id", "12 hours", "6 hours").select("user_id", "status", "started_at", "last_beat")
 
 
 @query("SELECT event_type, count(*) AS done, count(CASE WHEN value > 100 THEN 'slow' END) AS errors, max(ts) AS last_ts FROM events GROUP BY event_type")
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The final state of a file stream over events, run until its present end."""
-    import uuid
-
+    """The final state of a file stream over events, run until its present end; the state goes to files."""
     schema = load(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be one file
     state = progress.progress(stream.withColumn("error", F.when(F.col("value") > 100, "slow")), "event_type")
     name = f"progress_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="evalspark-")  # local runs only
-    progress.to_table(state, name, f"{base}/{name}").awaitTermination()
-    return spark.table(name)
+    base = f"{shared_dir(spark)}/{name}"
+    progress.to_files(state, f"{base}/state", f"{base}/checkpoint").awaitTermination()
+    return progress.current(spark.read.parquet(f"{base}/state"), "event_type")

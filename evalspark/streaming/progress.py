@@ -22,6 +22,33 @@ def to_table(state: DataFrame, name: str, checkpoint: str, mode: str = "complete
     return state.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def to_files(state: DataFrame, path: str, checkpoint: str, *run: str) -> StreamingQuery:
+    """Run until the source's present end; every batch's changed runs are appended to a table of files, numbered by `batch`. The driver sees no row."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+
+    return state.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(saved: DataFrame, *run: str) -> DataFrame:
+    """The last state of each run in a table that `to_files` wrote; a batch that was written twice counts once."""
+    rest = [c for c in saved.columns if c not in run]
+    return saved.groupBy(*run).agg(F.max_by(F.struct(*[c for c in rest if c != "batch"]), "batch").alias("_r")).select(*run, "_r.*")
+
+
+def recovered(runs: DataFrame, beats: DataFrame, now: Column, run: str, started: str = "30 minutes", beat: str = "30 minutes") -> DataFrame:
+    """All runs, the stale ones failed, with the time they were found so."""
+    lost = stale(runs, beats, now, run, started, beat).select(run, F.lit(True).alias("_lost"))
+    out = runs.join(lost, run, "left").withColumn("finished_at", F.when(F.col("_lost"), now))
+    return out.withColumn("status", F.when(F.col("_lost"), "failed").otherwise(F.col("status"))).drop("_lost")
+
+
+def cancelled(results: DataFrame, stops: DataFrame, run: str) -> DataFrame:
+    """Results of runs but those that came after the run was told to stop: what is under way ends, nothing is begun."""
+    return results.join(stops.groupBy(run).agg(F.min("ts").alias("_stop")), run, "left").where(F.col("_stop").isNull() | (F.col("ts") <= F.col("_stop"))).drop("_stop")
+
+
 def rate(done: Column, total: Column) -> Column:
     return F.round(F.try_divide(done, total), 4)
 
