@@ -21,7 +21,9 @@ from evalspark.functions import scores as S
 from evalspark.functions import text as T
 
 HIDDEN = ("generation_meta",)
-#: Required and visible fields of the built-in metrics; what is not visible never reaches the judge.
+#: The order of a sample's fields.
+IMPORTANT = ("user_input", "response", "reference", "retrieved_contexts", "reference_contexts", "retrieved_context_ids", "reference_context_ids", "reference_tool_calls", "reference_topics", "reference_role", "rubrics")
+#: Required and visible fields of the built-in metrics; what is not visible never reaches the judge.
 CATALOG: dict[str, dict[str, tuple[str, ...]]] = {
     "faithfulness": {"required": ("response", "retrieved_contexts"), "visible": ("response", "retrieved_contexts")},
     "context_recall": {"required": ("retrieved_contexts", "reference"), "visible": ("retrieved_contexts", "reference")},
@@ -30,6 +32,8 @@ CATALOG: dict[str, dict[str, tuple[str, ...]]] = {
     "factual_correctness": {"required": ("response", "reference"), "visible": ("response", "reference")},
     "answer_completeness": {"required": ("response", "reference"), "visible": ("response", "reference")},
     "answer_relevancy": {"required": ("user_input", "response"), "visible": ("user_input", "response")},
+    "faithfulness_claim": {"required": ("response", "retrieved_contexts"), "visible": ("response", "retrieved_contexts")},
+    "answer_relevancy_generative": {"required": ("user_input", "response"), "visible": ("user_input", "response")},
     "agent_goal_accuracy": {"required": ("user_input", "reference"), "visible": ("user_input", "reference", "response", "tool_calls", "reference_tool_calls")},
     "task_completion": {"required": ("user_input", "reference"), "visible": ("user_input", "reference", "response", "tool_calls", "reference_tool_calls")},
     "topic_adherence": {"required": ("user_input", "reference_topics"), "visible": ("user_input", "reference_topics", "response")},
@@ -66,24 +70,48 @@ class Offline:
         if task == "questions":
             words = x.get("response", "").split()
             return json.dumps({"questions": [" ".join(words[k :: x.get("n", 3)]) for k in range(x.get("n", 3))], "noncommittal": not words}, ensure_ascii=False)
-        first, *rest = [_words(v) for v in x.values()] or [set()]
+        first, *rest = [_words(v) for v in x.get("sample", x).values()] or [set()]
         seen = set().union(*rest) if rest else first
         score = len(first & seen) / len(first) if first else 0.0
         return json.dumps({"score": round(score, 4), "reason": f"{task}: {len(first & seen)} of {len(first)} words"})
 
 
-def payload(metric: str, columns: list[str], extra: tuple[str, ...] = ()) -> Column:
-    """The judge's sample: the visible fields in order, then extras; nulls and hidden fields are left out."""
-    names = [c for c in dict.fromkeys((*CATALOG[metric]["visible"], *extra)) if c in columns and c not in HIDDEN]
-    return F.to_json(F.struct(*names))
+#: What a judge is asked to look for.
+CRITERIA: dict[str, str] = {
+    "faithfulness": "Every key fact of the response is supported by the retrieved contexts; invented or contradicting facts cost points.",
+    "context_recall": "The retrieved contexts cover the facts of the reference; a point of it that they lack costs points.",
+    "context_precision": "The retrieved contexts are relevant to the question and the reference; noise and repetition cost points.",
+    "contextual_relevancy": "The retrieved contexts are about the question itself; what only touches it costs points.",
+    "factual_correctness": "The response agrees with the facts of the reference; errors and missing conditions cost points.",
+    "answer_completeness": "The response has all points of the reference.",
+    "answer_relevancy": "The response answers the question directly; straying and generalities cost points, errors don't.",
+    "faithfulness_claim": "The share of the response's single claims that the retrieved contexts support.",
+    "answer_relevancy_generative": "How near the question is to the questions that the response would answer.",
+    "agent_goal_accuracy": "The conversation reaches the goal that the reference states.",
+    "task_completion": "The task of the reference is done, by the tools that it takes.",
+    "topic_adherence": "The conversation stays with the topics of the reference.",
+    "turn_relevancy": "Each answer fits its turn.",
+    "conversation_completeness": "The conversation settles all that the user asked for.",
+    "knowledge_retention": "What the user has said is kept in mind later.",
+    "role_adherence": "The answers stay in the role of the reference.",
+    "turn_faithfulness": "Each answer is supported by the retrieved contexts.",
+}
+
+
+def payload(metric: str, rows: DataFrame, extra: tuple[str, ...] = ()) -> Column:
+    """The judge's sample: the visible fields in the fixed order, then extras, within the size budget; nulls and hidden fields are left out."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    shown = dict.fromkeys((*CATALOG[metric]["visible"], *extra))
+    names = [c for c in (*[c for c in IMPORTANT if c in shown], *[c for c in shown if c not in IMPORTANT]) if c in kinds and c not in HIDDEN]
+    return F.to_json(F.struct(*[T.budgeted(c, kinds[c]).alias(c) for c in names]))
 
 
 def custom_payload(data: Column, important: list[str], most: int = 16) -> Column:
-    """The sample of a custom metric from a map: important fields first, then others, 16 at most, none that starts with _."""
+    """The sample of a custom metric from a map: important fields first, then others, 16 at most, none that starts with _; texts within the size budget."""
     shown = F.map_filter(data, lambda k, v: ~k.startswith("_") & ~k.isin(*HIDDEN))
     first = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.try_element_at(shown, F.lit(k)).alias("value")) for k in important]), lambda e: e["value"].isNotNull())
     rest = F.filter(F.map_entries(shown), lambda e: ~F.exists(first, lambda f: f["key"] == e["key"]))
-    return F.to_json(F.map_from_entries(F.slice(F.concat(first, rest), 1, most)))
+    return F.to_json(F.transform_values(F.map_from_entries(F.slice(F.concat(first, rest), 1, most)), lambda k, v: T.limit_text(v, T.BUDGET)))
 
 
 def ask(rows: DataFrame, task: str, provider: Provider, request: str = "request", batch: int = 64) -> DataFrame:
@@ -102,13 +130,20 @@ def ask(rows: DataFrame, task: str, provider: Provider, request: str = "request"
     return rows.mapInArrow(run, fields)
 
 
-def judge(rows: DataFrame, key: list[str], metric: str, provider: Provider) -> DataFrame:
-    """(key, metric, score, reason, error) of a built-in metric. Rows without a required field aren't sent: null score, a reason; an answer without score or reason is an error."""
-    need = CATALOG[metric]["required"]
+def judge(rows: DataFrame, key: list[str], metric: str, provider: Provider, required: tuple[str, ...] | None = None, prompt: str | None = None) -> DataFrame:
+    """(key, metric, score, reason, error) of a built-in metric.
+
+    The request holds the metric, its criteria (or a prompt that overrides them) and the sample. Rows
+    without a required field (the metric's own, unless overridden) aren't sent: null score, a
+    reason; an answer without score or reason is an error.
+    """
+    need = CATALOG[metric]["required"] if required is None else required
     kinds = {f.name: f.dataType.typeName() for f in rows.schema}
     lacking = [T.is_missing(c, "array" if kinds[c] in ("array", "map") else "string") if c in kinds else F.lit(True) for c in need]
-    missing = F.array_compact(F.array(*[F.when(t, F.lit(c)) for t, c in zip(lacking, need, strict=True)]))
-    asked = rows.select(*key, missing.alias("_missing"), F.when(F.size(missing) == 0, payload(metric, rows.columns)).alias("request"))
+    missing = F.array_compact(F.array(*[F.when(t, F.lit(c)) for t, c in zip(lacking, need, strict=True)]).cast("array<string>"))
+    ask_for = F.to_json(F.struct(F.lit(metric).alias("metric"), F.lit(prompt or CRITERIA[metric]).alias("criteria")))
+    request = F.concat(ask_for.substr(F.lit(1), F.length(ask_for) - 1), F.lit(',"sample":'), payload(metric, rows), F.lit("}"))
+    asked = rows.select(*key, missing.alias("_missing"), F.when(F.size(missing) == 0, request).alias("request"))
     said = ask(asked, metric, provider).withColumn("_j", T.json_object("answer"))
     score = F.round(T.clamp(T.coerce_float(T.path_get("_j", "score"))), 4)
     reason = T.clean_reason(T.path_get("_j", "reason"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalspark.plans import datasets, reporting
+from evalspark.plans import datasets, lifecycle, reporting
 
-QUERIES: dict = reporting.QUERIES | datasets.QUERIES
-ORACLES: dict[str, str] = reporting.ORACLES | datasets.ORACLES
+QUERIES: dict = reporting.QUERIES | datasets.QUERIES | lifecycle.QUERIES
+ORACLES: dict[str, str] = reporting.ORACLES | datasets.ORACLES | lifecycle.ORACLES

@@ -27,8 +27,7 @@ def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
     """(path, position, row variant) of files that are one JSON list of objects; anything else raises."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.parse_json("value").alias("v"))
     whole = whole.withColumn("v", F.when(F.schema_of_variant("v").startswith("ARRAY"), F.col("v")).otherwise(F.raise_error(F.lit("not a list of objects")).cast("variant")))
-    whole.createOrReplaceTempView("_json_rows")
-    rows = spark.sql("SELECT path, pos AS position, value AS row FROM _json_rows, LATERAL variant_explode(v)")
+    rows = spark.sql("SELECT path, pos AS position, value AS row FROM {whole}, LATERAL variant_explode(v)", whole=whole)
     return rows.where(F.when(F.schema_of_variant("row").startswith("OBJECT"), F.lit(True)).otherwise(F.raise_error(F.lit("not a list of objects")).cast("boolean")))
 
 
@@ -79,13 +78,12 @@ def without_preamble(blocks: DataFrame, text: str = "paragraph") -> DataFrame:
     return blocks.where(~begins & ~F.col(text).rlike("|".join(map(re.escape, PREAMBLE_WORDS))))
 
 
-def keyed(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows of a key list (a small frame); a key without a row raises."""
-    lost = keys.select(key).distinct().join(rows.select(key), key, "left_anti")
-    missing = [r[0] for r in lost.limit(5).collect()]
-    if missing:
-        raise KeyError(f"no rows for {missing}")
-    return rows.join(keys.select(key).distinct(), key, "left_semi")
+def keyed(rows: DataFrame, keys: list[str], key: str) -> DataFrame:
+    """The rows of a key list in its order (column `position`), a key that repeats once; a key without a row is an error when the rows are read."""
+    order = list(dict.fromkeys(keys))
+    wanted = rows.sparkSession.createDataFrame(list(enumerate(order)), f"position int, {key} {rows.schema[key].dataType.simpleString()}")
+    seen = F.when(F.col("_seen"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no rows for "), F.col(key).cast("string"))).cast("boolean"))
+    return wanted.join(rows.withColumn("_seen", F.lit(True)), key, "left").where(seen).drop("_seen")
 
 
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"

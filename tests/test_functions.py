@@ -1,5 +1,6 @@
 """Column functions and operators on small inputs with known results."""
 
+import csv
 import io
 import json
 import random
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import scores as S
 from evalspark.functions import text as T
-from evalspark.operators import blind, corpus, ingest, judge, report, retrieval
+from evalspark.operators import blind, corpus, ingest, judge, lifecycle, metrics, report, retrieval
 from evalspark.sources import endpoint, files, sse
 from evalspark.streaming import progress
 
@@ -106,7 +107,7 @@ def test_json(spark):
     assert one(spark, T.list_text(F.lit("a\nb"))) == ["a", "b"]
     assert one(spark, T.list_text(F.lit('["a","b"]'))) == ["a", "b"]
     assert one(spark, T.render("{x}-{y}-{{z}}", {"x": F.lit("1")})) == "1--{{z}}"
-    assert one(spark, T.mask_secret(F.lit("sk-0123456789abcdef"))) == "sk-0****cdef"
+    assert one(spark, T.mask_secret(F.lit("sk-0123456789abcdef"))) == "sk-01234****cdef"
 
 
 def test_labels(spark):
@@ -197,7 +198,8 @@ def test_pages(spark):
 def test_chunks(spark):
     body = "这一节说明具体的办理步骤和需要注意的事项，内容足够长以便单独成为一个条目。"
     text = "\n".join(f"{n} 标题{n}\n{body}" for n in ("4.2.1", "4.2.2", "4.3.1"))
-    got = corpus.structured_chunks(text, 420)
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [r.content for r in corpus.chunk(one, size=420).orderBy("chunk_index").collect()]
     assert any("4.2.1" in c and "4.2.2" in c for c in got) and not any("4.2.1" in c and "4.3.1" in c for c in got)
     long = "x" * 2000
     cut = corpus.length_chunks(long, 900, 120)
@@ -229,7 +231,7 @@ def test_judge(spark):
     rows = spark.createDataFrame([(1, "red car", "red car", ["the red car"], {"hidden": 1}), (2, "red", None, None, None)], "id int, user_input string, response string, retrieved_contexts array<string>, generation_meta map<string,int>")
     got = {r.id: r for r in judge.judge(rows, ["id"], "faithfulness", judge.Offline()).collect()}
     assert got[1].score == 1.0 and got[1].error is None and got[2].score is None and got[2].reason.startswith("missing")
-    sent = rows.select(judge.payload("faithfulness", rows.columns).alias("p")).first().p
+    sent = rows.select(judge.payload("faithfulness", rows).alias("p")).first().p
     assert "generation_meta" not in sent and "user_input" not in sent
 
     class Silent:
@@ -320,9 +322,6 @@ def test_sync(spark):
     d = spark.createDataFrame([(1, "rag", ["q", "r"])], "dataset_id long, sample_type string, fields array<string>")
     s = spark.createDataFrame([(7, "rag", ["q", "z", "r", "y"]), (8, "agent", ["q"])], "scenario_id long, sample_type string, required array<string>")
     assert [(r.scenario_id, r.lacking) for r in ingest.compatible(d, s, ["y"]).collect()] == [(7, ["z"])]
-    a = spark.createDataFrame([("m", 1.0), ("n", 2.0)], "metric string, mean double")
-    b = spark.createDataFrame([("m", 5.0)], "metric string, mean double")
-    assert {r.metric: (r.mean, r.origin) for r in ingest.merge_reports(a, b).collect()} == {"m": (5.0, "second"), "n": (2.0, "first")}
 
 
 def test_write_back(spark):
@@ -331,3 +330,176 @@ def test_write_back(spark):
     assert {r.id: r.data for r in ingest.write_back(rows, found, "id").collect()} == {1: {"a": "1", "b": "3", "c": "4"}, 2: {"a": "1"}}
     sent = rows.select(judge.custom_payload(F.col("data"), ["b"]).alias("p")).first().p
     assert sent == '{"b":"2","a":"1"}'
+
+
+# ---------------------------------------------------------------- chunking, by hand
+
+REGULATION = """总则说明：本制度用于规范员工考勤与请假管理。
+4.2 迟到与早退
+4.2.1 迟到：超过规定时间上班，1 小时以内未到岗视为迟到。
+4.2.2 早退：早于规定时间下班，离岗 1 小时以内视为早退。
+4.2.3 一个月内累计迟到、早退 2 次及以上者，将视情况予以警告处分。
+4.3
+旷工管理
+4.3.1 未办理请假手续且迟到或早退超过 1 小时的，视为旷工。
+4.3.2 连续旷工 3 天及以上或一年累计旷工 5 天及以上，公司可解除劳动关系。"""
+
+
+def _chunks(spark, text, **how):
+    rows = corpus.chunk(spark.createDataFrame([(1, text)], "doc_id long, text string"), **how).orderBy("chunk_index").collect()
+    assert [r.chunk_key for r in rows] == [f"doc-1-chunk-{i}" for i in range(len(rows))] and all(r.char_count == len(r.content) for r in rows)
+    return [r.content for r in rows]
+
+
+def test_sections_by_hand(spark):
+    """A short intro joins the first section; sections of one parent merge, under one heading of their parent; a number of its own takes the next line."""
+    lines = REGULATION.split("\n")
+    assert _chunks(spark, REGULATION, size=420) == ["\n".join(lines[:5]), "\n".join(["4.3 旷工管理", *lines[7:]])]
+    # lines of a section that stand anywhere in the earlier one stay: only those at the same place go
+    same = "1.1 甲乙丙丁\n请各部门按照要求执行本规定。\n第一条内容如下所述。\n1.2 戊己庚辛\n第一条内容如下所述。\n请各部门按照要求执行本规定。"
+    assert _chunks(spark, same, size=420) == [same]
+    # two sections, of which one is a form: one entry is left, so the text is cut by length
+    form = "1.1 家长签名\n学生姓名"
+    assert _chunks(spark, form, size=420) == [form]
+    # a section above others counts on its own if it says something
+    above = "2.1 总述\n" + "本章规定了各部门在执行制度时应当遵守的步骤与流程，包括申请、审批与归档。" + "\n2.1.1 申请\n员工应当提前三天提交申请。\n2.1.2 审批\n部门负责人应当在一天内审批。"
+    got = _chunks(spark, above, size=100)
+    assert got[0].startswith("2.1 总述\n本章") and "2.1 总述\n2.1.1 申请" in "\n".join(got)
+
+
+def test_lengths_by_hand(spark):
+    text = "a" * 500 + "。" + "b" * 600
+    assert _chunks(spark, text, structured=False) == ["a" * 500 + "。", "a" * 119 + "。" + "b" * 600]
+    # the first kind of break wins, not the last place; one too early doesn't count
+    text = "x" * 300 + "。" + "y" * 300 + "；" + "z" * 100 + "，" + "w" * 500
+    assert _chunks(spark, text, structured=False)[0] == "x" * 300 + "。" + "y" * 300 + "；"
+    # the rest of a long paragraph gathers the next ones
+    text = "p" * 950 + "\n" + "q" * 100 + "\n\n" + "r" * 640
+    assert _chunks(spark, text, structured=False) == ["p" * 900, "p" * 170 + "\n" + "q" * 100, "r" * 640]
+    assert corpus.length_chunks("a" * 10, 5, 4) == ["aaaaa"] * 6
+
+
+def test_quality_reasons(spark):
+    rows = spark.createDataFrame([(0, "第 3 页"), (1, "员工应当遵守考勤要求。"), (2, "家长签名与学生姓名回执"), (3, "Cita Te fneo lorem ipsum dolor"), (4, None)], "i int, text string")
+    got = {r.i: r.reasons for r in corpus.quality(rows).collect()}
+    assert got[0] == got[4] == ["页眉页脚/页码噪声"] and got[1] == ["文本过短", "正文特征较弱", "包含规则/流程型正文"] and got[2] == ["表单/回执字段"] and got[3] == ["OCR 乱码或低可读文本"]
+    letters = spark.createDataFrame([(0, "éàü" * 3 + "汉字汉字汉字汉字")], "i int, text string")
+    assert letters.select(corpus.is_garbled(F.col("text")).alias("g")).first().g is False  # over six Chinese characters
+    assert spark.createDataFrame([(0, "éàüéà 汉字")], "i int, text string").select(corpus.is_garbled(F.col("text")).alias("g")).first().g  # letters with accents count as signs
+    assert spark.createDataFrame([(0, " " + "1.2" + ".3" * 3)], "i int, text string").select(corpus.is_header(F.col("text")).alias("g")).first().g
+
+
+# ---------------------------------------------------------------- clients, reports, exports, streams
+
+
+def test_clients(spark, monkeypatch):
+    sent = []
+
+    class Reply(io.BytesIO):
+        pass
+
+    def urlopen(request, timeout):
+        body = json.loads(request.data)
+        sent.append((request.headers, body))
+        if "input" in body:
+            return Reply(json.dumps({"data": [{"index": i, "embedding": [float(len(t))]} for i, t in reversed(list(enumerate(body["input"])))]}).encode())
+        return Reply(json.dumps({"choices": [{"message": {"content": "said " + body["messages"][-1]["content"]}}]}).encode())
+
+    monkeypatch.setattr(endpoint.urllib.request, "urlopen", urlopen)
+    chat = endpoint.Chat("http://x", model="m", prompts={"t": "be brief"}, parallel=3)
+    assert chat.answer("t", ["a", "b", "c", "d"]) == ["said a", "said b", "said c", "said d"]
+    assert sent[0][1]["messages"][0] == {"role": "system", "content": "be brief"} and sent[0][1]["response_format"] == {"type": "json_object"}
+    sent.clear()
+    assert endpoint.Embeddings("http://x", model="e").embed(["a" * k for k in range(130)]) == [[float(k)] for k in range(130)] and [len(b["input"]) for _, b in sent] == [64, 64, 2]
+    assert endpoint.Endpoint("http://x", stream=True)._headers()["Accept"] == "text/event-stream"
+    rows = spark.createDataFrame([(1, "a b a"), (2, None)], "id int, text string")
+    got = {r.id: r.embedding for r in endpoint.embed(rows, "text", endpoint.Hashed(8)).collect()}
+    assert got[2] is None and sum(got[1]) == 3
+
+
+def test_prior_report(spark, tmp_path):
+    path = tmp_path / "r.json"
+    path.write_text(json.dumps({"metrics": {"a": {"scores": [0.5, None, 1]}, "b": {"scores": [1]}}}))
+    found = lifecycle.prior_report(spark, str(path), ["a"], 3)
+    assert sorted((r.row_index, r.score) for r in found.collect()) == [(0, 0.5), (1, None), (2, 1.0)]
+    for name in ("b", "c"):
+        with pytest.raises(Exception, match="not 3 scores"):
+            lifecycle.prior_report(spark, str(path), [name], 3).collect()
+
+
+def test_exports(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "b", ["x"]), (0, 'a "q", é', None)], "row_index long, name string, tags array<string>")
+    lifecycle.write_lines(lifecycle.json_lines(rows, "row_index"), str(tmp_path / "j"), "row_index")
+    text = next((tmp_path / "j").glob("part-*.txt")).read_text("utf-8")
+    assert json.loads(text) == [{"name": 'a "q", é', "tags": None}, {"name": "b", "tags": ["x"]}] and text.startswith("[\n  {\n")
+    lifecycle.write_lines(lifecycle.csv_lines(rows, ["name", "tags"], "row_index"), str(tmp_path / "c"), "row_index")
+    raw = next((tmp_path / "c").glob("part-*.txt")).read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfname,tags") and list(csv.reader(io.StringIO(raw.decode("utf-8-sig")))) == [["name", "tags"], ['a "q", é', ""], ["b", '["x"]']]
+    lifecycle.append_results(rows.withColumn("run", F.lit(1)), str(tmp_path / "t"), "run")
+    lifecycle.append_results(rows.withColumn("run", F.lit(2)), str(tmp_path / "t"), "run")
+    assert spark.read.parquet(str(tmp_path / "t")).groupBy("run").count().count() == 2
+
+
+def test_refusals(spark):
+    run = lambda d, s, m: F.struct(F.lit(d).alias("dataset_id"), F.lit(s).alias("scenario_id"), F.array(*map(F.lit, m)).alias("metrics"))
+    cases = [run(1, 1, ["b", "a"]), run(2, 1, ["a", "b"]), run(1, 2, ["a", "b"]), run(1, 1, ["a"])]
+    got = spark.range(1).select(*[lifecycle.refusal(run(1, 1, ["a", "b"]), c).alias(str(k)) for k, c in enumerate(cases)]).first()
+    assert list(got) == [None, "dataset", "scenario", "metrics"]
+    a = spark.createDataFrame([("m", 1, 0.5)], "metric string, row long, score double")
+    with pytest.raises(Exception, match="different rows"):
+        lifecycle.merge_reports(a, a.withColumn("row", F.col("row") + 1), ["row"], ["m"]).collect()
+    with pytest.raises(Exception, match="no rows for 9"):
+        files.keyed(spark.range(3), [1, 9], "id").collect()
+    with pytest.raises(Exception, match="too many metrics"):
+        lifecycle.scoring_grid(spark.range(1).withColumn("scenario_id", F.lit(1)), spark.range(3).select(F.lit(1).alias("scenario_id"), "id"), 2).collect()
+
+
+def test_life_of_runs(spark):
+    runs = spark.createDataFrame([(1, "running", None, None, 7, None), (2, "completed", None, None, 7, ["old"])], "run int, status string, error string, finished_at timestamp, scenario_id int, snapshot array<string>")
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    got = {r.run: (r.status, r.error) for r in lifecycle.orphaned(runs, now).collect()}
+    assert got == {1: ("failed", lifecycle.ORPHANED), 2: ("completed", None)}
+    scenarios = spark.createDataFrame([(7, ["new"])], "scenario_id int, metrics array<string>")
+    assert {r.run: r.snapshot for r in lifecycle.with_snapshots(runs, scenarios).collect()} == {1: ["new"], 2: ["old"]}
+    left = spark.range(1).select(lifecycle.remaining(F.lit("2024-01-01 11:50:00").cast("timestamp"), now).alias("a"), lifecycle.remaining(F.lit(None).cast("timestamp"), now).alias("b"), lifecycle.remaining(F.lit("2024-01-01 10:00:00").cast("timestamp"), now).alias("c")).first()
+    assert tuple(left) == (300, 900, 0)
+    rows = spark.createDataFrame([(k,) for k in ("z", "b", "a")], "m string")
+    assert [r.m for r in rows.orderBy(*lifecycle.listed_first(rows, "m", ["b"])).collect()] == ["b", "a", "z"]
+    results = spark.createDataFrame([(1, 1), (1, 5), (2, 9)], "run int, ts int")
+    stops = spark.createDataFrame([(1, 3)], "run int, ts int")
+    assert sorted(map(tuple, progress.cancelled(results, stops, "run").collect())) == [(1, 1), (2, 9)]
+
+
+def test_progress_files(spark, tmp_path):
+    """State goes to files, batch by batch; the last one counts."""
+    source = tmp_path / "in"
+    schema = "run string, ts timestamp, error string"
+    make = lambda rows: spark.createDataFrame(rows, "run string, t string, error string").select("run", F.col("t").cast("timestamp").alias("ts"), "error").coalesce(1).write.mode("append").parquet(str(source))
+    make([("a", "2024-01-01 10:00:00", None), ("b", "2024-01-01 10:00:00", "x")])
+    for _ in range(2):
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        progress.to_files(progress.progress(stream, "run"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+        make([("a", "2024-01-01 11:00:00", None)])
+    got = {r.run: (r.done, r.errors) for r in progress.current(spark.read.parquet(str(tmp_path / "out")), "run").collect()}
+    assert got == {"a": (2, 0), "b": (1, 1)}
+
+
+def test_custom_metric_requests(spark):
+    """What a prompt holds already isn't sent again; hidden and internal fields never; long values are cut."""
+
+    class Echo:
+        def answer(self, task, requests):
+            return [json.dumps({"score": 1, "reason": r}) for r in requests]
+
+    rows = spark.createDataFrame([(1, "q", "r" * 3000, ["c"] * 20, "secret", "in", 3)], "id int, user_input string, response string, retrieved_contexts array<string>, generation_meta string, _x string, extra int")
+    m = metrics.Custom("m", "numeric", "{dataset.user_input}: {extra} of {metric.score_range} {{keep}} {nothing}", bounds=(0, 5))
+    asked = json.loads(json.dumps({}))
+    got = metrics.custom_judge(rows, ["id"], m, Echo()).first()
+    asked = got.reason
+    assert got.score == 1.0 and '"prompt":"q: 3 of 0 到 5 {{keep}} "' in asked and "secret" not in asked and '"_x"' not in asked and "user_input" not in asked.split('"sample"')[1] and "extra" not in asked.split('"sample"')[1]
+    sent = rows.select(judge.payload("faithfulness", rows).alias("p")).first().p
+    v = json.loads(sent)
+    assert list(v) == ["response", "retrieved_contexts"] and v["response"] == "r" * 2400 + "...[truncated]" and len(v["retrieved_contexts"]) == 12
+    override = judge.judge(rows, ["id"], "faithfulness", Echo(), required=(), prompt="own words").first().reason
+    assert '"criteria":"own words"' in override
+    assert set(judge.CRITERIA) == set(judge.CATALOG) and len(judge.CATALOG) == 17
