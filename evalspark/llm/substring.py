@@ -1,7 +1,7 @@
 """Substring dedup: fuzzy passages that a document shares with an earlier one, by collinear chaining.
 
-1. Seeds: of every 6 neighbouring five-word shingles the one with the least hash (minimizers), so
-   any run of 10 equal words shares a seed. Each seed value points at its earliest document; a
+1. Seeds: of every 8 neighbouring five-word shingles the one with the least hash (minimizers), so
+   any run of 12 equal words shares a seed. Each seed value points at its earliest document; a
    passage that thousands of documents share thus costs one link an occurrence, never all pairs.
 2. Chains: the matched seeds of a (document, earlier document) pair are chained in order with
    linear gap costs; the best predecessor is a prefix maximum in a Fenwick tree.
@@ -12,9 +12,11 @@
 4. Passages: a document's aligned stretches, to whichever earlier document, are merged; those of
    `min_words` or more with `similarity` or more of their words matched are returned.
 
-Documents are rows: rows that share a doc_id but not their text are different documents, ordered by
-a hash of the text, and rows that share both are one. Null ids, null and empty texts and texts under
-five words have no passage; texts of any length count whole; extra columns are ignored.
+Documents are texts: rows that share both doc_id and text are one document, and rows that share a
+doc_id only are different ones. Of these the text of the least hash is known by the doc_id, the
+others by numbers beyond all ids, so they come after all documents of an id of their own. Null ids,
+null and empty texts and texts under five words have no passage; texts of any length count whole;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import bounds, free, grouped, materialize, mix, release, released, slices, word_bounds, word_hashes
+from evalspark.operators.ingest import number
 
-K, WINDOW = 5, 6
+K, WINDOW = 5, 8
 MIN_WORDS, SIMILARITY = 50, 0.8
 GAP_COST, JOIN_GAP = 0.1, 6
 REACH = 32  # words past a chain's ends that an alignment sees at first; eight times as many in each further round
@@ -65,20 +68,48 @@ def minimizers(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, h[at]
 
 
+def versions(docs: DataFrame) -> DataFrame | None:
+    """(doc_id, hash, key) of the texts whose doc_id another text has too, but the one of the least hash; None if there are none."""
+    own = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"))
+    twice = own.groupBy("doc_id").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo <> hi")
+    twice = materialize(twice.select("doc_id", "lo"), "twice")
+    if twice.isEmpty():
+        release(twice)
+        return None
+    others = materialize(own.join(twice, "doc_id").where("hash <> lo").select("doc_id", "hash").distinct().withColumn("order", F.xxhash64("doc_id", "hash")), "others")
+    last = F.broadcast(own.agg(F.max("doc_id").alias("last")))  # one row
+    out = materialize(number(others, "order", "n").crossJoin(last).select("doc_id", "hash", (F.col("last") + 1 + F.col("n")).alias("key")), "versions")
+    release(twice, others)
+    return out
+
+
+def keyed(docs: DataFrame, known: DataFrame | None, name: str) -> DataFrame:
+    """Add the number that a row's document is known by; null ids and texts have none."""
+    own = F.when(F.col("text").isNotNull(), F.col("doc_id").cast("long"))
+    if known is None:
+        return docs.withColumn(name, own)
+    hash_, id_, key = free([*docs.columns, name], "_hash", "_id", "_key")
+    named = known.select(F.col("doc_id").alias(id_), F.col("hash").alias(hash_), F.col("key").alias(key))
+    return docs.withColumn(id_, own).withColumn(hash_, F.xxhash64("text")).join(named, [id_, hash_], "left").withColumn(name, F.coalesce(key, id_)).drop(id_, hash_, key)
+
+
 def seeds(docs: DataFrame) -> DataFrame:
-    """(h, doc, part, pos) of documents (doc, part, text)."""
+    """(h, doc, pos, first) of documents (doc, text): first marks a document's first seed of that value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows_, data, off in slices(batch):
+            for part, data, off in slices(batch):
                 starts, ends, rows = word_bounds(data, off)
                 at, h = minimizers(word_hashes(data, starts, ends), rows)
-                begin = np.searchsorted(rows, np.arange(rows_.num_rows))
+                begin = np.searchsorted(rows, np.arange(part.num_rows))
                 own = rows[at]
-                doc, part = (rows_.column(k).to_numpy()[own] for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(part), pa.array((at - begin[own]).astype(np.int32))], names=["h", "doc", "part", "pos"])
+                order = np.lexsort((at, h, own))
+                same = np.zeros(len(at), bool)
+                same[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
+                doc = part.column(0).to_numpy()[own]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array((at - begin[own]).astype(np.int32)), pa.array(~same)], names=["h", "doc", "pos", "first"])
 
-    return docs.mapInArrow(lambda b: released(run(b)), "h long, doc long, part int, pos int")
+    return docs.mapInArrow(lambda b: released(run(b)), "h long, doc long, pos int, first boolean")
 
 
 def chain(pos: np.ndarray, rpos: np.ndarray, k: int = K, gap_cost: float = GAP_COST) -> list[list[int]]:
@@ -130,7 +161,7 @@ def chain(pos: np.ndarray, rpos: np.ndarray, k: int = K, gap_cost: float = GAP_C
     return out
 
 
-PAIR = ["doc", "part", "ref", "rpart"]
+PAIR = ["doc", "ref"]
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +182,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path in found:
                 if len(path) > 1:
                     out.append((*(c[lo] for c in pair), p[list(path)], r[list(path)]))
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=[*PAIR, "pos", "rpos"])
 
 
@@ -333,7 +364,7 @@ def align(
 
 
 CHAIN = [*PAIR, "chain"]
-ALIGNED = "doc long, part int, ref long, rpart int, chain long, lo long, hi long, rlo long, rhi long, matched long"
+ALIGNED = "doc long, ref long, chain long, lo long, hi long, rlo long, rhi long, matched long"
 
 
 def _align(min_words: int, similarity: float):
@@ -357,18 +388,18 @@ def _align(min_words: int, similarity: float):
                         out.append((*key, 0, 0, 0, 0, None))
                     else:
                         out += [(*key, x[0] + dlo, x[1] + dlo, x[2] + rlo, x[3] + rlo, x[4]) for x in found]
-            names = [f.split(" ") for f in ALIGNED.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int32() if t == "int" else pa.int64()) for i, (_, t) in enumerate(names)], names=[n for n, _ in names])
+            names = [f.split(" ")[0] for f in ALIGNED.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(len(names))], names=names)
 
     return run
 
 
 def _merge(min_words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, ["doc", "part"]):
-            doc, part, ref, lo, hi, rlo, rhi, matched = (rows.column(c).to_numpy() for c in ("doc", "part", "ref", "lo", "hi", "rlo", "rhi", "matched"))
+        for rows in grouped(batches, ["doc"]):
+            doc, ref, lo, hi, rlo, rhi, matched = (rows.column(c).to_numpy() for c in ("doc", "ref", "lo", "hi", "rlo", "rhi", "matched"))
             out = []
-            at = bounds(doc, part)
+            at = bounds(doc)
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 order = np.lexsort((ref[s:e], -hi[s:e], lo[s:e])) + s
                 parts: list[int] = []
@@ -388,12 +419,12 @@ def _merge(min_words: int, similarity: float):
                             if t - f >= min_words:
                                 own = [j for j in parts if lo[j] < start + t and hi[j] > start + f]
                                 top = max(own, key=lambda j: (matched[j], -ref[j]))
-                                out.append((doc[s], part[s], start + f, start + t, ref[top], rlo[top], rhi[top], sorted({int(ref[j]) for j in own}), float(x[f:t].mean())))
+                                out.append((doc[s], start + f, start + t, ref[top], rlo[top], rhi[top], sorted({int(ref[j]) for j in own}), float(x[f:t].mean())))
                     if i >= 0:
                         parts, start, end = [i], lo[i], hi[i]
-            names = ["doc_id", "text_hash", "start_word", "end_word", "ref_doc_id", "ref_start_word", "ref_end_word"]
-            cols = [pa.array([int(x[c]) for x in out], pa.int32() if c == 1 else pa.int64()) for c in range(7)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([x[7] for x in out], pa.list_(pa.int64())), pa.array([x[8] for x in out], pa.float64())], names=[*names, "ref_doc_ids", "identity"])
+            names = ["doc", "start_word", "end_word", "ref", "ref_start_word", "ref_end_word"]
+            cols = [pa.array([int(x[c]) for x in out], pa.int64()) for c in range(6)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([x[6] for x in out], pa.list_(pa.int64())), pa.array([x[7] for x in out], pa.float64())], names=[*names, "refs", "identity"])
 
     return run
 
@@ -402,29 +433,21 @@ def _aligned(chains: DataFrame, docs: DataFrame, reach: int, min_words: int, sim
     """Chains with the words between `reach` before and behind them, aligned."""
     lo, hi = (lambda c: (F.element_at(c, 1) - reach).alias("lo")), (lambda c: (F.element_at(c, -1) + K + reach).alias("hi"))
     none = F.lit(None).cast("array<int>")
-    asked = chains.select(*CHAIN, F.col("doc").alias("_doc"), F.col("part").alias("_part"), F.lit(0).alias("side"), lo("pos"), hi("pos"), "pos", "rpos").unionByName(
-        chains.select(*CHAIN, F.col("ref").alias("_doc"), F.col("rpart").alias("_part"), F.lit(1).alias("side"), lo("rpos"), hi("rpos"), none.alias("pos"), none.alias("rpos"))
+    asked = chains.select(*CHAIN, F.col("doc").alias("_doc"), F.lit(0).alias("side"), lo("pos"), hi("pos"), "pos", "rpos").unionByName(
+        chains.select(*CHAIN, F.col("ref").alias("_doc"), F.lit(1).alias("side"), lo("rpos"), hi("rpos"), none.alias("pos"), none.alias("rpos"))
     )
-    texts = docs.select(F.col("doc").alias("_doc"), F.col("part").alias("_part"), "text")
-    key = "doc long, part int, ref long, rpart int, chain long, side int, lo int, hi int, pos array<int>, rpos array<int>"
-    cut = asked.join(texts, ["_doc", "_part"]).drop("_doc", "_part").mapInArrow(_cut, f"{key}, words array<int>")
+    key = "doc long, ref long, chain long, side int, lo int, hi int, pos array<int>, rpos array<int>"
+    cut = asked.join(docs.select(F.col("doc").alias("_doc"), "text"), "_doc").drop("_doc").mapInArrow(_cut, f"{key}, words array<int>")
     return cut.repartition(*CHAIN).sortWithinPartitions(*CHAIN, "side").mapInArrow(_align(min_words, similarity), ALIGNED)
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per passage that an earlier document (smaller doc_id) has too.
-
-    doc_id, text_hash (hash(text)), start_word, end_word (words of the whole text, end exclusive),
-    ref_doc_id with its span (the earlier document that gives most of it), ref_doc_ids (all that
-    give a part), identity.
-    """
-    docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.hash("text").alias("part"), "text")
+def _passages(docs: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """doc, start_word, end_word, ref, ref_start_word, ref_end_word, refs, identity of documents (doc, text)."""
     every = materialize(seeds(docs), "seeds")
-    first = every.groupBy("h").agg(F.min(F.struct("doc", "part", "pos")).alias("r"), F.max("doc").alias("last"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-    first = first.where("r.doc < last OR lo < hi").select("h", F.col("r.doc").alias("ref"), F.col("r.part").alias("rpart"), F.col("r.pos").alias("rpos"))
-    shared = materialize(first, "shared")  # so that a hot value's seeds can be split in the join
-    matches = every.join(shared, "h").where("doc <> ref OR part <> rpart").select(*PAIR, "pos", "rpos")
-    chains = matches.repartition(*PAIR).sortWithinPartitions(*PAIR, "pos", "rpos").mapInArrow(_chains, "doc long, part int, ref long, rpart int, pos array<int>, rpos array<int>")
+    first = every.groupBy("h").agg(F.min("doc").alias("ref"), F.max("doc").alias("last"), F.expr("min_by(pos, CASE WHEN first THEN doc END)").alias("rpos"))
+    shared = materialize(first.where("ref < last").select("h", "ref", "rpos"), "shared")  # so that a hot value's seeds can be split in the join
+    matches = every.join(shared, "h").where("doc <> ref").select(*PAIR, "pos", "rpos")
+    chains = matches.repartition(*PAIR).sortWithinPartitions(*PAIR, "pos", "rpos").mapInArrow(_chains, "doc long, ref long, pos array<int>, rpos array<int>")
     chains = materialize(chains.withColumn("chain", F.xxhash64(*PAIR, "pos", "rpos")), "chains")
     release(every, shared)
     found, reach = [], REACH
@@ -441,8 +464,34 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
-    schema = "doc_id long, text_hash int, start_word long, end_word long, ref_doc_id long, ref_start_word long, ref_end_word long, ref_doc_ids array<long>, identity double"
-    return rows.repartition("doc", "part").sortWithinPartitions("doc", "part").mapInArrow(_merge(min_words, similarity), schema)
+    schema = "doc long, start_word long, end_word long, ref long, ref_start_word long, ref_end_word long, refs array<long>, identity double"
+    return rows.repartition("doc").sortWithinPartitions("doc").mapInArrow(_merge(min_words, similarity), schema)
+
+
+def _documents(docs: DataFrame, known: DataFrame | None) -> DataFrame:
+    (doc,) = free(docs.columns, "_doc")
+    return keyed(docs.select("doc_id", "text"), known, doc).where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), "text")
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per passage that an earlier document (smaller doc_id) has too.
+
+    doc_id, start_word, end_word (words of the whole text, end exclusive), ref_doc_id with its span
+    (the earlier document that gives most of it), ref_doc_ids (all that give a part), identity. Where
+    texts share an id, `text_hash` (xxhash64) tells which text it is; it is null otherwise.
+    """
+    known = versions(docs)
+    found = _passages(_documents(docs, known), min_words, similarity)
+    if known is None:
+        named = found.withColumn("text_hash", F.lit(None).cast("long"))
+    else:
+        own = lambda a, b: known.select(F.col("key").alias(a), F.col("doc_id").alias(b), F.col("hash").alias(f"{b}_hash"))
+        each = found.withColumn("_n", F.monotonically_increasing_id())
+        each = materialize(each, "passages")
+        refs = each.select("_n", F.explode("refs").alias("_r")).join(own("_r", "_id"), "_r", "left").groupBy("_n").agg(F.array_sort(F.collect_set(F.coalesce("_id", "_r"))).alias("refs"))
+        each = each.drop("refs").join(refs, "_n").join(own("doc", "_doc_id"), "doc", "left").join(own("ref", "_ref_id"), "ref", "left")
+        named = each.withColumn("doc", F.coalesce("_doc_id", "doc")).withColumn("ref", F.coalesce("_ref_id", "ref")).withColumn("text_hash", F.col("_doc_id_hash"))
+    return named.select(F.col("doc").alias("doc_id"), "start_word", "end_word", F.col("ref").alias("ref_doc_id"), "ref_start_word", "ref_end_word", F.col("refs").alias("ref_doc_ids"), "identity", "text_hash")
 
 
 def _removed(text: str, spans: list[list[int]]) -> str:
@@ -461,9 +510,10 @@ def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
     Every row loses its own text's passages only. All other rows, those without an id or a text too,
     stay as they are. Columns stay; n_chars follows the text.
     """
-    doc, own, cut = free(docs.columns, "_doc", "_hash", "_spans")
+    doc, cut = free(docs.columns, "_doc", "_spans")
+    known = versions(docs)
     spans = F.sort_array(F.collect_list(F.array("start_word", "end_word"))).alias(cut)
-    found = repeated_passages(docs, min_words, similarity).groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(own)).agg(spans)
+    found = _passages(_documents(docs, known), min_words, similarity).groupBy(F.col("doc").alias(doc)).agg(spans)
     found = materialize(found, "passages")  # its size is known then: Spark broadcasts it under its own limit only
     names = docs.columns
 
@@ -479,5 +529,4 @@ def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
                 cols[k] = pa.array([len(t) if s and t is not None else n for t, s, n in zip(new, spans, cols[k].to_pylist(), strict=True)], batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
-    keyed = docs.withColumn(own, F.hash("text")).withColumn(doc, F.col("doc_id").cast("long"))
-    return keyed.join(found, [doc, own], "left").select(*names, cut).mapInArrow(run, docs.schema)
+    return keyed(docs, known, doc).join(found, doc, "left").select(*names, cut).mapInArrow(run, docs.schema)

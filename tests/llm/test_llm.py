@@ -98,7 +98,11 @@ def test_repeated_ids(spark):
     schema = "doc_id long, text string, _spans string, _doc int, _hash string, chain int"
     df = spark.createDataFrame([(*r, "s", k, "h", 5) for k, r in enumerate(rows)], schema)
     kept = substring.remove_passages(df).collect()
-    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("1", one), ("2", other), ("None", one), ("4", "")])
+    left = [(r.doc_id, r.text) for r in kept]
+    assert [x for x in left if x[1] == one and x[0] is not None] == [(1, one)] and {(None, one), (4, None)} <= set(left)
+    assert len({i for i, t in left if t == other}) == 1 and {t for _, t in left} == {one, other, None}  # one document keeps it, with all of its rows
+    found = substring.repeated_passages(df).collect()
+    assert {(r.doc_id, r.start_word, r.end_word) for r in found} == {(2, 0, 120), (2 if (3, other) in left else 3, 0, 120)} and all(r.ref_doc_id in (1, 2, 3) for r in found)
     assert all((r._spans, r._hash, r.chain) == ("s", "h", 5) and rows[r._doc] == (r.doc_id, r.text) for r in kept)
     kept = simhash.keep_one(df).collect()
     assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("1", one), ("2", other), ("None", one), ("4", "")])
