@@ -73,7 +73,7 @@ class Offline:
         first, *rest = [_words(v) for v in x.get("sample", x).values()] or [set()]
         seen = set().union(*rest) if rest else first
         score = len(first & seen) / len(first) if first else 0.0
-        return json.dumps({"score": round(score, 4), "reason": f"{task}: {len(first & seen)} of {len(first)} words"})
+        return json.dumps({"score": round(score, 6), "reason": f"{task}: {len(first & seen)} of {len(first)} words"})
 
 
 #: What a judge is asked to look for.

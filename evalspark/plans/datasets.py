@@ -205,18 +205,26 @@ def contamination_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- corpus
 
 
+def _noise_sql() -> tuple[str, str, str]:
+    """Header, revision record and form, of a text's normal form n and its compact form c."""
+    words = lambda c, ws: f"regexp_matches({c}, '{'|'.join(ws)}')"
+    dated = r"regexp_matches(n, '\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日')"
+    hits = " + ".join(f"contains(n, '{w}')::INT" for w in corpus.REVISION)
+    head = f"""(n = '' OR regexp_matches(n, '^\\s*第?\\s*\\d+\\s*页(?:\\s*/\\s*共?\\s*\\d+\\s*页)?\\s*$') OR (contains(n, '第') AND contains(n, '页') AND {dated}) OR regexp_matches(c, '^\\d+(?:\\.\\d+){{1,4}}$') OR ({dated} AND length(n) <= 40) OR (length(c) <= 12 AND NOT regexp_matches(c, '{corpus.WORDS4}')))"""
+    revision = f"""(length(n) <= 180 AND (({hits}) >= 2 OR (starts_with(n, '注：1.') AND contains(n, '修订')) OR ((starts_with(n, '注：') OR regexp_matches(n, '^\\d+\\.')) AND {words('n', ('修订', '审核', '批准'))})))"""
+    return head, revision, words("n", corpus.FORM)
+
+
 def _quality_sql(latin_ok: bool) -> str:
     n = lambda c, p: f"len(regexp_extract_all({c}, '{p}'))"
     words = lambda c, ws: f"regexp_matches({c}, '{'|'.join(ws)}')"
     cjk = n("c", corpus.T.CJK)
-    dated = r"regexp_matches(n, '\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日')"
-    revision = " + ".join(f"contains(n, '{w}')::INT" for w in corpus.REVISION)
+    head, revision, form = _noise_sql()
     garbled = "false" if latin_ok else f"""(c = '' OR ({n('c', '[A-Za-z]')} >= 6 AND {cjk} <= 4 AND {n('c', '[0-9]')} <= 2) OR (regexp_matches(text, '[A-Za-z]{{2,}}\\s*[A-Za-z]{{2,}}') AND {cjk} <= 6) OR ({n('c', corpus.SIGNS)} >= greatest(4, length(c) * 0.25::DOUBLE) AND {cjk} <= 6))"""
     return f"""q0 AS (SELECT doc_id, source, n_chars, text, regexp_replace(text, '\\s+', '', 'g') AS c, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS n FROM documents),
 q1 AS (SELECT *, {n('text', corpus.MARKS)} AS m,
-  (n = '' OR regexp_matches(n, '^\\s*第?\\s*\\d+\\s*页(?:\\s*/\\s*共?\\s*\\d+\\s*页)?\\s*$') OR (contains(n, '第') AND contains(n, '页') AND {dated}) OR regexp_matches(c, '^\\d+(?:\\.\\d+){{1,4}}$') OR ({dated} AND length(n) <= 40) OR (length(c) <= 12 AND NOT regexp_matches(c, '{corpus.WORDS4}'))) AS head,
-  (length(n) <= 180 AND (({revision}) >= 2 OR (starts_with(n, '注：1.') AND contains(n, '修订')) OR ((starts_with(n, '注：') OR regexp_matches(n, '^\\d+\\.')) AND {words('n', ('修订', '审核', '批准'))}))) AS revision,
-  {words('n', corpus.FORM)} AS form, {garbled} AS garbled, {words('n', corpus.RULES)} AS rule FROM q0),
+  {head} AS head, {revision} AS revision,
+  {form} AS form, {garbled} AS garbled, {words('n', corpus.RULES)} AS rule FROM q0),
 q2 AS (SELECT *, CASE WHEN head THEN 0 WHEN revision OR form THEN 0.05 WHEN garbled THEN 0.15 ELSE round(greatest(0, least(1, 1.0::DOUBLE + CASE WHEN length(c) < 40 THEN -0.45::DOUBLE WHEN length(c) < 90 THEN -0.15 ELSE 0 END
   + CASE WHEN {cjk} < 12 AND {n('c', '[A-Za-z]')} < 24 THEN -0.25::DOUBLE ELSE 0 END + CASE WHEN {n('c', '[0-9]')} >= greatest(8, floor(length(c) * 0.28::DOUBLE)) AND m = 0 THEN -0.2::DOUBLE ELSE 0 END + CASE WHEN m = 0 AND length(c) < 140 THEN -0.15::DOUBLE ELSE 0 END
   + CASE WHEN length(c) < 220 AND regexp_matches(c, '{corpus.BROKEN_OFF}') THEN -0.2::DOUBLE ELSE 0 END + CASE WHEN rule THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN length(c) >= 220 THEN 0.08::DOUBLE ELSE 0 END)), 2) END::DOUBLE AS quality FROM q1),
@@ -258,7 +266,25 @@ def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.repeated_lines(pages, "n_chars", "doc_id").select("n_chars", F.md5("line").alias("line_md5"), "n_pages")
 
 
-@query()
+def _lengths_sql() -> str:
+    """One step a row: take a paragraph, cut a long one, or close a chunk."""
+    size, overlap, earliest = corpus.SIZE, corpus.OVERLAP, int(corpus.SIZE * corpus.EARLIEST)
+    cut = f"left(rest, {size})"
+    at = "coalesce(" + ", ".join(f"CASE WHEN length({cut}) - strpos(reverse({cut}), '{b}') > {earliest} AND contains({cut}, '{b}') THEN length({cut}) - strpos(reverse({cut}), '{b}') + 1 END" for b in corpus.BREAKS[1:]) + f", {size})"
+    strip = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {strip("replace(text, chr(13) || chr(10), chr(10))")} AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, list_filter(list_transform(CASE WHEN length(t) <= {size} THEN [t] ELSE string_split(t, chr(10)) END, lambda x: {strip('x')}), lambda x: x <> '') AS ps FROM d),
+s AS (SELECT doc_id, 0 AS step, 1 AS i, '' AS cur, NULL::VARCHAR AS rest, NULL::VARCHAR AS piece, false AS done FROM p
+UNION ALL SELECT s.doc_id, step + 1,
+  CASE WHEN rest IS NULL AND i <= len(ps) AND (cur = '' OR length(cur) + 1 + length(ps[i]) <= {size}) THEN i + 1 ELSE i END,
+  CASE WHEN length(rest) > {size} THEN '' WHEN rest IS NOT NULL THEN rest WHEN i > len(ps) THEN cur WHEN cur = '' THEN CASE WHEN length(ps[i]) <= {size} THEN ps[i] ELSE '' END WHEN length(cur) + 1 + length(ps[i]) <= {size} THEN cur || chr(10) || ps[i] ELSE '' END,
+  CASE WHEN length(rest) > {size} THEN {strip(f"substr(rest, greatest(1, {at} - {overlap}) + 1)")} WHEN rest IS NULL AND i <= len(ps) AND cur = '' AND length(ps[i]) > {size} THEN ps[i] END,
+  CASE WHEN length(rest) > {size} THEN {strip(f"left(rest, {at})")} WHEN rest IS NULL AND (i > len(ps) OR (cur <> '' AND length(cur) + 1 + length(ps[i]) > {size})) THEN cur END,
+  rest IS NULL AND i > len(ps) FROM s JOIN p ON s.doc_id = p.doc_id WHERE NOT done)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1)::INT AS chunk_index, 'doc-' || doc_id || '-chunk-' || (row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1) AS chunk_key, piece AS content, length(piece) AS char_count FROM s WHERE piece <> ''"""
+
+
+@query(_lengths_sql())
 def length_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.chunk(load(spark, sf_dir, "documents"), structured=False)
 
@@ -268,7 +294,18 @@ def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.chunk(load(spark, sf_dir, "documents"))
 
 
-@query()
+def _pages_sql() -> str:
+    head, revision, form = _noise_sql()
+    return f"""WITH l AS (SELECT source, doc_id, unnest(range(len(x))) AS no, trim(regexp_replace(unnest(x), '\\s+', ' ', 'g')) AS n FROM (SELECT source, doc_id, string_split(text, chr(10)) AS x FROM documents)),
+k AS (SELECT source, n, count(DISTINCT doc_id) AS pages FROM l WHERE n <> '' GROUP BY 1, 2), t AS (SELECT source, count(DISTINCT doc_id) AS total FROM documents GROUP BY 1),
+r AS (SELECT source, n FROM k JOIN t USING (source) WHERE pages >= 2 AND pages >= 0.5 * total AND length(n) <= 120),
+c AS (SELECT *, replace(n, ' ', '') AS c, count(*) OVER (PARTITION BY source, doc_id) AS lines FROM l),
+m AS (SELECT *, {head} OR {revision} AS noise, {form} AS form FROM c), f AS (SELECT *, min(CASE WHEN form AND no >= greatest(3, floor(lines * 0.4)) THEN no END) OVER (PARTITION BY source, doc_id) AS tail FROM m),
+g AS (SELECT source, doc_id, string_agg(f.n, chr(10) ORDER BY no) AS text FROM f LEFT JOIN r USING (source, n) WHERE NOT noise AND NOT form AND r.n IS NULL AND (tail IS NULL OR no < tail) GROUP BY 1, 2)
+SELECT d.source, d.doc_id, coalesce(g.text, '') AS text FROM documents d LEFT JOIN g USING (source, doc_id)"""
+
+
+@query(_pages_sql())
 def cleaned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without headers, repeated lines and form lines; a source is a document of many pages."""
     return corpus.clean_pages(load(spark, sf_dir, "documents").select("source", "doc_id", "text"), "source", "doc_id")
@@ -284,14 +321,28 @@ def _rag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("row_id"), F.col("text").alias("user_input"), "response", F.array("response").alias("retrieved_contexts"), F.col("response").alias("reference"))
 
 
-@query()
+WORDS_SQL = "list_filter(list_distinct(regexp_extract_all(lower(to_json({})::VARCHAR), '[\\p{{L}}\\p{{N}}_]+')), lambda x: x <> 'null')"
+RAG_SQL = """t AS (SELECT conv_id, turn, role, text AS u, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations), q AS (SELECT conv_id || '-' || turn AS row_id, u, r FROM t WHERE role = 'user')"""
+_LIMITED = "CASE WHEN length({0}) > 2400 THEN left({0}, 2400) || '...[truncated]' ELSE {0} END"
+
+
+@query(
+    f"""WITH {RAG_SQL}, w AS (SELECT *, {WORDS_SQL.format(_LIMITED.format('u'))} AS uw, {WORDS_SQL.format(_LIMITED.format('r'))} AS rw, coalesce(u, '') = '' AS no_u, coalesce(r, '') = '' AS no_r FROM q),
+a AS (SELECT row_id, 'answer_relevancy' AS metric, no_u OR no_r AS lacking, len(list_intersect(uw, rw)) AS hit, len(uw) AS n, array_to_string(list_filter([CASE WHEN no_u THEN 'user_input' END, CASE WHEN no_r THEN 'response' END], lambda x: x IS NOT NULL), ', ') AS missing FROM w
+UNION ALL SELECT row_id, 'factual_correctness', no_r, len(rw), len(rw), 'response, reference' FROM w)
+SELECT row_id, metric, CASE WHEN NOT lacking THEN CASE WHEN n = 0 THEN 0 ELSE round(hit / n, 4) END END AS score, CASE WHEN lacking THEN 'missing: ' || missing ELSE metric || ': ' || hit || ' of ' || n || ' words' END AS reason, NULL::VARCHAR AS error FROM a"""
+)
 def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two built-in metrics by the offline provider."""
     rows, offline = _rag(spark, sf_dir), judge.Offline()
     return judge.judge(rows, ["row_id"], "answer_relevancy", offline).unionByName(judge.judge(rows, ["row_id"], "factual_correctness", offline))
 
 
-@query()
+@query(
+    f"""WITH {RAG_SQL}, c AS (SELECT row_id, r, {WORDS_SQL.format('[r]')} AS rw, list_filter(list_transform(regexp_split_to_array(r, '[.!?。！？]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS claims FROM q),
+k AS (SELECT row_id, rw, unnest(claims) AS claim FROM c WHERE r <> ''), v AS (SELECT row_id, 2 * len(list_intersect({WORDS_SQL.format('claim')}, rw)) >= len({WORDS_SQL.format('claim')}) AS ok FROM k), s AS (SELECT row_id, count(*) AS n, count(*) FILTER (ok) AS hit FROM v GROUP BY 1)
+SELECT c.row_id, CASE WHEN coalesce(r, '') <> '' THEN round(coalesce(hit, 0) / greatest(1, coalesce(n, 0)), 4) END AS score, coalesce(n, 0) AS n_claims FROM c LEFT JOIN s USING (row_id)"""
+)
 def claim_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.claim_faithfulness(_rag(spark, sf_dir), "row_id", judge.Offline())
 
