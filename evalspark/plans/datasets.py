@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evalspark.functions import scores as S
 from evalspark.functions import text as T
 from evalspark.operators import corpus, ingest, judge, retrieval
-from evalspark.plans.common import load
+from evalspark.plans.common import load, stored
 from evalspark.sources import endpoint, sse
 
 QUERIES, ORACLES = {}, {}
@@ -251,8 +251,8 @@ SELECT source, doc_id, ((rn <= t)::INT + greatest(0, t - n) // n + (pos <= great
 )
 def question_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks of a job (source), weighted by suggested questions."""
-    rows = corpus.quality(load(spark, sf_dir, "documents"), latin_ok=True)
-    return corpus.allocate(rows, "source", "doc_id")
+    rows = corpus.quality(load(spark, sf_dir, "documents"), latin_ok=True).select("source", "doc_id", "n_questions", "n_chars")
+    return corpus.allocate(stored(rows, "rated"), "source", "doc_id")
 
 
 @query(
