@@ -30,7 +30,7 @@ from evalspark.llm.bpe import byte_letters
 from evalspark.llm.common import materialize, released
 
 SIZE, END = 1024, 2
-NODES, WIDTH, BRANCHES = 20_000, 4, 12  # that the search may open in all, and of a level and a node at a time
+NODES, WIDTH, BRANCHES = 2000, 1, 3  # that the search may open in all, and of a level and a node at a time
 BUCKET = 20_000  # pieces of one length that are ranked together, on average
 CACHE = 150_000  # words a worker remembers
 
