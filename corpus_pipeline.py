@@ -1,7 +1,10 @@
 """The corpus pipeline: toxicity filter, near-duplicates, repeated passages, secrets, packing.
 
 Each stage works on the table its predecessor wrote; all but the last return the columns of
-`documents`. SQL can't express it: the tests hold it against brute force.
+`documents`, extra ones of any name as they are. An empty table stays empty in every stage, texts
+of any length are read whole, and rows are judged by their own text: rows that repeat, share an id,
+or have none, are defined below. SQL can't express the pipeline: the tests hold it against brute
+force, and every stage against odd tables.
 """
 
 from __future__ import annotations
@@ -14,27 +17,34 @@ from evalspark.llm.common import load, materialize
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that score toxic go."""
+    """Operator 8: documents that score toxic go. Null and empty texts stay; repeated rows and null ids are judged by their text."""
     return toxicity.keep_clean(docs, load(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each group of near copies the document of the smallest id stays."""
+    """Operator 3: of each group of near copies the document of the smallest id stays, with all of its rows in the group.
+
+    Null texts and texts without a word are one group: copies of each other. Rows without an id stay.
+    """
     return simhash.keep_one(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: passages that an earlier document has are cut out."""
+    """Operator 2: passages that an earlier document has are cut out; a document of which no word is left goes.
+
+    Rows that share id and text are one document and keep their passages together; null texts,
+    rows without an id and texts under five words stay as they are.
+    """
     return substring.remove_passages(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: every secret is replaced by a mark."""
+    """Operator 5: every secret is replaced by a mark. No row goes; null texts stay null, repeated rows and null ids like any other."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: what is left is packed into sequences."""
+    """Operator 7: what is left is packed into sequences. Null and empty texts are an end id alone; repeated rows and null ids are packed like any other."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
