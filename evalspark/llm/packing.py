@@ -31,6 +31,7 @@ from evalspark.llm.common import materialize, released
 
 SIZE, END = 1024, 2
 NODES, WIDTH, BRANCHES = 2000, 1, 3  # that the search may open in all, and of a level and a node at a time
+LOOKS = 64  # fillings, dominated ones too, that are looked at when a node is opened; it is returned to for more
 BUCKET = 20_000  # pieces of one length that are ranked together, on average
 CACHE = 150_000  # words a worker remembers
 
@@ -113,7 +114,12 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, keep_id
 
 
 def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...]]:
-    """All undominated ways to fill `room` from the counts, with any number of items: least waste first, larger items first on ties.
+    """All undominated ways to fill `room` from the counts, with any number of items: least waste first, larger items first on ties."""
+    return (f for f in _looked_at(counts, room) if f is not None)
+
+
+def _looked_at(counts: np.ndarray, room: int, least: int = 0) -> Iterator[tuple[int, ...] | None]:
+    """The fillings of at least `least` in order, None in the place of each that is dominated.
 
     Sums are reached by a bounded knapsack over the lengths, the set of sums as the bits of a
     number; the fillings of the highest sums are read off it. A filling is dominated if an item that
@@ -145,20 +151,24 @@ def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...]]:
                     for rest in ways(total - n * v, at - 1):
                         yield (v,) * n + rest
 
+    all_left = sum(1 << v for v in left)
+
     def dominated(way: tuple[int, ...], waste: int) -> bool:
-        for x in {0, *way}:
-            for v in range(x + 1, x + waste + 1):
-                if v <= room and counts[v] > way.count(v):
-                    return True
-        return False
+        spare = all_left
+        for v in set(way):
+            if counts[v] == way.count(v):
+                spare ^= 1 << v
+        near = (1 << waste) - 1
+        return any(spare >> x + 1 & near for x in {0, *way})
 
     sums = reach[-1]
     while sums:
         total = sums.bit_length() - 1
         sums ^= 1 << total
+        if total < least:
+            return
         for way in ways(total, len(left)):
-            if total == room or not dominated(way, room - total):
-                yield way
+            yield way if total == room or not dominated(way, room - total) else None
 
 
 def _times(counts: np.ndarray, bin_: tuple[int, ...]) -> int:
@@ -207,7 +217,7 @@ class _Node:
 
     def __init__(self, counts: np.ndarray, used: int, path: tuple):
         rest, size = best_fit(counts), len(counts) - 1
-        self.used, self.path, self.taken = used, path, 0
+        self.used, self.path, self.taken, self.more = used, path, 0, True
         self.first = rest[0][0] if rest else ()
         self.bins = used + sum(n for _, n in rest)
         # of equal numbers of bins the one whose waste lies in few bins: these can be filled yet
@@ -233,18 +243,26 @@ class _Node:
         inner, top, size = counts.copy(), self.first[0], len(counts) - 1
         inner[top] -= 1
         total = int((counts * np.arange(size + 1)).sum())
-        ways = chain([self.first], (w for f in fillings(inner, size - top) if (w := (top, *f)) != self.first))
+        least = total - size * (bins - 2 - self.used) - top  # less leaves too much waste, whatever follows
+        ways = chain([self.first], _looked_at(inner, size - top, least))
         out: list[tuple[bytes, _Node]] = []
-        for way in islice(ways, self.taken, None):
+        self.more = False
+        for at, way in enumerate(islice(ways, self.taken, self.taken + LOOKS + 1)):
+            if at == LOOKS or len(out) == BRANCHES:
+                self.more = True
+                break
             self.taken += 1
+            if way is None:
+                continue
+            way = way if self.taken == 1 else (top, *way)
+            if self.taken > 1 and way == self.first:
+                continue
             n = _times(counts, way)
             if self.used + n - (n * sum(way) - total) // size < bins:
                 other = counts.copy()
                 for v in set(way):
                     other[v] -= n * way.count(v)
                 out.append((other.tobytes(), _Node(other, self.used + n, ((way, n), self.path))))
-                if len(out) == BRANCHES:
-                    break
         return out
 
 
@@ -282,8 +300,8 @@ def plan(histogram: dict[int, int], size: int = SIZE, nodes: int = NODES) -> lis
         found: dict[bytes, _Node] = {}
         for node in now:
             some = node.below(start, best.bins)
-            opened += len(some)
-            if len(some) == BRANCHES:
+            opened += max(1, len(some))
+            if node.more:
                 level.append(node)
             for key, x in some:
                 if key not in found or x.rank < found[key].rank:
