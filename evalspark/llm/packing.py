@@ -6,8 +6,8 @@ first of which may be shorter. What has to be packed is then a multiset of lengt
 bin completion takes the largest length left, enumerates undominated fillings around it, and
 applies a filling as often as the counts allow. Best-fit decreasing completes every node and gives
 the incumbents; branches are cut by waste bounds. Pieces then look up their place by their rank
-within their length; ranks are numbered in hashed buckets of a bounded number of pieces, so a
-length that a third of all pieces share is split over tasks.
+within their length; ranks are numbered in hashed buckets, as many as the root of a length's
+pieces, so one that a third of all pieces share is split over tasks, and so are its buckets' sums.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, islice
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,6 @@ from evalspark.llm.common import materialize, released
 SIZE, END = 1024, 2
 NODES, WIDTH, BRANCHES = 2000, 1, 3  # that the search may open in all, and of a level and a node at a time
 LOOKS = 64  # fillings, dominated ones too, that are looked at when a node is opened; it is returned to for more
-BUCKET = 20_000  # pieces of one length that are ranked together, on average
 CACHE = 150_000  # words a worker remembers
 
 # ---------------------------------------------------------------- tokens
@@ -338,7 +338,7 @@ def place(cut: DataFrame, size: int = SIZE) -> DataFrame:
     spark = cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     schema = "length long, parts long, runs array<struct<lo:long,hi:long,first:long,offset:long>>"
-    runs = spark.createDataFrame([(v, max(1, histogram[v] // BUCKET), r) for v, r in _slots(plan(histogram, size))], schema)
+    runs = spark.createDataFrame([(v, isqrt(histogram[v]), r) for v, r in _slots(plan(histogram, size))], schema)
     keyed = cut.join(F.broadcast(runs.select("length", "parts")), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), "parts"))
     counts = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
