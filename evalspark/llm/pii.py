@@ -74,9 +74,9 @@ PATTERNS = {
     "ssn": r"(?<![0-9A-Za-z])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z])",
 }
 NAME = rf"(?<!\p{{L}})(?:{_TITLE}{_MORE}++|{_GIVEN}(?!\p{{L}}){_MORE}++)"
-PATTERN = "|".join(PATTERNS.values()) + "|" + NAME
-MAYBE_NAME = rf"(?:{_TITLE}|{_GIVEN}) (?:\p{{Lu}}|{'|'.join(PARTICLES)})"
-MAYBE = rf"[0-9]|{MAYBE_NAME}"  # every pattern but e-mail's needs one of these
+PLAIN = "|".join(PATTERNS.values())
+PATTERN = PLAIN + "|" + NAME
+MAYBE_NAME = rf"(?:{_TITLE}|{_GIVEN}) (?:\p{{Lu}}|{'|'.join(PARTICLES)})"  # a name needs this
 
 
 def _quoted(s: str) -> str:
@@ -165,24 +165,23 @@ def surrogate(value: str, kind_: str, key: str = KEY, draw: int = 0) -> str:
 # ---------------------------------------------------------------- detection
 
 
-def _parts(text: str) -> Column:
-    """A text taken apart: what stands before its first entity, the entity, what stands between, and so on; null where it has none.
+def _apart(docs: DataFrame, parts: str, flag: str) -> DataFrame:
+    """Add every text taken apart: what stands before its first entity, the entity, what stands between, and so on; null where it has none.
 
     A mark that the text can't hold (it has a digest of the text) is put around every match, so that
-    the pattern runs once. Where a name may be found, the words of all names make a pattern of
-    their own for the rest of the text.
+    the pattern runs once. Where a name may be found (the flag, a column of its own, so that it is
+    computed once), the words of all names make a pattern of their own for the rest of the text; all
+    other texts are held against the other patterns only.
     """
-    t = F.col(text)
+    t = F.col("text")
     mark = F.concat(F.lit("\ufdd0"), F.substring(F.sha2(t, 256), 1, 24))
-    words = F.expr(f"filter(flatten(transform(regexp_extract_all(`{text}`, {_quoted(NAME)}, 0), e -> split(e, ' '))), w -> length(w) > 2 AND {_is_name('w')})")
-    known = F.when(t.rlike(MAYBE_NAME), F.array_distinct(words))
-    own = _bind(known, lambda w: F.when(F.size(w) > 0, F.concat(F.lit(PATTERN + r"|(?<![\p{L}'-])(?:"), F.array_join(w, "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit(PATTERN)))
+    words = F.expr(f"array_distinct(filter(flatten(transform(regexp_extract_all(text, {_quoted(NAME)}, 0), e -> split(e, ' '))), w -> length(w) > 2 AND {_is_name('w')}))")
+    own = _bind(words, lambda w: F.when(F.size(w) > 0, F.concat(F.lit(PATTERN + r"|(?<![\p{L}'-])(?:"), F.array_join(w, "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit(PATTERN)))
     marked = lambda m, p: F.split(F.regexp_replace(t, p, F.concat(m, F.lit("$0"), m)), m, -1)
-    maybe = t.contains("@") | t.rlike(MAYBE)
-    plain = F.when(t.rlike(PATTERN), _bind(mark, lambda m: marked(m, F.lit(PATTERN))))
+    plain = F.when((t.contains("@") | t.rlike("[0-9]")) & t.rlike(PLAIN), _bind(mark, lambda m: marked(m, F.lit(PLAIN))))
     named = _bind(F.struct(mark.alias("m"), own.alias("p")), lambda x: marked(x["m"], x["p"]))
-    found = F.when(maybe, F.when(t.rlike(MAYBE_NAME), named).otherwise(plain))
-    return _bind(found, lambda p: F.when(F.size(p) > 1, p))
+    out = docs.withColumn(flag, t.rlike(MAYBE_NAME)).withColumn(parts, F.when(F.col(flag), named).otherwise(plain))
+    return out.withColumn(parts, F.when(F.size(parts) > 1, F.col(parts))).drop(flag)
 
 
 def _bind(value: Column, body) -> Column:
@@ -240,7 +239,7 @@ def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
     """
     kept = [c for c in docs.columns if c != "entities"]
     row, parts, mine, own, at = free([*kept, "entities"], "_row", "_parts", "_redrawn", "_own", "_at")
-    found = docs.select(*kept).withColumn(parts, _parts("text"))
+    found = _apart(docs.select(*kept), parts, at)
     found = materialize(found.withColumn("text", F.when(F.col(parts).isNull(), F.col("text"))).withColumn(row, F.monotonically_increasing_id()), "apart")
     known = materialize(entities(found, parts), "entities")
     exceptions = materialize(redrawn(known, key), "exceptions")
