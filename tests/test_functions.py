@@ -334,15 +334,15 @@ def test_write_back(spark):
 
 # ---------------------------------------------------------------- chunking, by hand
 
-REGULATION = """总则说明：本制度用于规范员工考勤与请假管理。
-4.2 迟到与早退
-4.2.1 迟到：超过规定时间上班，1 小时以内未到岗视为迟到。
-4.2.2 早退：早于规定时间下班，离岗 1 小时以内视为早退。
-4.2.3 一个月内累计迟到、早退 2 次及以上者，将视情况予以警告处分。
+REGULATION = """适用范围：本办法适用于全部车间的设备点检与保养工作。
+4.2 点检安排
+4.2.1 日检：操作人员应当在开机之前完成点检，并把结果写入点检卡。
+4.2.2 周检：维修人员每周五下午检查润滑、紧固与安全防护。
+4.2.3 同一台设备当月出现三次以上异常的，车间应当停机检修。
 4.3
-旷工管理
-4.3.1 未办理请假手续且迟到或早退超过 1 小时的，视为旷工。
-4.3.2 连续旷工 3 天及以上或一年累计旷工 5 天及以上，公司可解除劳动关系。"""
+保养事务
+4.3.1 保养计划由设备科在每月月底之前下发到各个车间。
+4.3.2 没有按照计划完成保养的，设备科可以通报并要求限期整改。"""
 
 
 def _chunks(spark, text, **how):
@@ -354,7 +354,7 @@ def _chunks(spark, text, **how):
 def test_sections_by_hand(spark):
     """A short intro joins the first section; sections of one parent merge, under one heading of their parent; a number of its own takes the next line."""
     lines = REGULATION.split("\n")
-    assert _chunks(spark, REGULATION, size=420) == ["\n".join(lines[:5]), "\n".join(["4.3 旷工管理", *lines[7:]])]
+    assert _chunks(spark, REGULATION, size=420) == ["\n".join(lines[:5]), "\n".join(["4.3 保养事务", *lines[7:]])]
     # lines of a section that stand anywhere in the earlier one stay: only those at the same place go
     same = "1.1 甲乙丙丁\n请各部门按照要求执行本规定。\n第一条内容如下所述。\n1.2 戊己庚辛\n第一条内容如下所述。\n请各部门按照要求执行本规定。"
     assert _chunks(spark, same, size=420) == [same]
@@ -380,7 +380,7 @@ def test_lengths_by_hand(spark):
 
 
 def test_quality_reasons(spark):
-    rows = spark.createDataFrame([(0, "第 3 页"), (1, "员工应当遵守考勤要求。"), (2, "家长签名与学生姓名回执"), (3, "Cita Te fneo lorem ipsum dolor"), (4, None)], "i int, text string")
+    rows = spark.createDataFrame([(0, "第 3 页"), (1, "操作人员应当遵守要求。"), (2, "家长签名与学生姓名回执"), (3, "lorem ipsum dolor sit amet"), (4, None)], "i int, text string")
     got = {r.i: r.reasons for r in corpus.quality(rows).collect()}
     assert got[0] == got[4] == ["页眉页脚/页码噪声"] and got[1] == ["文本过短", "正文特征较弱", "包含规则/流程型正文"] and got[2] == ["表单/回执字段"] and got[3] == ["OCR 乱码或低可读文本"]
     letters = spark.createDataFrame([(0, "éàü" * 3 + "汉字汉字汉字汉字")], "i int, text string")
