@@ -7,7 +7,7 @@ it name a secret or end in an assignment, and file features (share of digits and
 model is trained here, by the exact log likelihood (forward-backward in numpy), on generated
 lines, of which the number is a parameter; no corpus row is needed.
 
-Decoding is exact: a token whose O score beats its others by more than the transitions could ever
+Decoding is exact: a token whose O score beats its others by more than their transitions could ever
 give back is O in every best path, so it cuts the chain, and Viterbi runs over the stretches that
 are left.
 """
@@ -271,8 +271,9 @@ def tag(x: np.ndarray, rows: np.ndarray, w: np.ndarray, tr: np.ndarray) -> np.nd
     """Viterbi tags of many chains (a column of x each token), decoded where a tag other than O is possible."""
     e = (w.T.astype(np.float32) @ x).T.astype(np.float64)
     out = np.zeros(len(e), np.int64)
-    slack = 2 * (tr.max() - tr.min())  # what both transitions of a token can make good at most
-    loose = np.flatnonzero(e[:, 0] - e[:, 1:].max(1) <= slack)
+    # what the transitions to and from another tag than O can make good at most (at an end of the chain: one of them)
+    slack = np.maximum(0, (tr[:, 1:] - tr[:, :1]).max(0)) + np.maximum(0, (tr[1:] - tr[:1]).max(1))
+    loose = np.flatnonzero((e[:, :1] - e[:, 1:] <= slack).any(1))
     if not len(loose):
         return out
     jump = np.flatnonzero((np.diff(loose) > 1) | (np.diff(rows[loose]) != 0)) + 1

@@ -370,6 +370,13 @@ def test_crf():
         e, tr = rng.normal(size=(6, 3)), rng.normal(size=(3, 3))
         best = max(itertools.product(range(3), repeat=6), key=lambda p: sum(e[i, t] for i, t in enumerate(p)) + sum(tr[a, b] for a, b in itertools.pairwise(p)))
         assert secrets.viterbi(e, tr).tolist() == list(best)
+    for _ in range(60):  # cut where O is sure, against whole chains
+        x, rows = rng.normal(size=(secrets.FEATURES, 40)).astype(np.float32), np.sort(rng.integers(0, 4, 40))
+        w, tr = rng.normal(size=(secrets.FEATURES, 3)) * 0.6, rng.normal(size=(3, 3))
+        w[:, 0] += x.mean(1) * 0.1
+        e = (w.T.astype(np.float32) @ x).T.astype(np.float64)
+        whole = np.concatenate([secrets.viterbi(e[rows == r], tr) for r in np.unique(rows)])
+        assert secrets.tag(x, rows, w, tr).tolist() == whole.tolist()
     w, tr = secrets.model()
     lines = secrets.generated(300, seed=99)
     raw = [t.encode() for t, _ in lines]
