@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators, their registered queries and SQL.
+"""Training-data operators: thirteen corpus operators, their registered queries and SQL.
 
 Nothing outside this package (and the top-level pipeline module) imports it.
 """
