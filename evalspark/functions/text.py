@@ -20,6 +20,18 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def orderable(rows: DataFrame, names: list[str]) -> list[str]:
+    """Those of the columns that can be compared: what decides between rows that an order leaves equal."""
+    def fine(kind: ty.DataType) -> bool:
+        if isinstance(kind, ty.ArrayType):
+            return fine(kind.elementType)
+        if isinstance(kind, ty.StructType):
+            return all(fine(f.dataType) for f in kind)
+        return not isinstance(kind, (ty.MapType, ty.VariantType))
+
+    return [n for n in names if fine(rows.schema[n].dataType)]
+
+
 def count_of(c: Column | str, pattern: str) -> Column:
     """How often a pattern matches (long)."""
     return F.regexp_count(col(c), F.lit(pattern)).cast("long")

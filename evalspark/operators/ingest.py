@@ -47,7 +47,7 @@ def import_new(existing: DataFrame, batch: DataFrame, columns: list[str], order:
     key = F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
     own = batch.withColumn("_k", key)
     rest = [c for c in own.columns if c != "_k"]
-    first = own.groupBy("_k").agg(F.min_by(F.struct(*rest), order).alias("_r"))  # the first of equal rows, combined before the shuffle
+    first = own.groupBy("_k").agg(F.min_by(F.struct(*rest), F.struct(order, *T.orderable(own, rest))).alias("_r"))  # the first of equal rows, combined before the shuffle
     new = first.join(existing.select(key.alias("_k")), "_k", "left_anti").select("_r.*")
     last = existing.agg(F.coalesce(F.max("row_index"), F.lit(-1)).alias("_last"))
     return number(new, order, "row_index").crossJoin(F.broadcast(last)).withColumn("row_index", F.col("row_index") + F.col("_last") + 1).drop("_last")  # one row

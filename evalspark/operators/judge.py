@@ -193,8 +193,8 @@ def swap_lists(rows: DataFrame) -> DataFrame:
 def select_questions(candidates: DataFrame, verdicts: DataFrame, chunk: str, order: str, n: str = "allocated") -> DataFrame:
     """Generated questions that stay: no blank or meta questions, the first of equal ones, those a verdict keeps (without one: kept, 0.5), the best `n` a chunk."""
     real = candidates.where(F.trim("question") != "").where(~(F.col("question").contains("文档") & (F.col("question").contains("提到了什么") | F.col("question").contains("说了什么"))))
-    first = real.withColumn("_q", T.question_key("question")).groupBy(chunk, "_q").agg(F.min_by(F.struct(order, "question", n), order).alias("_r")).select(chunk, "_r.*")
+    first = real.withColumn("_q", T.question_key("question")).groupBy(chunk, "_q").agg(F.min_by(F.struct(order, "question", n), F.struct(order, "question", n)).alias("_r")).select(chunk, "_r.*")
     told = first.join(verdicts.select(chunk, "question", "keep", F.col("score").alias("_s")), [chunk, "question"], "left")
     kept = told.where(F.coalesce("keep", F.lit(True))).withColumn("score", F.coalesce("_s", F.lit(0.5)))
-    rank = F.row_number().over(Window.partitionBy(chunk).orderBy(F.desc("score"), order))
+    rank = F.row_number().over(Window.partitionBy(chunk).orderBy(F.desc("score"), order, "question"))
     return kept.withColumn("_rank", rank).where(F.col("_rank") <= F.col(n)).select(chunk, order, "question", "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,9 +42,9 @@ def page_of(row_index: Column | str, size: int) -> Column:
 
 
 def latest(rows: DataFrame, order: list[Column], *key: str) -> DataFrame:
-    """The first row of each key in an order of columns (combined before the shuffle); of the whole table without a key."""
+    """The first row of each key in an order of columns, of equal ones that of the smallest values (combined before the shuffle); of the whole table without a key."""
     rest = [c for c in rows.columns if c not in key]
-    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*key, "_r.*")
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order, *T.orderable(rows, rest))).alias("_r")).select(*key, "_r.*")
 
 
 def with_dimensions(tasks: DataFrame, **dimensions: DataFrame) -> DataFrame:
@@ -108,11 +109,23 @@ def listed_first(rows: DataFrame, column: str, names: list[str]) -> list[Column]
 # ---------------------------------------------------------------- seeds, schemas, keys
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: list[str], update: bool = False) -> DataFrame:
-    """Existing rows and those of `new` with a new key; with `update` a row of `new` takes the place of the one it names."""
-    if update:
-        return existing.join(new.select(*key), key, "left_anti").select(*existing.columns).unionByName(new.select(*existing.columns))
-    return existing.unionByName(new.join(existing.select(*key), key, "left_anti").select(*existing.columns))
+def upsert(existing: DataFrame, new: DataFrame, key: list[str], update: bool = False, order: list[Column] | None = None) -> DataFrame:
+    """Existing rows and those of `new` with a new key; with `update` a row of `new` takes the place of the one it names.
+
+    Of a key that the batch holds more than once its first row by `order` counts, with `update` its
+    last one (rows that are equal by it: by their values). A null key is a key like any other.
+    """
+    columns, rest = existing.columns, [c for c in existing.columns if c not in key]
+    place = F.struct(*(order or []), *T.orderable(new, columns))
+    batch = new.groupBy(*key).agg((F.max_by if update else F.min_by)(F.struct(*rest), place).alias("_r")).select(*key, "_r.*") if rest else new.select(*key).distinct()
+
+    def lacking(rows: DataFrame, others: DataFrame) -> DataFrame:
+        names = {k: f"_k{i}" for i, k in enumerate(key)}
+        keys = others.select(*[F.col(k).alias(n) for k, n in names.items()])
+        same = functools.reduce(lambda a, b: a & b, [rows[k].eqNullSafe(keys[n]) for k, n in names.items()])
+        return rows.join(keys, same, "left_anti").select(*columns)
+
+    return lacking(existing, batch).unionByName(batch.select(*columns)) if update else existing.unionByName(lacking(batch, existing))
 
 
 def merge_fields(fields: DataFrame, found: DataFrame) -> DataFrame:
@@ -267,27 +280,36 @@ def append_results(results: DataFrame, path: str, *by: str) -> None:
 
 
 def json_lines(rows: DataFrame, order: str) -> DataFrame:
-    """(order, value): the lines of one JSON array of objects, indented, without nulls' keys lost: the array's ends are lines of their own."""
+    """(part, order, value): the lines of one JSON array of objects, indented, without nulls' keys lost; the array's ends are parts of their own.
+
+    Sorted by all three columns they are the file. Rows of one `order` stand by their texts, and
+    equal ones are one line's several objects, so that exactly one line is the last.
+    """
     names = [c for c in rows.columns if c != order]
-    first = rows.agg(F.min(order).alias("_first"))  # one row
     body = F.regexp_replace(F.to_json(F.struct(*names), {"pretty": "true", "ignoreNullFields": "false"}), "(?m)^", "  ")
-    lines = rows.crossJoin(F.broadcast(first)).select(F.col(order).cast("double").alias(order), F.when(F.col(order) == F.col("_first"), body).otherwise(F.concat(F.lit("  ,\n"), body)).alias("value"))
-    ends = rows.sparkSession.createDataFrame([(float("-inf"), "["), (float("inf"), "]")], f"{order} double, value string")
-    return lines.unionByName(ends)
+    each = rows.select(order, body.alias("_b")).groupBy(order, "_b").agg(F.count("*").cast("int").alias("_n"))
+    last = each.agg(F.max(F.struct(order, "_b")).alias("_last"))  # one row
+    text = F.concat(F.repeat(F.concat("_b", F.lit(",\n")), F.col("_n") - 1), "_b", F.when(F.struct(order, "_b") == F.col("_last"), "").otherwise(","))
+    lines = each.crossJoin(F.broadcast(last)).select(F.lit(1).alias("part"), order, text.alias("value"))
+    return lines.unionByName(_ends(rows, order, [(0, "["), (2, "]")]))
 
 
 def csv_lines(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """(order, value): the lines of a CSV file with a byte order mark, the given columns in order, complex cells as JSON text, all texts quoted where they need it."""
+    """(part, order, value): the lines of a CSV file with a byte order mark, the given columns in order, complex cells as JSON text, all texts quoted where they need it."""
     cells = csv_cells(rows)
     cell = lambda c: F.coalesce(F.when(F.col(c).cast("string").rlike("[\",\r\n]"), F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c).cast("string")), F.lit(""))
-    body = cells.select(F.col(order).cast("double").alias(order), F.concat_ws(",", *[cell(c) for c in columns]).alias("value"))
-    head = rows.sparkSession.createDataFrame([(float("-inf"), "﻿" + ",".join(columns))], f"{order} double, value string")
-    return body.unionByName(head)
+    body = cells.select(F.lit(1).alias("part"), order, F.concat_ws(",", *[cell(c) for c in columns]).alias("value"))
+    return body.unionByName(_ends(rows, order, [(0, "\ufeff" + ",".join(columns))]))
+
+
+def _ends(rows: DataFrame, order: str, lines: list[tuple[int, str]]) -> DataFrame:
+    ends = rows.sparkSession.createDataFrame(lines, "part int, value string")
+    return ends.select("part", F.lit(None).cast(rows.schema[order].dataType).alias(order), "value")
 
 
 def write_lines(lines: DataFrame, path: str, order: str) -> None:
     """Write lines in order, as one file: the last step of an export, which is one file by its nature. Rows stream through, none is collected."""
-    lines.repartition(1).sortWithinPartitions(order).select("value").write.mode("overwrite").text(path)
+    lines.repartition(1).sortWithinPartitions("part", order, "value").select("value").write.mode("overwrite").text(path)
 
 
 def prior_report(spark: SparkSession, path: str, metrics: list[str], rows: int, scores: str = "scores") -> DataFrame:

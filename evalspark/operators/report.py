@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions import scores as S
+from evalspark.functions import text as T
 
 DEFAULT_THRESHOLD, LOW_CONFIDENCE, CONSISTENT = 0.7, 0.1, 0.9
 
@@ -68,12 +69,12 @@ def overall_reliability(per_metric: DataFrame, *run: str) -> DataFrame:
 
 
 def sampled(samples: DataFrame, *key: str, digits: int = 4) -> DataFrame:
-    """One result out of several samples (idx, score, reason): mean, population deviation, the reason nearest the mean (first on ties). Null scores take no part."""
+    """One result out of several samples (idx, score, reason): mean, population deviation, the reason nearest the mean (first by idx on ties, then by itself). Null scores take no part."""
     # two aggregations on one key: the second needs the mean of the first; a window would keep whole groups
     own = samples.where("score IS NOT NULL")
     mean = own.groupBy(*key).agg(F.avg("score").alias("_mean"), F.stddev_pop("score").alias("_std"), F.count("*").alias("n_samples"))
     near = own.join(mean, list(key)).groupBy(*key).agg(
-        F.round(F.first("_mean"), digits).alias("score"), F.round(F.first("_std"), digits).alias("score_std"), F.first("n_samples").alias("n_samples"), F.min_by("reason", F.struct(F.round(F.abs(F.col("score") - F.col("_mean")), 9), "idx")).alias("reason")
+        F.round(F.first("_mean"), digits).alias("score"), F.round(F.first("_std"), digits).alias("score_std"), F.first("n_samples").alias("n_samples"), F.min_by("reason", F.struct(F.round(F.abs(F.col("score") - F.col("_mean")), 9), "idx", "reason")).alias("reason")
     )
     return near
 
@@ -87,10 +88,10 @@ def panel(judges: DataFrame, *key: str, digits: int = 4) -> DataFrame:
 
 
 def majority(votes: DataFrame, *key: str) -> DataFrame:
-    """The most frequent label, the one seen first on ties; a null label votes as 'None'."""
+    """The most frequent label, the one seen first on ties, of those seen together the first by name; a null label votes as 'None'."""
     label = F.coalesce("label", F.lit("None"))
     each = votes.groupBy(*key, label.alias("label")).agg(F.count("*").alias("votes"), F.min("idx").alias("_first"))
-    return each.groupBy(*key).agg(F.max_by("label", F.struct("votes", -F.col("_first"))).alias("label"), F.max("votes").alias("votes"))
+    return each.groupBy(*key).agg(F.min_by("label", F.struct(-F.col("votes"), "_first", "label")).alias("label"), F.max("votes").alias("votes"))
 
 
 def agreement(rows: DataFrame, *run: str) -> DataFrame:
@@ -106,9 +107,9 @@ def agreement(rows: DataFrame, *run: str) -> DataFrame:
 
 
 def last_of(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last row of each key by `order`, combined before the shuffle."""
+    """The last row of each key by `order`, of equal ones the one of the largest values; combined before the shuffle."""
     rest = [c for c in rows.columns if c not in key]
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select(*key, "_r.*")
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(order, *T.orderable(rows, rest))).alias("_r")).select(*key, "_r.*")
 
 
 def compare_runs(base: DataFrame, now: DataFrame, key: str = "row_id", order: str = "result_id") -> DataFrame:
@@ -154,10 +155,13 @@ def ranks(df: DataFrame, value: str, name: str, parts: int = 256) -> DataFrame:
 
 
 def with_range(rows: DataFrame, whole: DataFrame, value: str, parts: int) -> DataFrame:
-    """Add `_p`: how many of the percentiles of `whole` are no larger than a row's value."""
+    """Add `_p`: how many of the percentiles of `whole` are no larger than a row's value. Two steps: among every sixteenth of them, then among the sixteen there."""
     at = F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(20 * parts))
-    splits = F.broadcast(whole.agg(F.array_distinct(at).alias("_q")))  # one row
-    return rows.crossJoin(splits).withColumn("_p", F.coalesce(F.size(F.filter("_q", lambda q: q <= F.col(value))), F.lit(0))).drop("_q")
+    coarse = F.filter("_q", lambda q, i: i % 16 == 15)
+    splits = F.broadcast(whole.agg(F.array_distinct(at).alias("_q")).withColumn("_c", coarse))  # one row
+    below = lambda qs: F.size(F.filter(qs, lambda q: q <= F.col(value)))
+    step = rows.crossJoin(splits).withColumn("_k", 16 * below(F.col("_c")))
+    return step.withColumn("_p", F.coalesce(F.col("_k") + below(F.slice("_q", F.col("_k") + 1, 16)), F.lit(0))).drop("_q", "_c", "_k")
 
 
 def correlation(pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

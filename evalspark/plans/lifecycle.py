@@ -220,11 +220,11 @@ def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.scenario_metrics(scenarios, links, definitions).select("scenario_id", "metric", "threshold")
 
 
-@query("""SELECT l_linestatus AS status, p_type, count(*) AS n FROM lineitem JOIN part ON p_size % 3 = l_linenumber % 3 AND p_partkey < 30 GROUP BY ALL""")
+@query("""SELECT l_linestatus AS status, p_type, count(*) AS n FROM lineitem JOIN part ON p_partkey // 4 = l_partkey // 4 GROUP BY ALL""")
 def scoring_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row with every metric of its scenario, counted."""
-    rows = load(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("status"), (F.col("l_linenumber") % 3).alias("scenario_id"))
-    definitions = load(spark, sf_dir, "part").where("p_partkey < 30").select((F.col("p_size") % 3).alias("scenario_id"), "p_type", "p_partkey")
+    """Every row with every metric (four) of its scenario, counted."""
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("status"), F.expr("l_partkey div 4").alias("scenario_id"))
+    definitions = load(spark, sf_dir, "part").select(F.expr("p_partkey div 4").alias("scenario_id"), "p_type", "p_partkey")
     return L.scoring_grid(rows, definitions).groupBy("status", "p_type").agg(F.count("*").alias("n"))
 
 
@@ -259,12 +259,15 @@ def seed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT * FROM (VALUES ('event_type', 'text', true, 1), ('value', 'number', false, 2), ('extra', 'array', false, 3), ('k', 'number', false, 4)) t(name, type, required, position)"""
+    """WITH d AS (SELECT * FROM (VALUES ('event_type', 'text', true, 1), ('value', 'number', false, 2)) t(name, type, required, position)),
+f AS (SELECT name, min(json_extract(props, '$.' || name)::VARCHAR) AS v FROM (SELECT unnest(json_keys(props)) AS name, props FROM events) GROUP BY name UNION ALL SELECT event_type, min('[' || user_id || ']') FROM events GROUP BY 1 UNION ALL SELECT 'value', '"x"'),
+n AS (SELECT name, CASE WHEN v[1] = '[' THEN 'array' WHEN v[1] = '{' THEN 'json' WHEN v[1] = '"' THEN 'text' ELSE 'number' END AS type, row_number() OVER (ORDER BY name) AS p FROM f WHERE name NOT IN (SELECT name FROM d))
+SELECT * FROM d UNION ALL SELECT name, type, false, (2 + p)::INT FROM n"""
 )
 def schema_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields that the rows' JSON has beyond the declared ones, with inferred types."""
     declared = spark.createDataFrame([("event_type", "text", True, 1), ("value", "number", False, 2)], "name string, type string, required boolean, position int")
-    found = load(spark, sf_dir, "events").select(F.explode(F.map_concat(T.json_map("props"), F.create_map(F.lit("extra"), F.lit("[1]"), F.lit("value"), F.lit('"x"')))).alias("name", "value"))
+    found = load(spark, sf_dir, "events").select(F.explode(F.map_concat(T.json_map("props"), F.create_map(F.col("event_type"), F.concat(F.lit("["), F.col("user_id").cast("string"), F.lit("]")), F.lit("value"), F.lit('"x"')))).alias("name", "value"))
     return L.merge_fields(declared, found)
 
 
@@ -286,11 +289,11 @@ def zipped_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.zip_rows(r.where("doc_id % 3 <> 0").select("doc_id", F.col("quality").alias("platform")), r.where("doc_id % 5 <> 0").select("doc_id", F.col("toxic").alias("external")), ["doc_id"]).fillna(-1)
 
 
-@query("""SELECT l_linenumber AS chunk_id, count(DISTINCT l_orderkey) AS n_samples FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1""")
+@query("""SELECT l_linenumber AS chunk_id, count(DISTINCT l_orderkey) AS n_samples FROM lineitem JOIN nation ON n_nationkey = l_linenumber AND n_nationkey % 2 = 1 GROUP BY 1""")
 def chunk_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples (orders) by the chunks (line numbers) that they name."""
+    """Samples (orders) by the chunks (every other nation, by number) that they name in their lines."""
     samples = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("sample_id")).agg(F.collect_list(F.col("l_linenumber").cast("long")).alias("source_chunk_ids"))
-    chunks = spark.range(1, 8, 2).withColumnRenamed("id", "chunk_id")
+    chunks = load(spark, sf_dir, "nation").where("n_nationkey % 2 = 1").select(F.col("n_nationkey").cast("long").alias("chunk_id"))
     return L.samples_of(chunks, samples).groupBy(F.col("chunk_id").cast("int").alias("chunk_id")).agg(F.count("*").alias("n_samples"))
 
 
@@ -441,7 +444,7 @@ def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of a CSV file with a byte order mark; they are gathered here for a digest only."""
     rows = load(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit('a "'), "c_name", F.lit('"')).alias("c_name"), F.array("c_mktsegment").alias("tags"))
     lines = L.csv_lines(rows, ["c_custkey", "c_name", "tags"], "c_custkey")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "value"))), lambda x: x["value"]), "\n")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "c_custkey", "value"))), lambda x: x["value"]), "\n")
     return lines.agg(F.md5(whole).alias("file_md5"), F.count("*").alias("n_lines"))
 
 
@@ -450,5 +453,5 @@ def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of a JSON array, gathered (25 rows) and read back."""
     rows = load(spark, sf_dir, "nation").withColumn("row_index", F.col("n_nationkey"))
     lines = L.json_lines(rows, "row_index")
-    whole = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "value"))), lambda x: x["value"]), "\n").alias("t"))
+    whole = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "row_index", "value"))), lambda x: x["value"]), "\n").alias("t"))
     return whole.select(F.explode(F.from_json("t", "array<struct<n_nationkey:int,n_name:string,n_regionkey:int>>")).alias("x")).select("x.*")

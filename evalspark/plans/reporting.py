@@ -133,7 +133,7 @@ SAMPLES_SQL = """x AS (SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS
 
 @query(
     f"""WITH {SAMPLES_SQL}, y AS (SELECT *, avg(score) OVER w AS mean, stddev_pop(score) OVER w AS sd, count(*) OVER w AS n FROM x WHERE score IS NOT NULL WINDOW w AS (PARTITION BY l_orderkey)),
-z AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(abs(score - mean), 9), idx) AS k FROM y)
+z AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(abs(score - mean), 9), idx, reason) AS k FROM y)
 SELECT l_orderkey, round(mean, 6) AS score, round(sd, 6) AS score_std, n AS n_samples, reason FROM z WHERE k = 1"""
 )
 def judge_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +151,7 @@ def judge_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {SAMPLES_SQL}, v AS (SELECT l_orderkey, coalesce(label, 'None') AS label, count(*) AS votes, min(idx) AS first FROM x GROUP BY 1, 2),
-z AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY votes DESC, first) AS k FROM v) SELECT l_orderkey, label, votes FROM z WHERE k = 1"""
+z AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY votes DESC, first, label) AS k FROM v) SELECT l_orderkey, label, votes FROM z WHERE k = 1"""
 )
 def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.majority(_samples(spark, sf_dir), "l_orderkey")

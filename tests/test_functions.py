@@ -1,6 +1,7 @@
 """Column functions and operators on small inputs with known results."""
 
 import csv
+import glob
 import io
 import json
 import random
@@ -503,3 +504,53 @@ def test_custom_metric_requests(spark):
     override = judge.judge(rows, ["id"], "faithfulness", Echo(), required=(), prompt="own words").first().reason
     assert '"criteria":"own words"' in override
     assert set(judge.CRITERIA) == set(judge.CATALOG) and len(judge.CATALOG) == 17
+
+
+# ---------------------------------------------------------------- ties and repeats
+
+
+def test_ties_are_decided(spark):
+    """Equal order values: the same row whatever the partitions, in every operator that picks one."""
+    votes = [(1, 7, "R"), (1, 7, "N"), (1, 7, "R"), (1, 7, "N"), (2, 3, "b"), (2, 3, "a"), (3, 1, None), (3, 1, "z")]
+    samples = [(1, 7, 0.5, "b"), (1, 7, 0.5, "a"), (1, 7, 0.5, "c")]
+    for n in (1, 3, 7):
+        v = spark.createDataFrame(votes, "k int, idx int, label string").repartition(n)
+        assert {r.k: r.label for r in report.majority(v, "k").collect()} == {1: "N", 2: "a", 3: "None"}
+        s = spark.createDataFrame(samples, "k int, idx int, score double, reason string").repartition(n)
+        assert report.sampled(s, "k").collect()[0].reason == "a"
+        rows = spark.createDataFrame([(1, 5, "x", {"a": 1}), (1, 5, "y", {"a": 2})], "k int, o int, v string, m map<string,int>").repartition(n)
+        assert report.last_of(rows, ["k"], "o").collect()[0].v == "y" and lifecycle.latest(rows, [F.col("o")], "k").collect()[0].v == "x"
+
+
+def test_ranges(spark):
+    rng = random.Random(3)
+    for values in ([rng.gauss(0, 1) for _ in range(3000)], [1.0] * 50, list(range(700)), []):
+        df = spark.createDataFrame([(float(v),) for v in values], "x double")
+        got = sorted((r.x, r._p) for r in report.with_range(df, df, "x", 256).collect())
+        assert [p for _, p in got] == sorted(p for _, p in got) and len(got) == len(values)
+        assert {x: p for x, p in got} == dict(got) and (len(values) < 700 or len({p for _, p in got}) > 200)
+
+
+def test_exports_with_ties(spark, tmp_path):
+    """Rows of one row_index, equal rows, numbers beyond 2^53, null indexes: valid JSON, every row once."""
+    big = 2**60
+    given = [(big + 1, "c"), (big, "b"), (big, "b"), (big, "a"), (None, "n"), (None, None)]
+    df = spark.createDataFrame(given, "row_index long, name string").repartition(3)
+    lifecycle.write_lines(lifecycle.json_lines(df, "row_index"), str(tmp_path / "j"), "row_index")
+    (path,) = glob.glob(f"{tmp_path}/j/part-*")
+    assert [x["name"] for x in json.load(open(path))][2:] == ["a", "b", "b", "c"] and len(json.load(open(path))) == 6
+    lifecycle.write_lines(lifecycle.json_lines(df.where("false"), "row_index"), str(tmp_path / "e"), "row_index")
+    assert json.loads("\n".join(r.value for r in spark.read.text(str(tmp_path / "e")).collect())) == []
+    lifecycle.write_lines(lifecycle.csv_lines(df, ["name"], "row_index"), str(tmp_path / "c"), "row_index")
+    (path,) = glob.glob(f"{tmp_path}/c/part-*")
+    assert open(path, encoding="utf-8-sig").read().split("\n")[0] == "name" and sorted(open(path, encoding="utf-8-sig").read().split("\n")[1:-1]) == ["", "a", "b", "b", "c", "n"]
+
+
+def test_upsert_of_repeated_and_null_keys(spark):
+    schema = "k string, v int, at int"
+    there = spark.createDataFrame([("a", 1, 0), (None, 2, 0)], schema)
+    batch = spark.createDataFrame([("a", 10, 1), ("b", 20, 1), ("b", 21, 2), ("b", 22, 2), (None, 30, 1), ("c", None, 1)], schema).repartition(3)
+    found = lambda df: sorted(((r.k, r.v) for r in df.collect()), key=str)
+    assert found(lifecycle.upsert(there, batch, ["k"], order=[F.col("at")])) == [("a", 1), ("b", 20), ("c", None), (None, 2)]
+    assert found(lifecycle.upsert(there, batch, ["k"], update=True, order=[F.col("at")])) == [("a", 10), ("b", 22), ("c", None), (None, 30)]
+    assert found(lifecycle.upsert(there, batch, ["k"], update=True)) == [("a", 10), ("b", 22), ("c", None), (None, 30)]
