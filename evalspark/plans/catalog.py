@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalspark.plans import datasets, lifecycle, more, reporting
+from evalspark.plans import datasets, lifecycle, more, reporting, running
 
-QUERIES: dict = reporting.QUERIES | datasets.QUERIES | lifecycle.QUERIES | more.QUERIES
-ORACLES: dict[str, str] = reporting.ORACLES | datasets.ORACLES | lifecycle.ORACLES | more.ORACLES
+QUERIES: dict = reporting.QUERIES | datasets.QUERIES | lifecycle.QUERIES | more.QUERIES | running.QUERIES
+ORACLES: dict[str, str] = reporting.ORACLES | datasets.ORACLES | lifecycle.ORACLES | more.ORACLES | running.ORACLES

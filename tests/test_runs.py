@@ -3,6 +3,7 @@
 import glob
 import json
 import os
+import random
 import signal
 import subprocess
 import sys
@@ -13,7 +14,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from evalspark.streaming import progress, runs
+from evalspark.streaming import heartbeats, progress, runs
 
 HERE = os.path.dirname(os.path.abspath(__file__))
 
@@ -155,3 +156,83 @@ def test_attempts_at_the_same_time(spark, tmp_path):
     seen = progress.progress(store.arriving(spark).select("run", F.col("asked_at").alias("ts"), "error"), "run")
     progress.to_files(seen, str(tmp_path / "p"), str(tmp_path / "c")).awaitTermination()
     assert progress.current(spark.read.parquet(str(tmp_path / "p")), "run").collect()[0].done >= 12
+
+
+# ---------------------------------------------------------------- heartbeats
+
+
+def put(spark, path, n, rows):
+    df = spark.createDataFrame([(r, k, m) for r, k, m in rows], "run string, kind string, m long")
+    df.select("run", "kind", F.timestamp_seconds(F.col("m") * 60).alias("ts")).coalesce(1).write.parquet(f"{path}/in/{n}")
+
+
+def listen(spark, path, **how):
+    """Go on from the checkpoint to the source's present end: rows found, and how many runs have state."""
+    found: list = []
+    minute = lambda t: int(t.timestamp() // 60)
+
+    def keep(batch, number):
+        found.extend((r.run, r.status, minute(r.last_beat), minute(r.found_at)) for r in batch.collect())
+
+    with heartbeats.keyed_state(spark):
+        beats = spark.readStream.schema("run string, kind string, ts timestamp").option("recursiveFileLookup", True).parquet(f"{path}/in")
+        query = heartbeats.silent(beats, **how).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return found, query.lastProgress["stateOperators"][0]["numRowsTotal"] if query.lastProgress else 0
+
+
+def test_silent_runs(spark, tmp_path):
+    """Late and repeated signs, an end, a failure that is told once, and state that goes in the end."""
+    how = {"silence": "30 minutes", "forget": "60 minutes", "late": "10 minutes"}
+    put(spark, tmp_path, 0, [("a", "started", 100), ("b", "started", 100), ("c", "started", 100), (None, None, 100)])
+    assert listen(spark, tmp_path, **how) == ([], 3)
+    put(spark, tmp_path, 1, [("a", None, 120), ("a", None, 120), ("b", "completed", 125)])
+    assert listen(spark, tmp_path, **how) == ([], 3)
+    put(spark, tmp_path, 2, [("a", None, 158), ("b", None, 124)])  # behind a gap of 38 minutes that isn't judged before the watermark (148) has passed 150
+    assert listen(spark, tmp_path, **how) == ([("c", "failed", 100, 130)], 3)
+    put(spark, tmp_path, 3, [("a", None, 149), ("c", None, 149)])  # late enough to close the gap; c has failed already
+    assert listen(spark, tmp_path, **how) == ([], 3)
+    put(spark, tmp_path, 4, [("a", None, 240)])
+    assert listen(spark, tmp_path, **how) == ([("a", "failed", 158, 188)], 1)
+    put(spark, tmp_path, 5, [("a", None, 241), ("b", None, 125), ("c", None, 100), ("d", "completed", 500)])  # too late to count
+    assert listen(spark, tmp_path, **how) == ([], 1)
+    put(spark, tmp_path, 6, [("e", "completed", 700)])
+    assert listen(spark, tmp_path, **how) == ([], 1)
+
+
+def test_signs_in_any_batches(spark, tmp_path):
+    """However signs are ordered and dealt into batches, within what may be late: the same runs fail at the same times."""
+    rng = random.Random(5)
+    signs = [(run, rng.choice([None, None, None, None, None, "completed"] if k > 6 else [None]), m) for run in "abcdefghijkl" for k, m in enumerate(sorted(rng.sample(range(1000, 1600), 14)))]
+    want = []
+    for run in "abcdefghijkl":
+        own = sorted(m for r, _, m in signs if r == run)
+        over = min((m for r, k, m in signs if r == run and k), default=None)
+        last = next((a for a, b in zip(own, [*own[1:], 10**6], strict=True) if b - a > 60), None)
+        if over is None or over > last:
+            want.append((run, "failed", last, last + 60))
+    assert 3 < len(want) <= 12
+    for n, size in enumerate((len(signs), 40, 15)):
+        path = tmp_path / str(n)
+        order = sorted(signs, key=lambda s: s[2] + rng.uniform(0, 50))  # up to 50 minutes late, an hour may be
+        got: list = []
+        for k in range(0, len(order), size):
+            put(spark, path, k, order[k : k + size])
+            got += listen(spark, path, silence="60 minutes", forget="60 days", late="60 minutes")[0]
+        put(spark, path, "last", [("end", "completed", 3000)])
+        got += listen(spark, path, silence="60 minutes", forget="60 days", late="60 minutes")[0]
+        assert sorted(got) == want
+    assert heartbeats.joined([(0, 5), (50, 60)], [15, 30, 75], 10) == [(0, 15), (30, 30), (50, 60), (75, 75)]
+
+
+def test_live_clock(spark, tmp_path):
+    """With processing time a run is found though nothing comes any more."""
+    put(spark, tmp_path, 0, [("a", None, 0), ("b", "completed", 0)])
+    found: list = []
+    with heartbeats.keyed_state(spark):
+        beats = spark.readStream.schema("run string, kind string, ts timestamp").option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        query = heartbeats.silent(beats, silence="2 seconds", forget="2 seconds", event_time=False).writeStream.outputMode("update").foreachBatch(lambda b, n: found.extend(r.run for r in b.collect())).option("checkpointLocation", f"{tmp_path}/check").trigger(processingTime="500 milliseconds").start()
+    wait_for(lambda: found)
+    wait_for(lambda: query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0)
+    query.stop()
+    assert found == ["a"]
