@@ -31,7 +31,7 @@ from evalspark.llm.bpe import byte_letters
 from evalspark.llm.common import materialize, released
 
 SIZE, END = 1024, 2
-NODES, WIDTH, BRANCHES = 2000, 1, 3  # that the search may open in all, and of a level and a node at a time
+NODES, WIDTH, BRANCHES = 20_000, 4, 12  # that the search may open in all, and of a level and a node at a time
 LOOKS = 64  # fillings, dominated ones too, that are looked at when a node is opened; it is returned to for more
 CACHE = 150_000  # words a worker remembers
 
@@ -175,27 +175,35 @@ def _times(counts: np.ndarray, bin_: tuple[int, ...]) -> int:
     return min(int(counts[v]) // bin_.count(v) for v in set(bin_))
 
 
-def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Best-fit decreasing on a histogram: each bin takes the largest item that fits, again and again, and is used as often as the counts allow."""
-    lengths, size, out = np.flatnonzero(counts).tolist(), len(counts) - 1, []
-    left = {v: int(counts[v]) for v in lengths}
+def _best_fit(counts: np.ndarray) -> Iterator[tuple[list[tuple[int, int]], int, int]]:
+    """Best-fit decreasing on a histogram: (lengths with how many of each, room left, times used) of each bin, which takes the largest item that fits, again and again, as often as the counts allow."""
+    lengths, left, size = np.flatnonzero(counts).tolist(), counts.tolist(), len(counts) - 1
     while lengths:
-        room, used = size, {}
-        at = len(lengths) - 1
-        while at >= 0:
-            v = lengths[at]
-            n = min(left[v], room // v)
-            if n:
-                used[v] = n
-                room -= n * v
-            at = min(at, bisect_right(lengths, room)) - 1
-        n = min(left[v] // k for v, k in used.items())
-        for v, k in used.items():
-            left[v] -= n * k
+        room, used, times, at = size, [], left[lengths[-1]], len(lengths)
+        while at:
+            v = lengths[at - 1]
+            have, n = left[v], room // v
+            if n > have:
+                n = have
+            used.append((v, n))
+            room -= n * v
+            if have < times * n:
+                times = have // n
+            at = bisect_right(lengths, room, 0, at - 1) if room else 0
+        for v, n in used:
+            left[v] -= times * n
             if not left[v]:
-                lengths.pop(bisect_left(lengths, v))
-        out.append((tuple(v for v, k in used.items() for _ in range(k)), n))
-    return out
+                del lengths[bisect_left(lengths, v)]
+        yield used, room, times
+
+
+def _listed(used: list[tuple[int, int]]) -> tuple[int, ...]:
+    return tuple(v for v, n in used for _ in range(n))
+
+
+def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing's bins (lengths, largest first) with how often each is used."""
+    return [(_listed(used), times) for used, _, times in _best_fit(counts)]
 
 
 def least_bins(counts: np.ndarray) -> int:
@@ -216,12 +224,14 @@ class _Node:
     """A choice of bins, how well best fit completes it, and how many of the ways on have been taken. What is left to pack is kept as the choices only."""
 
     def __init__(self, counts: np.ndarray, used: int, path: tuple):
-        rest, size = best_fit(counts), len(counts) - 1
         self.used, self.path, self.taken, self.more = used, path, 0, True
-        self.first = rest[0][0] if rest else ()
-        self.bins = used + sum(n for _, n in rest)
+        self.first, self.bins, waste = (), used, 0
+        for bin_, room, times in _best_fit(counts):
+            self.first = self.first or _listed(bin_)
+            self.bins += times
+            waste += times * room * room
         # of equal numbers of bins the one whose waste lies in few bins: these can be filled yet
-        self.rank = (self.bins, -sum(n * (size - sum(b)) ** 2 for b, n in rest))
+        self.rank = (self.bins, -waste)
 
     def chosen(self) -> list[tuple[tuple[int, ...], int]]:
         out, path = [], self.path
@@ -231,10 +241,12 @@ class _Node:
         return out[::-1]
 
     def left(self, start: np.ndarray) -> np.ndarray:
-        counts = start.copy()
-        for way, n in self.chosen():
-            for v in way:
-                counts[v] -= n
+        counts, path, lengths, times = start.copy(), self.path, [], []
+        while path:
+            (way, n), path = path
+            lengths += way
+            times += [n] * len(way)
+        np.subtract.at(counts, lengths, times)
         return counts
 
     def below(self, start: np.ndarray, bins: int) -> list[tuple[bytes, _Node]]:
