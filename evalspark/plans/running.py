@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark.plans.common import load, shared_dir
+from evalspark.sources import arriving
 from evalspark.streaming import heartbeats, runs
 
 QUERIES, ORACLES = {}, {}
@@ -63,3 +64,29 @@ def silent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         query = found.writeStream.outputMode("append").format("parquet").option("path", f"{base}/found").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{base}/found")
+
+
+@query(
+    """SELECT conv_id::VARCHAR AS response, md5(string_agg(coalesce(text, ''), '' ORDER BY turn, role, text)) AS answer_md5, count(*) AS n_events, true AS complete FROM conversations GROUP BY conv_id"""
+)
+def streamed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as event streams, a turn an event: the stream's fold of their lines, which lie in files of any order."""
+    turns = load(spark, sf_dir, "conversations")
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
+    data = F.concat(F.lit("data: "), F.to_json(F.struct("text")))
+    placed = turns.select(F.col("conv_id").cast("string").alias("response"), at.alias("k"), data.alias("line"))
+    two = F.array(F.struct((2 * F.col("k")).alias("n"), "line"), F.struct((2 * F.col("k") + 1).alias("n"), F.lit("").alias("line")))  # the event and the blank line behind it
+    each = placed.select("response", F.explode(two).alias("x")).select("response", "x.*")
+    ends = each.groupBy("response").agg((F.max("n") + 1).alias("n")).select("response", "n", F.lit(None).cast("string").alias("line"))
+    base = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+    row = [F.col("response"), F.lit("1").alias("attempt"), F.col("n").cast("long").alias("line_no"), "line", F.lit(None).cast("string").alias("error"), F.current_timestamp().alias("at")]
+    each.unionByName(ends).select(*row).repartition("line_no").write.parquet(f"{base}/spool")
+    with heartbeats.keyed_state(spark):
+        found = arriving.answers(arriving.arriving(spark, f"{base}/spool"))
+
+        def save(batch: DataFrame, number: int) -> None:
+            batch.where("complete").write.mode("append").parquet(f"{base}/answers")
+
+        query = found.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{base}/answers").select("response", F.md5("answer").alias("answer_md5"), "n_events", "complete")

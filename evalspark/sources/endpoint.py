@@ -45,6 +45,20 @@ class Endpoint:
     def _headers(self) -> dict[str, str]:
         return {"Content-Type": "application/json", "Accept": "text/event-stream" if self.stream else "application/json", **self.headers}
 
+    def lines(self, body: str) -> Iterator[str]:
+        """The answer's lines as they come. A connection that isn't made is tried again; once a line has come, what breaks it is an error."""
+        for k in range(1, self.attempts + 1):
+            try:
+                response = urllib.request.urlopen(urllib.request.Request(self.url, body.encode(), self._headers()), timeout=self.timeout)
+                break
+            except OSError:
+                if k == self.attempts:
+                    raise
+                time.sleep(min(2.0, 0.5 * k))
+        with response:
+            for line in response:
+                yield line.decode("utf-8", "replace").rstrip("\r\n")
+
     def _post(self, body: str) -> str:
         for k in range(1, self.attempts + 1):
             try:

@@ -1,19 +1,23 @@
 """Runs: stopped by a table, out of time, killed and taken up again; heartbeats and answers as they arrive."""
 
 import glob
+import http.server
 import json
 import os
 import random
+import shutil
 import signal
 import subprocess
 import sys
 import textwrap
+import threading
 import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from evalspark.sources import arriving, endpoint, sse
 from evalspark.streaming import heartbeats, progress, runs
 
 HERE = os.path.dirname(os.path.abspath(__file__))
@@ -236,3 +240,135 @@ def test_live_clock(spark, tmp_path):
     wait_for(lambda: query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0)
     query.stop()
     assert found == ["a"]
+
+
+# ---------------------------------------------------------------- answers as they arrive
+
+
+class Slow(http.server.BaseHTTPRequestHandler):
+    """Streams the lines that the request names, one after another; breaks the connection where it says so."""
+
+    protocol_version = "HTTP/1.0"
+    gate = threading.Event()
+    pause = 0.0
+
+    def do_POST(self):
+        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.send_response(200)
+        self.end_headers()
+        for line in asked["lines"]:
+            if line == "HOLD":  # until somebody has seen what came before
+                self.gate.wait(120)
+                continue
+            if line == "BREAK":
+                self.connection.shutdown(2)
+                return
+            self.wfile.write((line + "\n").encode())
+            self.wfile.flush()
+            time.sleep(self.pause)
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture
+def server():
+    httpd = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Slow)
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+    Slow.gate.clear()
+    yield f"http://127.0.0.1:{httpd.server_port}/"
+    httpd.shutdown()
+
+
+def fold(spark, folder, check, files=None, **how):
+    """Go on to the spool's present end: each batch's answers."""
+    seen: list = []
+    with heartbeats.keyed_state(spark):
+        rows = arriving.answers(arriving.arriving(spark, folder, files), **how)
+        rows.writeStream.outputMode("update").foreachBatch(lambda b, n: seen.append({r.response: (r.answer, r.n_events, r.complete) for r in b.collect()})).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return seen
+
+
+def test_answers_before_they_end(spark, tmp_path, server):
+    Slow.pause, folder = 0.1, f"{tmp_path}/spool"
+    lines = [x for k in range(12) for x in (f'data: {{"text": "{k},"}}', "")]
+    lines.insert(10, "HOLD")
+    requests = spark.createDataFrame([(f"r{i}", json.dumps({"id": i, "lines": [*lines, "data: [DONE]", ""]})) for i in range(3)], "response string, request string")
+    done: list = []
+    work = threading.Thread(target=lambda: done.extend(arriving.spool(requests, endpoint.Endpoint(server, stream=True), folder, every=0.5).collect()))
+    work.start()
+    wait_for(lambda: glob.glob(f"{folder}/*.parquet"))
+    first = fold(spark, folder, f"{tmp_path}/check")
+    ended = not work.is_alive()
+    Slow.gate.set()
+    early = {r: a for batch in first for r, a in batch.items()}
+    work.join(60)
+    assert not ended and early and all(not complete and 0 < n <= 5 for _, n, complete in early.values())
+    assert {(r.response, r.n_lines, r.error) for r in done} == {(f"r{i}", 26, None) for i in range(3)}
+    last = {r: a for batch in fold(spark, folder, f"{tmp_path}/check") for r, a in batch.items()}
+    want = {f"r{i}": ("".join(f"{k}," for k in range(12)), 12, True) for i in range(3)}
+    assert last == want and all(w.startswith(early[r][0]) for r, (w, *_) in want.items() if r in early)
+    assert fold(spark, folder, f"{tmp_path}/check") == [] or not any(fold(spark, folder, f"{tmp_path}/check"))
+    # a replay, a file a batch, stopped in between: the same answers; and the same as the fold of the whole table
+    copy = f"{tmp_path}/copy"
+    os.mkdir(copy)
+    names = sorted(os.path.basename(p) for p in glob.glob(f"{folder}/*.parquet"))
+    again: dict = {}
+    for part in (names[::-1][: len(names) // 2], names):
+        for name in part:
+            shutil.copy(f"{folder}/{name}", f"{copy}/{name}")
+        for batch in fold(spark, copy, f"{tmp_path}/check2", files=1):
+            again |= batch
+    assert again == want
+    told = sse.answers(sse.frames(arriving.whole(arriving.spooled(spark, folder)), "response", "line_no"), "response", "line_no")
+    assert {r.response: (r.answer, r.n_events, True) for r in told.collect()} == want
+
+
+def test_forms_of_events_and_broken_responses(spark, tmp_path, server):
+    Slow.pause, folder = 0.0, f"{tmp_path}/spool"
+    cases = {
+        "full": ['data: {"text": "a"}', "", 'data: {"answer": "whole"}', "", 'data: {"answer": " "}', ""],
+        "frames": ["event: x", 'data: {"text":', 'data: "é"}', "", ": note", "data: no json", "", 'data: {"text": "z"}'],
+        "broken": ['data: {"text": "a"}', "", "BREAK"],
+        "empty": [],
+    }
+    requests = spark.createDataFrame([(n, json.dumps({"id": n, "lines": c})) for n, c in cases.items()] + [(None, "x")], "response string, request string")
+    point = endpoint.Endpoint(server, stream=True, attempts=1)
+    ended = {r.response: r for r in arriving.spool(requests, point, folder, every=0.1).collect()}
+    assert sorted(ended) == sorted(cases) and ended["frames"].n_lines == 8 and ended["empty"].n_lines == 0
+    got: dict = {}
+    for batch in fold(spark, folder, f"{tmp_path}/check"):
+        got |= batch
+    assert got["full"] == ("whole", 3, True) and got["frames"] == ("éz", 3, True) and got["empty"] == ("", 0, True)
+    assert {r.response for r in arriving.unanswered(requests.where("response IS NOT NULL"), folder).collect()} <= {"broken"}
+    # posted again with another answer: the later attempt counts, whole, and lines of the two don't mix
+    better = spark.createDataFrame([("broken", json.dumps({"id": 9, "lines": ['data: {"text": "b"}', "", 'data: {"text": "c"}', ""]}))], "response string, request string")
+    if got["broken"][2] is False:
+        arriving.spool(better, point, folder, every=0.1).collect()
+        for batch in fold(spark, folder, f"{tmp_path}/check"):
+            got |= batch
+        assert got["broken"] == ("bc", 2, True)
+        best = arriving.whole(arriving.spooled(spark, folder)).where("response = 'broken'")
+        assert [r.line for r in best.orderBy("line_no").collect()] == ['data: {"text": "b"}', "", 'data: {"text": "c"}', ""]
+    gone = endpoint.Endpoint("http://127.0.0.1:9/", stream=True, attempts=1)
+    assert [r.error is not None for r in arriving.spool(better, gone, f"{tmp_path}/none").collect()] == [True]
+
+
+def test_any_order_of_lines(spark, tmp_path):
+    """Lines shuffled over files, with repeats: the fold is that of the lines in order."""
+    rng, rows, want = random.Random(8), [], {}
+    for k in range(6):
+        lines = [x for i in range(rng.randint(0, 8)) for x in ([f'data: {{"text": "{k}{i}"}}', ""] if rng.random() < 0.7 else [f'data: {{"final_answer": "f{i}"}}'])] + [""]
+        rows += [(f"r{k}", "1", n, line, None) for n, line in enumerate(lines)] + [(f"r{k}", "1", len(lines), None, None)]
+    table = spark.createDataFrame(rows, "response string, attempt string, line_no long, line string, error string")
+    for framed, parts in ((True, sse.frames), (False, sse.data_lines)):
+        told = {r.response: (r.answer, True) for r in sse.answers(parts(table.where("line IS NOT NULL"), "response", "line_no"), "response", "line_no").collect()}
+        folder = f"{tmp_path}/{framed}"
+        mixed = rows + rng.sample(rows, 5)
+        rng.shuffle(mixed)
+        for k in range(0, len(mixed), 7):
+            spark.createDataFrame(mixed[k : k + 7], table.schema).withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(folder)
+        got: dict = {}
+        for batch in fold(spark, folder, f"{tmp_path}/check{framed}", files=3, framed=framed):
+            got |= batch
+        assert {r: (a, c) for r, (a, _, c) in got.items()} == {f"r{k}": told.get(f"r{k}", ("", True)) for k in range(6)}
