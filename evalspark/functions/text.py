@@ -7,10 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
+from evalspark.functions.stored import among
+
 CJK = r"[\x{4e00}-\x{9fff}]"
 #: White space of any kind, as one character class: much cheaper than the Unicode mode of \\s.
 SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -250,14 +253,17 @@ def char_ngrams(c: Column | str, n: int = 5) -> Column:
     return bind(question_key(c), lambda s: F.when(s == "", none).when(s.isNotNull(), F.array_distinct(grams(s))))
 
 
-def gram_hashes(texts: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def gram_hashes(texts: DataFrame, key: str, text: str, n: int = 5, wanted: Broadcast | None = None) -> DataFrame:
     """(key, gram): 64-bit hashes of a text's distinct character n-grams, of the lower-case text without white space; a shorter text is its own only one.
 
-    Hashed by a rolling sum over code points in Arrow batches: no string is made for a gram. Blank and null texts have none.
+    Hashed by a rolling sum over code points in Arrow batches: no string is made for a gram. With
+    `wanted` (a sorted array of hashes) only those leave the task. Blank and null texts have none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd = np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             keys, ids = [], []
             for k, t in enumerate(batch.column(1).to_pylist()):
@@ -265,18 +271,87 @@ def gram_hashes(texts: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
                 m = min(n, len(x))
                 h = np.full(len(x) - m + 1, m, np.uint64)
                 for j in range(m):
-                    h = (h ^ x[j : j + len(h)]) * odd
+                    h = (h ^ x[j : j + len(h)]) * _ODD
                     h ^= h >> np.uint64(29)
+                h = h.view(np.int64)
+                if wanted is not None:
+                    h = h[among(h, wanted.value)]
                 ids.append(np.unique(h))
                 keys.append(np.full(len(ids[-1]), k))
             for lo in range(0, len(ids), 64):  # bounded batches out
                 at = np.concatenate(keys[lo : lo + 64])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate(ids[lo : lo + 64]).view(np.int64))], names=[key, "gram"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate(ids[lo : lo + 64]))], names=[key, "gram"])
 
     rows = texts.select(key, question_key(text).alias("_t")).where("_t <> ''")
     return rows.mapInArrow(run, ty.StructType([rows.schema[0], ty.StructField("gram", ty.LongType())]))
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[1, *range(0x30, 0x3A), *range(0x61, 0x7B)]] = True  # and the mark of `_plain`
+_SIGNS = re.compile("[\u4e00-\u9fff]+")
+PIECE = 1 << 19  # characters of texts that are counted at a time; a longer text is a piece of its own
+
+
+def _plain(text: str | None) -> bytes:
+    """Bytes whose runs of `_LETTER` are the text's tokens: ASCII words as they are, behind them the bigrams of CJK runs, spelt with a mark that no word has."""
+    low = (text or "").lower().replace("\x01", " ")
+    runs = _SIGNS.findall(low)
+    pairs = [r[i : i + 2] for r in runs for i in range(max(1, len(r) - 1))]
+    spelt = [" " + "".join(f"\x01{ord(c):x}" for c in p) for p in pairs]
+    return "".join([low, *spelt]).encode("utf-8", "surrogatepass")
+
+
+def term_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of `_LETTER` starts, and its 64-bit hash."""
+    solid = np.concatenate(([False], _LETTER[data], [False]))
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    starts, lens = edges[::2], edges[1::2] - edges[::2]
+    h = np.full(len(starts), 0x51_7C_C1_B7, np.uint64)
+    live = np.arange(len(starts))
+    for j in range(int(lens.max()) if len(lens) else 0):
+        live = live[lens[live] > j]
+        h[live] = (h[live] ^ data[starts[live] + j]) * _ODD
+        h[live] ^= h[live] >> np.uint64(29)
+    return starts, h.view(np.int64)
+
+
+def term_counts(texts: DataFrame, key: str, text: str, wanted: Broadcast | None = None) -> DataFrame:
+    """(key, len, terms array<long>, tfs array<int>): 64-bit hashes of a text's distinct `bigram_tokens` with their numbers, in one pass over the bytes.
+
+    `len` counts all tokens; with `wanted` (a sorted array of hashes) only those terms are listed. A
+    null text has none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts_, at = batch.column(1).to_pylist(), 0
+            while at < len(texts_):
+                end, size = at, 0
+                while end < len(texts_) and (end == at or size + len(texts_[end] or "") <= PIECE):
+                    size += len(texts_[end] or "")
+                    end += 1
+                parts = [_plain(t) for t in texts_[at:end]]
+                offsets = np.cumsum([0, *(len(p) + 1 for p in parts)])
+                starts, h = term_hashes(np.frombuffer(b"\n".join(parts), np.uint8))
+                rows = np.searchsorted(offsets, starts, "right") - 1
+                lens = np.bincount(rows, minlength=len(parts)).astype(np.int32)
+                if wanted is not None:
+                    keep = among(h, wanted.value)
+                    rows, h = rows[keep], h[keep]
+                order = np.lexsort((h, rows))
+                rows, h = rows[order], h[order]
+                first = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (h[1:] != h[:-1])))) if len(h) else np.zeros(0, np.int64)
+                tfs = np.diff(np.append(first, len(h))).astype(np.int32)
+                cuts = pa.array(np.searchsorted(rows[first], np.arange(len(parts) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (h[first], tfs)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(lens), *lists], names=[key, "len", "terms", "tfs"])
+                at = end
+
+    rows = texts.select(key, F.col(text).alias("_t"))
+    more = [ty.StructField("len", ty.IntegerType()), ty.StructField("terms", ty.ArrayType(ty.LongType())), ty.StructField("tfs", ty.ArrayType(ty.IntegerType()))]
+    return rows.mapInArrow(run, ty.StructType([rows.schema[0], *more]))
+
+
 _VARIABLE = re.compile(r"(?<!\{)\{([A-Za-z_][\w.]*)\}(?!\})")
 
 

@@ -5,42 +5,80 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
 from evalspark.functions import scores as S
 from evalspark.functions import text as T
+from evalspark.functions.stored import handed, stored
 
 K1, B = 1.5, 0.75
+BLOCK, LEAD = 64, 4  # ids a block of postings spans; blocks a query scores before it knows its k-th score
 NGRAM_LIMIT, COSINE_LIMIT = 0.8, 0.92
 
 
-def postings(docs: DataFrame, doc: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
-    """(doc, term, tf, len): one row per document and term (with `wanted`: of its terms only), counted before the shuffle."""
-    tokens = docs.select(doc, T.bigram_tokens(text).alias("_t"))
-    each = tokens.select(doc, F.size("_t").alias("len"), F.explode("_t").alias("term"))
-    if wanted is not None:
-        each = each.join(wanted, "term", "left_semi")
-    return each.groupBy(doc, "len", "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, doc: str, text: str, wanted: Broadcast | None = None) -> DataFrame:
+    """(doc, len, terms, tfs): each document once, with its length and (of `wanted`) its terms' hashes and numbers."""
+    return T.term_counts(docs, doc, text, wanted)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", query: str = "query_id", text: str = "text") -> DataFrame:
+def _block(doc: str, kind: ty.DataType, size: int) -> Column:
+    """The range of ids a document is in; ids that aren't numbers are dealt out."""
+    return F.floor(F.col(doc) / size).cast("long") if isinstance(kind, ty.IntegralType) else F.pmod(F.xxhash64(doc), F.lit(1 << 20))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", query: str = "query_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """The k best documents of each query: query, doc, score, rank (ties to the smaller doc). Documents without a positive score are not returned.
 
-    Only postings of terms that a query has are scored. The average length counts empty documents too.
+    The average length counts empty documents too. Texts are read once. Weights lie in blocks of
+    `block` ids by term, each with its highest weight: what these add up to bounds a block's scores for
+    a query. A query scores the blocks of its highest bounds first; the k-th score there, at least,
+    is the k-th of all, so only blocks whose bound reaches it are scored besides. Exact.
     """
-    stats = docs.agg(F.count("*").alias("n"), F.avg(T.token_count(text)).alias("avg_len"))
-    asked = queries.select(query, F.explode(F.array_distinct(T.bigram_tokens(text))).alias("term"))
-    wanted = asked.select("term").distinct()
-    hits = postings(docs, doc, text, wanted)
+    found = _pruned(docs, queries, k, doc, query, text, block)
+    scored = found["first"].unionByName(found["rest"])
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), doc))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def scored_share(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", query: str = "query_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row: (query, term, document) weights that `bm25` adds up, those that there are, and the share."""
+    found = _pruned(docs, queries, k, doc, query, text, block)
+    n = lambda df: df.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
+    both = n(found["taken"]).select(F.col("n").alias("scored")).crossJoin(n(found["bounds"]).select(F.col("n").alias("all")))  # one row each
+    return both.select("scored", "all", F.round(F.try_divide("scored", "all"), 4).alias("share"))
+
+
+def _pruned(docs: DataFrame, queries: DataFrame, k: int, doc: str, query: str, text: str, block: int) -> dict[str, DataFrame]:
+    asked = stored(T.term_counts(queries, query, text).select(query, F.explode("terms").alias("term")), "bm25-asked")
+    wanted = handed(asked.select("term"))
+    whole = stored(postings(docs, doc, text, wanted), "bm25-counts")
+    hits = whole.select(doc, "len", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select(doc, "len", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+    if wanted is None:
+        hits = hits.join(asked.select("term").distinct(), "term", "left_semi")
+    stats = whole.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")  # stats is one row
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    weighted = hits.join(idf, "term").select("term", doc, weight.alias("w"))
-    scored = asked.join(weighted, "term").groupBy(query, doc).agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
-    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), doc))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    weighted = stored(hits.join(idf, "term").select("term", _block(doc, docs.schema[doc].dataType, block).alias("_b"), doc, weight.alias("w")), "bm25-weights")
+    highest = weighted.groupBy("term", "_b").agg(F.max("w").alias("_m"), F.count("*").alias("_n"))
+    bounds = stored(asked.join(highest, "term").groupBy(query, "_b").agg(F.sum("_m").alias("_u"), F.sum("_n").alias("_n")), "bm25-bounds")
+
+    def score(chosen: DataFrame) -> DataFrame:
+        cells = asked.join(chosen.select(query, "_b"), query)
+        return cells.join(weighted, ["term", "_b"]).groupBy(query, doc).agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
+
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("_u"), "_b"))
+    leading = bounds.withColumn("_k", place).where(F.col("_k") <= LEAD)
+    first = stored(score(leading), "bm25-first")
+    nth = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score")))
+    least = first.withColumn("_k", nth).where(F.col("_k") == k).select(query, F.col("score").alias("_least"))
+    ranked = bounds.withColumn("_k", place).join(least, query, "left")
+    left = ranked.where((F.col("_k") > LEAD) & (F.coalesce("_least", F.lit(0.0)) <= F.col("_u") + 1e-5))  # scores are rounded
+    return {"first": first, "rest": score(left), "bounds": bounds, "taken": leading.select(query, "_n").unionByName(left.select(query, "_n"))}
 
 
 def retrieval_means(hits: DataFrame, queries: DataFrame, k: int = 5, query: str = "query_id", doc: str = "doc_id", by: tuple[str, ...] = ()) -> DataFrame:
@@ -54,12 +92,15 @@ def retrieval_means(hits: DataFrame, queries: DataFrame, k: int = 5, query: str
 def ngram_overlap(texts: DataFrame, corpus: DataFrame, text_id: str = "item_id", doc_id: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
     """Highest share of a text's n-grams that one corpus row has: text_id, overlap, doc_id (smallest on ties), contaminated. Texts that share nothing: 0.
 
-    n-grams meet by a join on their hash; corpus rows only send those that some text has, which
-    are broadcast under Spark's own size check.
+    n-grams meet by a join on their hash; corpus rows only send those that some text has: tasks are
+    handed these if they are few enough, else a join leaves the others out.
     """
     asked = T.gram_hashes(texts, text_id, text, n)
     size = asked.groupBy(text_id).agg(F.count("*").alias("_n"))
-    there = T.gram_hashes(corpus, doc_id, text, n).join(asked.select("gram").distinct(), "gram", "left_semi")
+    wanted = handed(asked.select("gram"))
+    there = T.gram_hashes(corpus, doc_id, text, n, wanted)
+    if wanted is None:
+        there = there.join(asked.select("gram").distinct(), "gram", "left_semi")
     shared = asked.join(there, "gram").groupBy(text_id, doc_id).agg(F.count("*").alias("_c"))
     rated = shared.join(size, text_id).select(text_id, doc_id, F.round(F.col("_c") / F.col("_n"), 4).alias("overlap"))
     best = rated.groupBy(text_id).agg(F.max(F.struct("overlap", (-F.col(doc_id)).alias("_d"))).alias("_b"))
@@ -73,31 +114,93 @@ def contamination_tally(found: DataFrame, *by: str) -> DataFrame:
     return found.groupBy(*by).agg(F.count("*").alias("n"), hit.alias("contaminated"), F.round(F.try_divide(hit, F.count("*")), 4).alias("share"), F.max("overlap").alias("highest"))
 
 
-def cosine_max(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", block: int = 1024, shard: int = 8192) -> DataFrame:
+def _units(lists: pa.Array, n: int) -> np.ndarray:
+    m = lists.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _apart(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of (unit or zero) rows to unit pivots."""
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + 1 - 2 * x @ pivots.T, 0))
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard, a shard's vectors before the queries that it may answer: vectors are held, queries stream past."""
+    held, ids, parts = None, [], []
+    for batch in batches:
+        shard, asked, key = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (asked[1:] != asked[:-1])) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if lo == hi:
+                continue
+            rows = batch.column(3).slice(lo, hi - lo)
+            if not asked[lo]:
+                if shard[lo] != held:
+                    held, ids, parts = shard[lo], [], []
+                ids.append(key[lo:hi])
+                parts.append(_units(rows, hi - lo))
+            elif shard[lo] == held:
+                if len(parts) > 1:
+                    ids, parts = [np.concatenate(ids)], [np.concatenate(parts)]
+                q = key[lo:hi]
+                c = np.round(np.clip(_units(rows, hi - lo) @ parts[0].T, 0, 1), 6)
+                c[q[:, None] == ids[0][None]] = -1
+                at = c.argmax(1)  # the smallest id of equal ones: a shard is sorted by id
+                best = c[np.arange(len(q)), at]
+                found = best >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(q[found]), pa.array(ids[0][at][found]), pa.array(best[found])], names=["query_id", "vec_id", "cosine"])
+
+
+def cosine_max(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", shard: int = 8192, pivots: int = 64) -> DataFrame:
     """The nearest other vector of each query by cosine (0 to 1): query_id, vec_id (smallest on ties), cosine.
 
-    Queries are dealt into blocks and vectors into shards of bounded size; a cell of both is one
-    matrix product, and the shards' best are merged by the maximum.
+    Some vectors, of the smallest hashes, are pivots. Every vector is dealt once, to its nearest
+    pivot's shards of about `shard` rows. A query's cosine with a pivot is one that can be reached;
+    the triangle inequality bounds those within a shard, by the query's distance from its pivot and
+    the distances there; the query goes to the shards only whose bound is no lower. Exact. Vectors
+    that are null or hold null or NaN components take no part; zero vectors have cosine 0.
     """
-    size = lambda df, n: max(1, -(-df.count() // n))
-    blocks, shards = size(queries, block), size(vectors, shard)
-    part = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(part(blocks).alias("block"), every(shards).alias("shard"), F.lit(True).alias("asked"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    right = vectors.select(every(blocks).alias("block"), part(shards).alias("shard"), F.lit(False).alias("asked"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
-        q, x = rows[rows.asked], rows[~rows.asked].sort_values("id")
-        if q.empty or x.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []})
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        c = np.round(np.clip(unit(np.stack(q.v)) @ unit(np.stack(x.v)).T, 0, 1), 6)
-        c[q.id.to_numpy()[:, None] == x.id.to_numpy()[None]] = -1
-        at = c.argmax(1)
-        return pd.DataFrame({"query_id": q.id.to_numpy(), "vec_id": x.id.to_numpy()[at], "cosine": c[np.arange(len(q)), at]}).query("cosine >= 0")
-
-    cells = left.unionByName(right).groupBy("block", "shard").applyInPandas(best, "query_id long, vec_id long, cosine double")
-    top = cells.groupBy("query_id").agg(F.max(F.struct("cosine", (-F.col("vec_id")).alias("_v"))).alias("_b"))
+    columns = [F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")]
+    fine = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)) & (F.size("v") > 0)
+    own, asked = (df.select(*columns).where(fine) for df in (vectors, queries))
+    chosen = own.where(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64("id"), "id", "v").limit(pivots).collect()  # at most `pivots`
+    if not chosen:
+        chosen = own.limit(1).collect()
+    if not chosen:
+        return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, cosine double, contaminated boolean")
+    names, points = np.array([r.id for r in chosen]), np.array([r.v for r in chosen])
+    points = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = _apart(_units(batch.column(1), batch.num_rows), points)
+            cell = d.argmin(1)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(d[np.arange(len(cell)), cell]), *batch.columns], names=["cell", "d", "id", "v"])
+
+    dealt = stored(own.mapInArrow(deal, "cell long, d double, id long, v array<double>"), "cosine-cells")
+    sizes = {r.cell: (r.n, r.lo, r.hi) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect()}  # at most `pivots`
+    cells = np.array(sorted(sizes))
+    low, high = (np.array([sizes[c][k] for c in cells.tolist()]) for k in (1, 2))
+    parts = {c: -(-sizes[c][0] // shard) for c in sizes}
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, x = batch.column(0).to_numpy(), _units(batch.column(1), batch.num_rows)
+            dots = np.where(q[:, None] == names[None], -np.inf, np.clip(x @ points.T, 0, 1))
+            d = _apart(x, points)[:, cells]
+            gap = np.maximum(np.maximum(d - high, low - d) - 1e-9, 0)
+            bound = np.maximum(1 - gap * gap / 2, 0)
+            row, cell = np.nonzero(bound >= dots.max(1)[:, None] - 2e-6)  # cosines are rounded to six digits
+            for k in range(max(parts.values())):
+                some = np.array([k < parts[c] for c in cells.tolist()])[cell]
+                at = pa.array(row[some])
+                yield pa.RecordBatch.from_arrays([pa.array(cells[cell[some]] << 32 | k), batch.column(0).take(at), batch.column(1).take(at)], names=["shard", "id", "v"])
+
+    sub = F.pmod(F.xxhash64("id"), F.element_at(F.create_map(*[F.lit(int(x)) for c in parts.items() for x in c]), F.col("cell")))
+    left = dealt.select((F.shiftleft(F.col("cell"), 32) + sub).alias("shard"), F.lit(False).alias("asked"), "id", "v")
+    right = asked.mapInArrow(send, "shard long, id long, v array<double>").select("shard", F.lit(True).alias("asked"), "id", "v")
+    found = left.unionByName(right).repartition("shard").sortWithinPartitions("shard", "asked", "id").mapInArrow(_nearest, "query_id long, vec_id long, cosine double")
+    top = found.groupBy("query_id").agg(F.max(F.struct("cosine", (-F.col("vec_id")).alias("_v"))).alias("_b"))
     return top.select("query_id", (-F.col("_b._v")).alias("vec_id"), F.round("_b.cosine", 4).alias("cosine")).withColumn("contaminated", F.col("cosine") >= COSINE_LIMIT)
 
 

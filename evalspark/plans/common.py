@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.functions.stored import shared_dir as shared_dir
+from evalspark.functions.stored import stored as stored
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; in local sessions without one a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return (base or tempfile.mkdtemp(prefix="evalspark-")).rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: for a table that a plan reads several times."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document x metric grid: label quality, 1 - toxic, and a length score; null where a document has no label."""
     d = load(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(load(spark, sf_dir, "labels"), "doc_id", "left")

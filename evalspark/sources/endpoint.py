@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.error
 import urllib.request
 import zlib
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ from pyspark.sql import types as ty
 
 from evalspark.functions import text as T
 from evalspark.operators.lifecycle import request_body
+from evalspark.sources.paced import Refused
 
 RAW_LIMIT = 20_000
 
@@ -45,6 +47,17 @@ class Endpoint:
     def _headers(self) -> dict[str, str]:
         return {"Content-Type": "application/json", "Accept": "text/event-stream" if self.stream else "application/json", **self.headers}
 
+    def call(self, request: str) -> str:
+        """One request, sent once: the answer's text. A server that is busy refuses, for as long as it says."""
+        try:
+            with urllib.request.urlopen(urllib.request.Request(self.url, self._body("", request).encode(), self._headers()), timeout=self.timeout) as response:
+                return response.read().decode("utf-8", "replace")
+        except urllib.error.HTTPError as e:
+            if e.code not in (429, 503):
+                raise
+            said = e.headers.get("Retry-After") or ""
+            raise Refused(float(said) if said.strip().isdigit() else 1.0) from e
+
     def lines(self, body: str) -> Iterator[str]:
         """The answer's lines as they come. A connection that isn't made is tried again; once a line has come, what breaks it is an error."""
         for k in range(1, self.attempts + 1):
