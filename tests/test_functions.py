@@ -554,3 +554,13 @@ def test_upsert_of_repeated_and_null_keys(spark):
     assert found(lifecycle.upsert(there, batch, ["k"], order=[F.col("at")])) == [("a", 1), ("b", 20), ("c", None), (None, 2)]
     assert found(lifecycle.upsert(there, batch, ["k"], update=True, order=[F.col("at")])) == [("a", 10), ("b", 22), ("c", None), (None, 30)]
     assert found(lifecycle.upsert(there, batch, ["k"], update=True)) == [("a", 10), ("b", 22), ("c", None), (None, 30)]
+
+
+def test_characters(spark):
+    """The counts of one pass are those of the regular expressions."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices([" ", "\n", "\t", "\x1c", " ", "　", "a", "Z", "7", "。", "!", ";", "：", "漢", "é", "𝒜", "_", "​", "￿"], k=rng.randint(0, 30))) for _ in range(400)] + ["", " \n ", "x" * 100_000]
+    c, s = T.compact("t"), T.strip("t")
+    want = [F.length(c), F.length(s), T.chars_of("t", corpus.MARKS[1:-1]), T.chars_of(c, corpus.CJK_RANGE), T.chars_of(c, "A-Za-z"), T.chars_of(c, "0-9"), T.chars_of(s, "。！？.!?;\n")]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(corpus.characters(F.col("t")).alias("got"), F.struct(*[w.cast("int") for w in want]).alias("want")).collect()
+    assert all(tuple(r.got) == tuple(r.want) for r in rows)
