@@ -37,6 +37,22 @@ def metric_summary(scores: DataFrame, *key: str) -> DataFrame:
     )
 
 
+def partial_summary(scores: DataFrame, *key: str) -> DataFrame:
+    """What a batch of scores adds to `metric_summary`: states that merge in any order. Sums are decimal, so their order makes no difference."""
+    s = F.when(~F.isnan("score"), F.col("score"))
+    at = F.coalesce("threshold", F.lit(DEFAULT_THRESHOLD))
+    return scores.groupBy(*key).agg(F.sum(s.cast("decimal(30,15)")).alias("total"), F.min(s).alias("min"), F.max(s).alias("max"), count_if(s >= at).alias("passed"), F.count(s).alias("n"), F.count("*").alias("all"))
+
+
+def merged_summary(parts: DataFrame, *key: str) -> DataFrame:
+    """`metric_summary` out of partial ones: a state a batch is read, not a score."""
+    r = lambda c: F.round(c, 4)
+    n = F.sum("n")
+    return parts.groupBy(*key).agg(
+        r(F.try_divide(F.sum("total").cast("double"), n)).alias("mean"), r(F.min("min")).alias("min"), r(F.max("max")).alias("max"), r(F.try_divide(F.sum("passed"), n)).alias("pass_rate"), n.alias("n"), (F.sum("all") - n).alias("errors")
+    )
+
+
 def weighted_total(summary: DataFrame, *run: str) -> DataFrame:
     """Weighted mean of the (rounded) metric means; metrics without a mean or a positive weight take no part."""
     w = F.when(F.col("mean").isNotNull() & (F.col("weight") > 0), F.col("weight"))

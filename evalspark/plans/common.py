@@ -13,12 +13,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The document x metric grid: label quality, 1 - toxic, and a length score; null where a document has no label."""
-    d = load(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(load(spark, sf_dir, "labels"), "doc_id", "left")
+def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents x metrics: label quality, 1 - toxic, and a length score; null where a document has no label."""
+    d = docs.select("doc_id", "source", "n_chars").join(labels, "doc_id", "left")
     cell = lambda m, s, t, w: F.struct(F.lit(m).alias("metric"), s.cast("double").alias("score"), F.lit(t).alias("threshold"), F.lit(w).alias("weight"))
-    cells = F.array(cell("quality", F.col("quality"), 0.5, 2.0), cell("safety", 1 - F.col("toxic"), 0.5, 1.0), cell("length", F.least(F.col("n_chars") / 1000, F.lit(1.0)), 0.3, 1.0))
-    return d.select("doc_id", "source", F.explode(cells).alias("c")).select("doc_id", "source", "c.*")
+    three = F.array(cell("quality", F.col("quality"), 0.5, 2.0), cell("safety", 1 - F.col("toxic"), 0.5, 1.0), cell("length", F.least(F.col("n_chars") / 1000, F.lit(1.0)), 0.3, 1.0))
+    return d.select("doc_id", "source", F.explode(three).alias("c")).select("doc_id", "source", "c.*")
+
+
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score grid of the tables' documents and labels."""
+    return cells(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
 GRID_SQL = """g AS (

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalspark.plans.common import load, shared_dir
+from evalspark.plans.common import GRID_SQL, cells, load, shared_dir
 from evalspark.sources import arriving
-from evalspark.streaming import heartbeats, runs
+from evalspark.streaming import heartbeats, progress, runs
 
 QUERIES, ORACLES = {}, {}
 
@@ -90,3 +90,13 @@ def streamed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         query = found.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{base}/answers").select("response", F.md5("answer").alias("answer_md5"), "n_events", "complete")
+
+
+@query(f"WITH {GRID_SQL} SELECT source, metric, round(avg(score), 4) AS mean, round(min(score), 4) AS min, round(max(score), 4) AS max, round(avg((score >= coalesce(threshold, 0.7))::INT), 4) AS pass_rate, count(score) AS n, count(*) - count(score) AS errors FROM g GROUP BY source, metric")
+def summary_by_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric summaries of each source out of the partial ones of a stream's batches, a file a batch."""
+    schema = load(spark, sf_dir, "documents").schema
+    docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern: the table may be one file
+    base = f"{shared_dir(spark)}/summary-{uuid.uuid4().hex}"
+    progress.summarized(cells(docs, load(spark, sf_dir, "labels")), f"{base}/parts", f"{base}/check", "source", "metric").awaitTermination()
+    return progress.summaries(spark.read.parquet(f"{base}/parts"), "source", "metric")

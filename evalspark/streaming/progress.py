@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from evalspark.operators import report
+
 
 def progress(results: DataFrame, *run: str) -> DataFrame:
     """Results so far, errors and the last heartbeat of each run. Works on a stream (update or complete mode) and on a batch."""
@@ -37,6 +39,20 @@ def current(saved: DataFrame, *run: str) -> DataFrame:
     return saved.groupBy(*run).agg(F.max_by(F.struct(*[c for c in rest if c != "batch"]), "batch").alias("_r")).select(*run, "_r.*")
 
 
+def summarized(scores: DataFrame, path: str, checkpoint: str, *key: str) -> StreamingQuery:
+    """Run until the source's present end: each batch's partial summary becomes a folder of its own, written anew if the batch is repeated. `summaries` merges them."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        report.partial_summary(batch, *key).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return scores.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def summaries(parts: DataFrame, *key: str) -> DataFrame:
+    """The metric summary of all batches so far: reads a state a key and batch, never the scores."""
+    return report.merged_summary(parts, *key)
+
+
 def recovered(runs: DataFrame, beats: DataFrame, now: Column, run: str, started: str = "30 minutes", beat: str = "30 minutes") -> DataFrame:
     """All runs, the stale ones failed, with the time they were found so."""
     lost = stale(runs, beats, now, run, started, beat).select(run, F.lit(True).alias("_lost"))

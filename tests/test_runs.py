@@ -17,6 +17,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from evalspark.operators import report
 from evalspark.sources import arriving, endpoint, sse
 from evalspark.streaming import heartbeats, progress, runs
 
@@ -372,3 +373,21 @@ def test_any_order_of_lines(spark, tmp_path):
         for batch in fold(spark, folder, f"{tmp_path}/check{framed}", files=3, framed=framed):
             got |= batch
         assert {r: (a, c) for r, (a, _, c) in got.items()} == {f"r{k}": told.get(f"r{k}", ("", True)) for k in range(6)}
+
+
+def test_summaries_of_every_prefix(spark, tmp_path):
+    """Merged states equal the whole computation after each batch; a batch that is written again counts once."""
+    rng, rows = random.Random(9), []
+    schema = "run string, metric string, score double, threshold double"
+    for k in range(4):
+        batch = [(rng.choice("ab"), rng.choice("xyz"), rng.choice([None, float("nan"), rng.random(), 0.7]), rng.choice([None, 0.5])) for _ in range(200)]
+        rows += batch
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        progress.summarized(stream, f"{tmp_path}/parts", f"{tmp_path}/check", "run", "metric").awaitTermination()
+        got = progress.summaries(spark.read.parquet(f"{tmp_path}/parts"), "run", "metric")
+        want = report.metric_summary(spark.createDataFrame(rows, schema), "run", "metric")
+        columns = ["run", "metric", "mean", "min", "max", "pass_rate", "n", "errors"]
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    report.partial_summary(spark.read.schema(schema).parquet(f"{tmp_path}/in/3"), "run", "metric").write.mode("overwrite").parquet(f"{tmp_path}/parts/batch=3")
+    assert sorted(map(tuple, progress.summaries(spark.read.parquet(f"{tmp_path}/parts"), "run", "metric").select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
