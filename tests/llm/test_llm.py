@@ -661,6 +661,43 @@ def plain_spans(text):
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
+def check_op2(rows, texts):
+    """Every run of 50 words that an earlier document has too lies within a passage, and no passage is without its words in the documents it names."""
+    seen, covered = {}, {}
+    for r in rows:
+        words, there = re.findall(WORDS, texts[r.doc_id]), set()
+        assert r.end_word - r.start_word >= 50 and 0.8 - 1e-9 <= r.identity <= 1 and r.end_word <= len(words) and all(d < r.doc_id for d in r.ref_doc_ids) and r.ref_doc_id in r.ref_doc_ids
+        for d in r.ref_doc_ids:
+            there |= set(re.findall(WORDS, texts[d]))
+        span = words[r.start_word : r.end_word]
+        assert sum(w in there for w in span) >= 0.8 * len(span) - 1e-9
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    n = 0
+    for i in sorted(texts):
+        words = re.findall(WORDS, texts[i] or "")
+        windows = [tuple(words[k : k + 50]) for k in range(len(words) - 49)]
+        must = {p for k, w in enumerate(windows) if seen.get(w, i) < i for p in range(k, k + 50)}
+        assert must <= covered.get(i, set()), i
+        n += len(must)
+        for w in windows:
+            seen.setdefault(w, i)
+    assert n > 0
+
+
+def test_empty_tables(spark):
+    """No vectors, no documents, no labels: empty results, not errors."""
+    none = spark.createDataFrame([], DOCS)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    some = docs(spark, ["good words here", None, ""])
+    assert bpe.encode(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    assert neighbours.nearest(vectors, vectors, k=10).count() == 0
+    one = spark.createDataFrame([(1, [1.0, 2.0], 0)], vectors.schema)
+    assert neighbours.nearest(vectors, one, k=10).count() == 0 and neighbours.nearest(one, vectors, k=10).count() == 0
+    assert toxicity.toxicity(none, labels).count() == 0
+    assert sorted(r.doc_id for r in toxicity.toxicity(some, labels).collect()) == [0, 1, 2]
+
+
 def check_op3(rows, texts):
     fps = {i: slow_fingerprint(t) for i, t in texts.items()}
     assert {r.doc_id: int(r.fingerprint, 16) for r in rows} == fps and all(len(r.fingerprint) == 16 for r in rows)
