@@ -54,9 +54,9 @@ def merged_summary(parts: DataFrame, *key: str) -> DataFrame:
 
 
 def weighted_total(summary: DataFrame, *run: str) -> DataFrame:
-    """Weighted mean of the (rounded) metric means; metrics without a mean or a positive weight take no part."""
+    """Weighted mean of the (rounded) metric means; metrics without a mean or a positive weight take no part. A half of the last digit goes up, in whatever order the sums were made."""
     w = F.when(F.col("mean").isNotNull() & (F.col("weight") > 0), F.col("weight"))
-    return summary.groupBy(*run).agg(F.round(F.try_divide(F.sum(F.col("mean") * w), F.sum(w)), 4).alias("weighted_total"), F.count(w).alias("metric_count"))
+    return summary.groupBy(*run).agg(F.round(F.try_divide(F.sum(F.col("mean") * w), F.sum(w)) + 1e-9, 4).alias("weighted_total"), F.count(w).alias("metric_count"))
 
 
 def cost(tokens: DataFrame, *run: str, price_in: float = 0.0008, price_out: float = 0.002) -> DataFrame:

@@ -42,7 +42,7 @@ def metric_summary_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {GRID_SQL}, s AS (SELECT source, metric, round(avg(score), 4) AS mean, min(weight) AS weight FROM g GROUP BY source, metric)
-SELECT source, round(sum(mean * weight) / sum(CASE WHEN mean IS NOT NULL THEN weight END), 4) AS weighted_total, count(mean) AS metric_count FROM s WHERE weight > 0 GROUP BY source"""
+SELECT source, round(sum(mean * weight) / sum(CASE WHEN mean IS NOT NULL THEN weight END) + 1e-9::DOUBLE, 4) AS weighted_total, count(mean) AS metric_count FROM s WHERE weight > 0 GROUP BY source"""
 )
 def weighted_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid(spark, sf_dir)
