@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import text as T
 from evalspark.functions.stored import handed
-from evalspark.operators import retrieval, snapshots
+from evalspark.operators import buckets, report, retrieval, snapshots
 from evalspark.sources import endpoint, paced
 
 
@@ -219,3 +219,25 @@ def test_readers_and_writers_at_the_same_time(spark, tmp_path):
     assert data.versions() == [1, 2, 3] and Counter(r.v for r in reader.collect()) == {"old": 100}
     now = {r.k: r.v for r in data.read().collect()}
     assert sorted(now) == list(range(110)) and all(now[k] == "one" for k in range(40)) and all(now[k] == "two" for k in range(50, 110)) and {now[k] for k in range(40, 50)} <= {"one", "two"} and len({now[k] for k in range(40, 50)}) == 1
+
+
+def test_buckets_need_no_shuffle(spark, tmp_path):
+    """A comparison of bucketed runs, and results with their rows, have no exchange in their plans; the result is that of plain tables."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rng = random.Random(5)
+        schema = "row_id long, result_id long, is_pass boolean, error string, mean double"
+        runs = [spark.createDataFrame([(rng.choice([None, *range(60)]), k, rng.choice([True, False, None]), rng.choice([None, "e"]), rng.random()) for k in range(150)], schema) for _ in range(2)]
+        rows = spark.createDataFrame([(k, f"text {k}", "x") for k in range(40)], "row_id long, data string, error string")
+        base, now, data = (buckets.bucketed(df, f"b_{name}_{tmp_path.name.replace('-', '_')}", f"{tmp_path}/{name}", buckets=8) for df, name in ((runs[0], "base"), (runs[1], "now"), (rows, "rows")))
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        compared, joined = report.compare_runs(base, now), buckets.with_rows(now, data)
+        assert "Exchange" not in plan(compared) and "Exchange" not in plan(joined) and "Exchange" in plan(report.compare_runs(*runs))
+        same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+        assert same(compared, report.compare_runs(*runs)) and same(joined, buckets.with_rows(runs[1], rows))
+        assert joined.columns == ["row_id", "result_id", "is_pass", "error", "mean", "data"] and joined.count() == 150
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("base", "now", "rows"):
+            spark.sql(f"DROP TABLE IF EXISTS b_{name}_{tmp_path.name.replace('-', '_')}")
