@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -55,6 +56,15 @@ def norm(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(c), f"{SPACE}+", " "))
 
 
+def normal_lines(c: Column | str) -> Column:
+    """A text's lines, each as `norm` makes it (array; null for a null text): Python's split takes the same white space as SPACE, at a small part of a regex's cost."""
+
+    def split(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [" ".join(line.split()) for line in t.split("\n")] for t in texts], dtype=object)
+
+    return F.pandas_udf(split, "array<string>")(col(c))
+
+
 def compact(c: Column | str) -> Column:
     """Without any white space."""
     return F.regexp_replace(col(c), f"{SPACE}+", "")

@@ -5,6 +5,7 @@ import glob
 import io
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,6 +197,20 @@ def test_pages(spark):
     assert got == {1: "学生应当准时到校上课", 2: "请假须提前一天申请", 3: ""}
 
 
+def test_lines_take_their_normal_form_once(spark):
+    """A page of many long lines: making their normal form for every word of every rule took minutes."""
+    odd = "".join(map(chr, (0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1F, 0x20, 0x85, 0xA0, 0x1680, 0x2000, 0x200A, 0x2028, 0x202F, 0x205F, 0x3000)))
+    texts = [None, "", "\n", f"a{odd}b{odd}\n{odd}\n{odd}c", "x\u200by\n é  漢 "]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.normal_lines("text").alias("got"), F.transform(F.split("text", "\n"), T.norm).alias("want")).collect()
+    assert all(r.got == r.want for r in rows) and rows[3].got == ["a b", "", "c"]
+    line = "wörter ohne  Ende " * 20_000
+    pages = spark.createDataFrame([(1, k, "\n".join([f"{line}{k}{j}" for j in range(5)] + ["12", "kurz und gut"])) for k in range(8)], "doc int, page int, text string")
+    began = time.time()
+    got = corpus.clean_pages(pages, "doc", "page").collect()
+    assert {r.page: r.text for r in got} == {k: "\n".join(" ".join(f"{line}{k}{j}".split()) for j in range(5)) for k in range(8)}
+    assert time.time() - began < 40
+
+
 def test_chunks(spark):
     body = "这一节说明具体的办理步骤和需要注意的事项，内容足够长以便单独成为一个条目。"
     text = "\n".join(f"{n} 标题{n}\n{body}" for n in ("4.2.1", "4.2.2", "4.3.1"))
