@@ -203,13 +203,15 @@ def path_set(c: Column | str, path: str, value: Column) -> Column:
     steps = [p for p in path.split(".") if p]
     if not steps:
         return col(c)
-    inner = value
-    if len(steps) > 1:
-        there = F.try_element_at(col(c), F.lit(steps[0]))
-        below = F.coalesce(F.when(json_type(there) == "json", json_map(there)), F.create_map().cast("map<string,string>"))
-        inner = json_text(path_set(below, ".".join(steps[1:]), value))
-    kept = F.map_filter(col(c), lambda k, v: k != steps[0])
-    return F.map_concat(kept, F.create_map(F.lit(steps[0]), inner))
+
+    def put(m: Column) -> Column:
+        inner = value
+        if len(steps) > 1:
+            below = bind(F.try_element_at(m, F.lit(steps[0])), lambda there: F.coalesce(F.when(json_type(there) == "json", json_map(there)), F.create_map().cast("map<string,string>")))
+            inner = json_text(path_set(below, ".".join(steps[1:]), value))
+        return F.map_concat(F.map_filter(m, lambda k, v: k != steps[0]), F.create_map(F.lit(steps[0]), inner))
+
+    return bind(col(c), put)
 
 
 def json_map(c: Column | str) -> Column:
@@ -225,8 +227,12 @@ def quoted(c: Column) -> Column:
 
 def json_text(c: Column) -> Column:
     """A map of JSON texts as one JSON object, its keys in order."""
-    fields = F.transform(F.array_sort(F.map_keys(c)), lambda k: F.concat(quoted(k), F.lit(":"), F.coalesce(F.try_element_at(c, k), F.lit("null"))))
-    return F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}"))
+
+    def written(m: Column) -> Column:
+        fields = F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(quoted(k), F.lit(":"), F.coalesce(F.try_element_at(m, k), F.lit("null"))))
+        return F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}"))
+
+    return bind(c, written)
 
 
 def bigram_tokens(c: Column | str) -> Column:

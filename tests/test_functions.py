@@ -211,6 +211,16 @@ def test_lines_take_their_normal_form_once(spark):
     assert time.time() - began < 40
 
 
+def test_path_set_names_its_map_once(spark):
+    """Each level's map is computed once: named again in lambdas, three levels parsed a row's JSON over and over."""
+    rows = spark.createDataFrame([('{"a": {"b": {"x": 1}, "y": [1]}, "k": 2}',), ('{"a": 5}',), ('{"k": null}',), (None,), ("no json",)], "j string")
+    put = T.json_text(T.path_set(T.json_map("j"), "a.b.c", F.lit("7")))
+    got = [r[0] for r in rows.select(put.alias("w")).collect()]
+    assert got == ['{"a":{"b":{"c":7,"x":1},"y":[1]},"k":2}', '{"a":{"b":{"c":7}}}', '{"a":{"b":{"c":7}},"k":null}', None, None]
+    plan = rows.select(put.alias("w"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") + plan.count("JsonToStructs") <= 8
+
+
 def test_chunks(spark):
     body = "这一节说明具体的办理步骤和需要注意的事项，内容足够长以便单独成为一个条目。"
     text = "\n".join(f"{n} 标题{n}\n{body}" for n in ("4.2.1", "4.2.2", "4.3.1"))
