@@ -18,6 +18,7 @@ from evalspark.functions.stored import handed, stored
 K1, B = 1.5, 0.75
 BLOCK, LEAD = 64, 4  # ids a block of postings spans; blocks a query scores before it knows its k-th score
 NGRAM_LIMIT, COSINE_LIMIT = 0.8, 0.92
+CELLS, SENT = 1 << 20, 256  # cosines that a task holds at a time; queries that it deals out at a time, each to any number of cells
 
 
 def postings(docs: DataFrame, doc: str, text: str, wanted: Broadcast | None = None) -> DataFrame:
@@ -142,13 +143,15 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif shard[lo] == held:
                 if len(parts) > 1:
                     ids, parts = [np.concatenate(ids)], [np.concatenate(parts)]
-                q = key[lo:hi]
-                c = np.round(np.clip(_units(rows, hi - lo) @ parts[0].T, 0, 1), 6)
-                c[q[:, None] == ids[0][None]] = -1
-                at = c.argmax(1)  # the smallest id of equal ones: a shard is sorted by id
-                best = c[np.arange(len(q)), at]
-                found = best >= 0
-                yield pa.RecordBatch.from_arrays([pa.array(q[found]), pa.array(ids[0][at][found]), pa.array(best[found])], names=["query_id", "vec_id", "cosine"])
+                x, step = _units(rows, hi - lo), max(1, CELLS // len(ids[0]))
+                for a in range(0, hi - lo, step):
+                    q = key[lo:hi][a : a + step]
+                    c = np.round(np.clip(x[a : a + step] @ parts[0].T, 0, 1), 6)
+                    c[q[:, None] == ids[0][None]] = -1
+                    at = c.argmax(1)  # the smallest id of equal ones: a shard is sorted by id
+                    best = c[np.arange(len(q)), at]
+                    found = best >= 0
+                    yield pa.RecordBatch.from_arrays([pa.array(q[found]), pa.array(ids[0][at][found]), pa.array(best[found])], names=["query_id", "vec_id", "cosine"])
 
 
 def cosine_max(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", shard: int = 8192, pivots: int = 64) -> DataFrame:
@@ -184,7 +187,7 @@ def cosine_max(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vect
     parts = {c: -(-sizes[c][0] // shard) for c in sizes}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, SENT) for b in batches for a in range(0, b.num_rows, SENT)):
             q, x = batch.column(0).to_numpy(), _units(batch.column(1), batch.num_rows)
             dots = np.where(q[:, None] == names[None], -np.inf, np.clip(x @ points.T, 0, 1))
             d = _apart(x, points)[:, cells]

@@ -5,9 +5,11 @@ import math
 import random
 import threading
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,22 @@ def test_nearest_by_cosine(spark, case):
     assert retrieval.cosine_max(df.where("false"), queries).count() == 0 and retrieval.cosine_max(df, queries.where("false")).count() == 0
 
 
+def test_cosines_held_at_a_time():
+    """Queries that stream past a shard in one large batch are multiplied piece by piece: memory doesn't follow the batch."""
+    rng = np.random.default_rng(4)
+    n, m = 8192, 4000
+    x = np.concatenate([rng.normal(size=(n, 8)), rng.normal(size=(m, 8))])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * (n + m) + 1, 8), pa.int32()), pa.array(x.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n + m, np.int64)), pa.array(np.arange(n + m) >= n), pa.array(np.arange(n + m)), lists], names=["shard", "asked", "id", "v"])
+    tracemalloc.start()
+    got = [r for b in retrieval._nearest(iter([batch])) for r in b.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [r["vec_id"] for r in got[:500]] == np.round(np.clip(u[n : n + 500] @ u[:n].T, 0, 1), 6).argmax(1).tolist()
+    assert len(got) == m and most < 80e6  # all at once: over 500 MB
+
+
 # ---------------------------------------------------------------- budgets
 
 
