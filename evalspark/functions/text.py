@@ -272,6 +272,17 @@ def char_ngrams(c: Column | str, n: int = 5) -> Column:
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def rolled(t: str, n: int) -> np.ndarray:
+    """64-bit hashes of a text's character n-grams, one a place; of a shorter text one in all."""
+    x = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    m = min(n, len(x))
+    h = np.full(len(x) - m + 1, m, np.uint64)
+    for j in range(m):
+        h = (h ^ x[j : j + len(h)]) * _ODD
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
 def gram_hashes(texts: DataFrame, key: str, text: str, n: int = 5, wanted: Broadcast | None = None) -> DataFrame:
     """(key, gram): 64-bit hashes of a text's distinct character n-grams, of the lower-case text without white space; a shorter text is its own only one.
 
@@ -285,13 +296,7 @@ def gram_hashes(texts: DataFrame, key: str, text: str, n: int = 5, wanted: Broad
             for k, t in enumerate(batch.column(1).to_pylist()):
                 if not t:
                     continue
-                x = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-                m = min(n, len(x))
-                h = np.full(len(x) - m + 1, m, np.uint64)
-                for j in range(m):
-                    h = (h ^ x[j : j + len(h)]) * _ODD
-                    h ^= h >> np.uint64(29)
-                h = h.view(np.int64)
+                h = rolled(t, n)
                 if wanted is not None:
                     h = h[among(h, wanted.value)]
                 ids.append(np.unique(h))

@@ -13,7 +13,7 @@ from pyspark.sql import types as ty
 
 from evalspark.functions import scores as S
 from evalspark.functions import text as T
-from evalspark.functions.stored import handed, stored
+from evalspark.functions.stored import MOST, among, handed, stored
 
 K1, B = 1.5, 0.75
 BLOCK, LEAD = 64, 4  # ids a block of postings spans; blocks a query scores before it knows its k-th score
@@ -90,19 +90,60 @@ def retrieval_means(hits: DataFrame, queries: DataFrame, k: int = 5, query: str
     return rows.groupBy(*by).agg(F.count(S.hit_rate("ids", "gold", 1)).alias("n"), mean(S.hit_rate("ids", "gold", 1), "h1"), mean(S.hit_rate("ids", "gold", 3), "h3"), mean(S.hit_rate("ids", "gold", k), "hk"), mean(S.reciprocal_rank("ids", "gold", None), "mrr"))
 
 
-def ngram_overlap(texts: DataFrame, corpus: DataFrame, text_id: str = "item_id", doc_id: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
+def _best_shared(asked: pa.Table, corpus: DataFrame, name: ty.StructField, n: int) -> DataFrame:
+    """(text id, corpus id, _c): of each text the corpus rows that may be its best in their task, with the number of distinct n-grams they share.
+
+    A row is sent if its share is higher than any before, or no more than a rounding lower; of equal
+    ones only a smaller id. What a task holds follows the texts, not the corpus.
+    """
+    named = asked.column(0).combine_chunks().dictionary_encode()
+    code, gram = named.indices.to_numpy(), asked.column("gram").to_numpy()
+    order = np.argsort(gram, kind="stable")
+    grams, first = np.unique(gram[order], return_index=True)
+    shared = corpus.sparkSession.sparkContext.broadcast((grams, np.append(first, len(gram)), code[order], np.bincount(code, minlength=len(named.dictionary)), named.dictionary))
+    key = corpus.schema[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, cuts, codes, sizes, names = shared.value
+        best, least = np.zeros(len(sizes)), np.full(len(sizes), np.iinfo(np.int64).max)
+        for batch in batches:
+            ids = batch.column(0).cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy()
+            sent = [[np.zeros(0, np.int64)] * 3]
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                h = np.unique(T.rolled(t, n)) if t and len(grams) else np.zeros(0, np.int64)
+                at = np.flatnonzero(among(h, grams))
+                if not len(at):
+                    continue
+                g = np.searchsorted(grams, h[at])
+                lens = cuts[g + 1] - cuts[g]
+                places = np.repeat(cuts[g] - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(lens.sum())
+                u, c = np.unique(codes[places], return_counts=True)
+                share = c / sizes[u]
+                some = (share > best[u]) | ((share == best[u]) & (ids[k] < least[u])) | ((share < best[u]) & (share >= best[u] - 1.01e-4))
+                u, c, share = u[some], c[some], share[some]
+                top = share >= best[u]
+                best[u[top]], least[u[top]] = share[top], ids[k]
+                sent.append([u, np.full(len(u), k), c])
+            u, k, c = map(np.concatenate, zip(*sent, strict=True))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(u)), batch.column(0).take(pa.array(k)), pa.array(c.astype(np.int64))], names=[name.name, key.name, "_c"])
+
+    return corpus.mapInArrow(run, ty.StructType([name, key, ty.StructField("_c", ty.LongType())]))
+
+
+def ngram_overlap(texts: DataFrame, corpus: DataFrame, text_id: str = "item_id", doc_id: str = "doc_id", text: str = "text", n: int = 5, most: int = MOST) -> DataFrame:
     """Highest share of a text's n-grams that one corpus row has: text_id, overlap, doc_id (smallest on ties), contaminated. Texts that share nothing: 0.
 
-    n-grams meet by a join on their hash; corpus rows only send those that some text has: tasks are
-    handed these if they are few enough, else a join leaves the others out.
+    Tasks are handed the texts' n-grams if they are few enough: each counts its corpus rows one by
+    one and sends a text's best only. Else n-grams meet by a join on their hash.
     """
-    asked = T.gram_hashes(texts, text_id, text, n)
+    asked = T.gram_hashes(texts.where(F.col(text_id).isNotNull()), text_id, text, n).distinct()
     size = asked.groupBy(text_id).agg(F.count("*").alias("_n"))
-    wanted = handed(asked.select("gram"))
-    there = T.gram_hashes(corpus, doc_id, text, n, wanted)
-    if wanted is None:
-        there = there.join(asked.select("gram").distinct(), "gram", "left_semi")
-    shared = asked.join(there, "gram").groupBy(text_id, doc_id).agg(F.count("*").alias("_c"))
+    few = asked.limit(most + 1).toArrow()
+    if few.num_rows <= most and isinstance(corpus.schema[doc_id].dataType, ty.IntegralType):
+        shared = _best_shared(few, corpus.select(doc_id, T.question_key(text).alias("_t")), asked.schema[text_id], n)
+    else:
+        there = T.gram_hashes(corpus, doc_id, text, n).join(asked.select("gram").distinct(), "gram", "left_semi")
+        shared = asked.join(there, "gram").groupBy(text_id, doc_id).agg(F.count("*").alias("_c"))
     rated = shared.join(size, text_id).select(text_id, doc_id, F.round(F.col("_c") / F.col("_n"), 4).alias("overlap"))
     best = rated.groupBy(text_id).agg(F.max(F.struct("overlap", (-F.col(doc_id)).alias("_d"))).alias("_b"))
     out = texts.select(text_id).join(best, text_id, "left").select(text_id, F.coalesce("_b.overlap", F.lit(0.0)).alias("overlap"), (-F.col("_b._d")).alias(doc_id))

@@ -114,6 +114,30 @@ def test_cosines_held_at_a_time():
     assert len(got) == m and most < 80e6  # all at once: over 500 MB
 
 
+def test_overlap_sends_the_best_only(spark):
+    """Counted in tasks or by a join: the same; what leaves a task doesn't follow the corpus."""
+    rng = random.Random(6)
+    say = lambda k: "".join(rng.choices("abc ", k=k))
+    texts = {i: say(rng.randint(0, 30)) for i in range(30)} | {90: "", 91: None, 92: "zzz", 93: "".join(rng.choices("abcdefghijklmnop", k=30_000))}
+    docs = [(i, say(rng.randint(0, 80))) for i in range(400)] + [(500, "zzz"), (499, "z z z"), (501, None)] + [(600 - k, texts[93][k : 29_000 + k]) for k in range(3)]
+    rng.shuffle(docs)
+    t = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    grams = lambda x: {x[i : i + 5] for i in range(max(1, len(x) - 4))} if x else set()
+    plain = {i: grams((x or "").replace(" ", "")) for i, x in docs}
+    want = {}
+    for i, x in texts.items():
+        a = grams((x or "").replace(" ", ""))
+        found = [(round(len(a & g) / len(a), 4), -j) for j, g in plain.items() if a & g]
+        want[i] = (max(found)[0], -max(found)[1]) if found else (0.0, None)
+    for most in (1 << 22, 5):
+        assert {r.item_id: (r.overlap, r.doc_id) for r in retrieval.ngram_overlap(t, d, most=most).collect()} == want
+    asked = T.gram_hashes(t, "item_id", "text").distinct()
+    sent = retrieval._best_shared(asked.toArrow(), d.coalesce(1).select("doc_id", T.question_key("text").alias("_t")), asked.schema[0], 5)
+    met = asked.join(T.gram_hashes(d, "doc_id", "text"), "gram").select("item_id", "doc_id").distinct()
+    assert sent.count() < 0.2 * met.count()
+
+
 # ---------------------------------------------------------------- budgets
 
 
