@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,17 +14,18 @@ from pyspark.sql import types as ty
 
 from evalspark.functions import scores as S
 from evalspark.functions import text as T
-from evalspark.functions.stored import MOST, among, handed, stored
+from evalspark.functions.stored import MOST, among, handed, release, stored
 
 K1, B = 1.5, 0.75
 BLOCK, LEAD = 64, 4  # ids a block of postings spans; blocks a query scores before it knows its k-th score
 NGRAM_LIMIT, COSINE_LIMIT = 0.8, 0.92
-CELLS, SENT = 1 << 20, 256  # cosines that a task holds at a time; queries that it deals out at a time, each to any number of cells
+CELLS, SENT = 1 << 20, 256  # cosines, or weights, that a task holds at a time; queries that it deals out at a time, each to any number of cells
 
 
 def postings(docs: DataFrame, doc: str, text: str, wanted: Broadcast | None = None) -> DataFrame:
-    """(doc, len, terms, tfs): each document once, with its length and (of `wanted`) its terms' hashes and numbers."""
-    return T.term_counts(docs, doc, text, wanted)
+    """(doc, len, terms, tfs): each row once, with its length (null: no text) and (of `wanted`) its terms' hashes and numbers."""
+    keyed = docs.select(F.struct(F.col(doc).alias("id"), F.col(text).isNull().alias("void")).alias("_k"), text)
+    return T.term_counts(keyed, "_k", text, wanted).select(F.col("_k.id").alias(doc), F.when(~F.col("_k.void"), F.col("len")).alias("len"), "terms", "tfs")
 
 
 def _block(doc: str, kind: ty.DataType, size: int) -> Column:
@@ -31,45 +33,194 @@ def _block(doc: str, kind: ty.DataType, size: int) -> Column:
     return F.floor(F.col(doc) / size).cast("long") if isinstance(kind, ty.IntegralType) else F.pmod(F.xxhash64(doc), F.lit(1 << 20))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", query: str = "query_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", query: str = "query_id", text: str = "text", block: int = BLOCK, most: int = MOST) -> DataFrame:
     """The k best documents of each query: query, doc, score, rank (ties to the smaller doc). Documents without a positive score are not returned.
 
-    The average length counts empty documents too. Texts are read once. Weights lie in blocks of
-    `block` ids by term, each with its highest weight: what these add up to bounds a block's scores for
-    a query. A query scores the blocks of its highest bounds first; the k-th score there, at least,
-    is the k-th of all, so only blocks whose bound reaches it are scored besides. Exact.
+    The average length counts empty documents too, but no null texts. Texts are read once. Tasks are handed the queries'
+    terms if these are few enough: each scores its documents piece by piece and sends a query's k best
+    only, so what it holds follows the queries, not the documents. Else weights and terms meet by a
+    join: they lie in blocks of `block` ids by term, each with its highest weight; what these add up
+    to bounds a block's scores for a query. A query scores the blocks of its highest bounds first; the
+    k-th score there, at least, is the k-th of all, so only blocks whose bound reaches it are scored
+    besides. Both are exact. Rows that share an id are one document, or one query.
     """
-    found = _pruned(docs, queries, k, doc, query, text, block)
-    scored = found["first"].unionByName(found["rest"])
-    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), doc))
+    asked = stored(_asked(queries, query, text), "bm25-asked")
+    few = asked.limit(most + 1).toArrow()
+    if few.num_rows <= most:
+        scored = _scored(docs, few, asked.schema[query], k, doc, text)
+        release(asked)
+    else:
+        found = _pruned(docs, asked, k, doc, query, text, block)
+        scored = found["first"].unionByName(found["rest"])
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), F.asc_nulls_last(doc)))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _asked(queries: DataFrame, query: str, text: str) -> DataFrame:
+    """(query, term): each once."""
+    return T.term_counts(queries, query, text).select(query, F.explode("terms").alias("term")).distinct()
+
+
+def _exploded(counts: DataFrame, doc: str) -> DataFrame:
+    """(doc, len, term, tf) of `postings`."""
+    return counts.select(doc, "len", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select(doc, "len", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+
+
+def _weight() -> Column:
+    return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+
+
+def _counted(docs: DataFrame, doc: str, text: str, wanted: Broadcast | None, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame, list[DataFrame]]:
+    """`postings` of the ids that have one row; (doc, term, w) of the others, or None; (term, idf, avg_len); the tables that these read.
+
+    Rows of one id and length are one, whose numbers add up; rows of one id and several lengths are several, whose weights add up.
+    """
+    whole = stored(postings(docs, doc, text, wanted), "bm25-counts")
+    asked = lambda hits: hits if wanted is not None else hits.join(terms.distinct(), "term", "left_semi")
+    again = stored(whole.groupBy(doc).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(doc).alias("_d")), "bm25-again")
+    tables, once, twice = [whole, again], whole, None
+    if not again.isEmpty():
+        same = F.col(doc).eqNullSafe(F.col("_d"))
+        once = whole.join(again, same, "left_anti")
+        merged = asked(_exploded(whole.join(again, same, "left_semi"), doc)).groupBy(doc, "len", "term").agg(F.sum("tf").alias("tf"))
+        twice = stored(merged, "bm25-twice")
+        tables.append(twice)
+    hits = asked(_exploded(once, doc)).select("term")
+    df = (hits if twice is None else hits.unionByName(twice.select("term"))).groupBy("term").agg(F.count("*").alias("df"))
+    stats = whole.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    idf = stored(df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len"), "bm25-idf")  # stats is one row
+    sums = None if twice is None else twice.join(idf, "term").groupBy(doc, "term").agg(F.sum(_weight()).alias("w"))
+    return once, sums, idf, [*tables, idf]
+
+
+def _scored(docs: DataFrame, asked: pa.Table, name: ty.StructField, k: int, doc: str, text: str) -> DataFrame:
+    """(query, doc, score): of each query of `asked` (query, term) the k best of every task."""
+    spark = docs.sparkSession
+    wanted = spark.sparkContext.broadcast(np.unique(asked.column("term").to_numpy()))
+    once, sums, idf, tables = _counted(docs, doc, text, wanted)
+    shared = _handed_terms(asked, idf)
+    send = lambda rows, weighs: rows.mapInArrow(_best_scored(shared, k, weighs), ty.StructType([name, docs.schema[doc], ty.StructField("score", ty.DoubleType())]))
+    best = send(once.select(doc, "terms", "tfs", "len"), True)
+    if sums is not None:
+        lists = sums.groupBy(doc).agg(F.collect_list(F.struct("term", "w")).alias("x"))  # at most the terms of `wanted`
+        best = best.unionByName(send(lists.select(doc, "x.term", "x.w"), False))
+    best = stored(best, "bm25-best")
+    release(*tables)
+    return best
+
+
+def _handed_terms(asked: pa.Table, idf: DataFrame) -> Broadcast:
+    """For every task: the terms that documents have, sorted, their idf and the average length; where each term's queries begin, those queries, and the queries' names."""
+    known = idf.toArrow().sort_by("term")
+    terms = known.column("term").to_numpy()
+    named = asked.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+    code, term = named.indices.to_numpy(), asked.column("term").to_numpy()
+    there = among(term, terms)
+    code, term = code[there], term[there]
+    order = np.argsort(term, kind="stable")
+    cuts = np.append(np.searchsorted(term[order], terms), len(term))
+    mean = known.column("avg_len")[0].as_py() if len(terms) else 1.0
+    return idf.sparkSession.sparkContext.broadcast((terms, known.column("idf").to_numpy(), mean, cuts, code[order], named.dictionary))
+
+
+def _first_of_each(q: np.ndarray, score: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each query's k best, by score and then by place; a query's own stand together, in that order."""
+    order = np.lexsort((place, -score, q))
+    start = np.flatnonzero(np.diff(q[order], prepend=-1))
+    return order[np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q)))) < k]
+
+
+def _best_scored(shared: Broadcast, k: int, weighs: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches (doc, terms, numbers, len), or (doc, terms, weights) if it needn't weigh: each query's k best of all of them.
+
+    It holds some CELLS weights, or one document's, and a few times the k best of each query.
+    """
+
+    def places(docs: pa.Array) -> np.ndarray:
+        out = np.empty(len(docs), np.int64)
+        out[pc.sort_indices(docs, null_placement="at_end").to_numpy()] = np.arange(len(docs))
+        return out
+
+    def pieces(fan: np.ndarray, lens: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of documents that have no more than CELLS weights, or of one."""
+        total = np.concatenate(([0], np.cumsum(fan)))[np.concatenate(([0], np.cumsum(lens)))]
+        lo = 0
+        while lo < len(lens):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + CELLS, "right")) - 1)
+            yield lo, hi
+            lo = hi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf, mean, cuts, codes, names = shared.value
+        n, least, parts, waiting = len(names), np.zeros(len(names)), [], 0
+
+        def best() -> tuple:
+            q, s, d = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), pa.concat_arrays([p[2] for p in parts])
+            at = _first_of_each(q, s, places(d), k)
+            q, s = q[at], s[at]
+            last = np.arange(len(q)) - np.searchsorted(q, q) == k - 1
+            least[q[last]] = s[last]
+            return q, s, d.take(pa.array(at))
+
+        for batch in batches:
+            docs, lists = batch.column(0), batch.column(1)
+            lens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            first = np.concatenate(([0], np.cumsum(lens)))
+            t = np.searchsorted(terms, lists.flatten().to_numpy())
+            w = batch.column(2).flatten().to_numpy()
+            if weighs:
+                w = idf[t] * w * (K1 + 1) / (w + K1 * (1 - B + B * np.repeat(pc.fill_null(batch.column(3), 0).to_numpy(), lens) / mean))
+            fan, order = cuts[t + 1] - cuts[t], places(docs)
+            for lo, hi in pieces(fan, lens):
+                a, b = first[lo], first[hi]
+                f = fan[a:b]
+                q = codes[np.repeat(cuts[t[a:b]] - np.concatenate(([0], np.cumsum(f)[:-1])), f) + np.arange(f.sum())] if a < b else np.zeros(0, np.int64)
+                cell = np.repeat(np.repeat(np.arange(hi - lo), lens[lo:hi]), f) * n + q
+                if (hi - lo) * n <= 4 * len(cell):
+                    total = np.bincount(cell, np.repeat(w[a:b], f), (hi - lo) * n)
+                    cell = np.arange(len(total))
+                else:
+                    cell, at = np.unique(cell, return_inverse=True)
+                    total = np.bincount(at, np.repeat(w[a:b], f), len(cell))
+                total = np.floor(total * 1e6 + 0.5) / 1e6
+                row, q = np.divmod(cell, max(n, 1))
+                some = np.flatnonzero((total > 0) & (total >= least[q]))
+                row, q, total = row[some] + lo, q[some], total[some]
+                at = _first_of_each(q, total, order[row], k)
+                if not len(at):
+                    continue
+                parts.append((q[at], total[at], docs.take(pa.array(row[at]))))
+                waiting += len(at)
+                if waiting > len(parts[0][0]):  # the best so far come first
+                    parts, waiting = [best()], 0
+        if parts:
+            q, s, d = best()
+            for a in range(0, len(q), 1 << 16):
+                z = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q[z])), d.slice(a, 1 << 16), pa.array(s[z])], names=["query", "doc", "score"])
+
+    return run
+
+
 def scored_share(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", query: str = "query_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row: (query, term, document) weights that `bm25` adds up, those that there are, and the share."""
-    found = _pruned(docs, queries, k, doc, query, text, block)
+    """One row: (query, term, document) weights that `bm25` adds up where it joins, those that there are, and the share."""
+    found = _pruned(docs, stored(_asked(queries, query, text), "bm25-asked"), k, doc, query, text, block)
     n = lambda df: df.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
     both = n(found["taken"]).select(F.col("n").alias("scored")).crossJoin(n(found["bounds"]).select(F.col("n").alias("all")))  # one row each
     return both.select("scored", "all", F.round(F.try_divide("scored", "all"), 4).alias("share"))
 
 
-def _pruned(docs: DataFrame, queries: DataFrame, k: int, doc: str, query: str, text: str, block: int) -> dict[str, DataFrame]:
-    asked = stored(T.term_counts(queries, query, text).select(query, F.explode("terms").alias("term")), "bm25-asked")
+def _pruned(docs: DataFrame, asked: DataFrame, k: int, doc: str, query: str, text: str, block: int) -> dict[str, DataFrame]:
     wanted = handed(asked.select("term"))
-    whole = stored(postings(docs, doc, text, wanted), "bm25-counts")
-    hits = whole.select(doc, "len", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select(doc, "len", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
-    if wanted is None:
-        hits = hits.join(asked.select("term").distinct(), "term", "left_semi")
-    stats = whole.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")  # stats is one row
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    weighted = stored(hits.join(idf, "term").select("term", _block(doc, docs.schema[doc].dataType, block).alias("_b"), doc, weight.alias("w")), "bm25-weights")
+    once, sums, idf, _ = _counted(docs, doc, text, wanted, asked.select("term"))
+    weights = _exploded(once, doc).join(idf, "term").select(doc, "term", _weight().alias("w"))
+    weights = weights if sums is None else weights.unionByName(sums)
+    weighted = stored(weights.select("term", F.coalesce(_block(doc, docs.schema[doc].dataType, block), F.lit(-1)).alias("_b"), doc, "w"), "bm25-weights")
     highest = weighted.groupBy("term", "_b").agg(F.max("w").alias("_m"), F.count("*").alias("_n"))
     bounds = stored(asked.join(highest, "term").groupBy(query, "_b").agg(F.sum("_m").alias("_u"), F.sum("_n").alias("_n")), "bm25-bounds")
 
     def score(chosen: DataFrame) -> DataFrame:
-        cells = asked.join(chosen.select(query, "_b"), query)
+        cells = asked.join(chosen.select(F.col(query).alias("_q"), "_b"), F.col(query).eqNullSafe(F.col("_q"))).select(query, "term", "_b")
         return cells.join(weighted, ["term", "_b"]).groupBy(query, doc).agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
 
     place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("_u"), "_b"))

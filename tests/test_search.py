@@ -8,6 +8,7 @@ import time
 import tracemalloc
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from evalspark.functions import text as T
 from evalspark.functions.stored import handed
 from evalspark.operators import buckets, report, retrieval, snapshots
+from evalspark.plans import datasets
 from evalspark.sources import endpoint, paced
 
 
@@ -77,6 +79,56 @@ def test_bm25_skips_blocks_and_stays_exact(spark):
     assert retrieval.bm25(d.where("false"), q).count() == 0 and retrieval.bm25(d, q.where("false")).count() == 0
 
 
+def test_bm25_writes_no_pairs(spark, monkeypatch):
+    """Of common words: no table has a row for every query and document, or every document and term; batches and pieces of any size find the same."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    docs = {i: " ".join(rng.choices(words, k=rng.randint(0, 12))) for i in range(1500)}
+    docs |= {2000 - i: docs[7] for i in range(300)}  # copies: the smaller ids win
+    queries = {i: " ".join(rng.choices(words, k=5)) for i in range(20)} | {20: docs[7]}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    q = spark.createDataFrame(list(queries.items()), "query_id long, text string")
+    want, rows, kept = slow_bm25(docs, queries, 4), {}, retrieval.stored
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(retrieval, "stored", counted)
+    found = lambda **how: sorted((r.query_id, r.doc_id, r["rank"]) for r in retrieval.bm25(d, q, 4, **how).collect())
+    assert found() == want
+    assert max(rows.values()) == len(docs) and rows["bm25-best"] <= 3 * 4 * len(queries)
+    monkeypatch.setattr(retrieval, "CELLS", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert found() == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found(most=5) == want
+
+
+def test_bm25_of_odd_rows_as_sql_has_it(spark):
+    """Rows that share an id, null ids and null texts, with the queries' terms handed to tasks and by a join."""
+    rng = random.Random(9)
+    say = lambda k: " ".join(rng.choices(["a", "b", "c", "d", "e", "f", "gg"], [9, 5, 3, 2, 1, 1, 1], k=k))
+    docs = [(i, say(rng.randint(0, 9))) for i in range(80)] + [(900, None), (901, None), (902, "")]
+    docs += docs[:5] + [(i, say(8)) for i in (3, 4, 30, 30)] + [(None, "gg f"), (None, "e e e"), (None, None)]
+    queries = [(i, say(3)) for i in range(8)] + [(1, "gg a"), (2, "f"), (None, "gg"), (50, None), (51, "zz")]
+    for kind in ("long", "string"):
+        d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).repartition(3)
+        q = spark.createDataFrame(queries, "query_id long, text string").withColumn("query_id", F.col("query_id").cast(kind))
+        con = duckdb.connect()
+        con.register("documents", d.toArrow())
+        con.register("questions", q.toArrow())
+        tokens = datasets.TOKENS_SQL.format("text")
+        sql = datasets.BM25_SQL.format(docs=f"SELECT doc_id, {tokens} AS tok FROM documents", queries=f"SELECT query_id, {tokens} AS tok FROM questions")
+        want = con.sql(f"WITH {sql} SELECT query_id, doc_id, rank, score FROM k WHERE rank <= 4").fetchall()
+        for how in ({}, {"most": 3}, {"most": 3, "block": 5}):
+            got = [(r.query_id, r.doc_id, r["rank"], r.score) for r in retrieval.bm25(d, q, 4, **how).collect()]
+            assert sorted(got, key=repr) == sorted(want, key=repr), (kind, how)
+
+
 @pytest.mark.parametrize("case", ["clusters", "spread", "copies", "odd"])
 def test_nearest_by_cosine(spark, case):
     rng = np.random.default_rng(3)
