@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF
 from evalspark.functions import text as T
 from evalspark.functions.stored import handed
 from evalspark.operators import buckets, report, retrieval, snapshots
@@ -108,6 +109,23 @@ def test_bm25_writes_no_pairs(spark, monkeypatch):
     assert found(most=5) == want
 
 
+def test_scenarios_write_no_pairs(spark, monkeypatch):
+    """The registered query, with all documents as distractors: of a document one row is written, of a query the best of each task."""
+    kept, rows = retrieval.stored, {}
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(retrieval, "stored", counted)
+    got = {r.scenario: r.n for r in datasets.retrieval_scenarios(spark, SF).collect()}
+    items, docs = (spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("benchmark", "documents"))
+    assert got == {"none": items, "all": items}
+    assert rows.pop("bm25-best") <= 5 * items * 4 and rows.pop("bm25-idf") <= rows.pop("bm25-asked")
+    assert max(rows.values()) == items + docs
+
+
 def test_bm25_of_odd_rows_as_sql_has_it(spark):
     """Rows that share an id, null ids and null texts, with the queries' terms handed to tasks and by a join."""
     rng = random.Random(9)
